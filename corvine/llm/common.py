@@ -37,9 +37,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int = 2**22) -> DataFrame:
+def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int = 2**22, absent: bool = False) -> DataFrame:
     """Rows of big whose key may be in keys (one bigint column): no misses, few extras, no shuffle of big.
 
+    absent: the other rows, those whose key is certainly not in keys.
+
     The bitmap has a fixed number of bits whatever the size of keys (2**22 bits are 65,536 words, about 1 MB as
     rows), so the broadcast is bounded. When keys outgrow it, more rows pass; an exact join must follow.
     """
@@ -48,9 +50,9 @@ def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int = 2**2
     words = keys.select(F.shiftright(h, 6).alias("_word"), shift_left(F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("_bit"))
     words = words.groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
     g = F.pmod(F.xxhash64(key), F.lit(bits))
-    out = big.withColumn("_h", g).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(words), "_word")
+    out = big.withColumn("_h", g).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(words), "_word", "left" if absent else "inner")
     hit = F.call_function("shiftrightunsigned", F.col("_bits"), F.pmod("_h", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return out.filter(hit).drop("_h", "_word", "_bits")
+    return out.filter(~F.coalesce(hit, F.lit(False)) if absent else hit).drop("_h", "_word", "_bits")
 
 
 def shift_left(one: Column, n: Column) -> Column:
