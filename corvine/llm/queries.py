@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corvine.llm import embedding_dedup, exact_dedup, jaccard_join, line_dedup, packing, piece_codec, sharding
+from corvine.llm import embedding_dedup, exact_dedup, jaccard_join, line_dedup, packing, pii, piece_codec, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
+    "op4_quality": quality.op4_quality,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_pii": pii.op6_pii,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_sentencepiece": piece_codec.op10_sentencepiece,
