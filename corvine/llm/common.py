@@ -37,22 +37,36 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int = 2**22, absent: bool = False) -> DataFrame:
+def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int | None = None, absent: bool = False) -> DataFrame:
     """Rows of big whose key may be in keys (one bigint column): no misses, few extras, no shuffle of big.
 
     absent: the other rows, those whose key is certainly not in keys.
 
-    The bitmap has a fixed number of bits whatever the size of keys (2**22 bits are 65,536 words, about 1 MB as
-    rows), so the broadcast is bounded. When keys outgrow it, more rows pass; an exact join must follow.
+    The bitmap has 16 bits for a key, but 2**16 at least and 2**26 at most (a million words, some 16 MB as rows), so
+    the broadcast is bounded whatever the size of keys. When keys outgrow it, more rows pass; an exact join must
+    follow, and becomes the way that does the work. keys must be a written table: it is counted first.
     """
     (col,) = keys.columns
+    bits = bits or 1 << min(26, max(16, (16 * keys.count()).bit_length()))
     h = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
-    words = keys.select(F.shiftright(h, 6).alias("_word"), shift_left(F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("_bit"))
-    words = words.groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    words = keys.select(F.shiftright(h, 6).alias("_corvine_word"), shift_left(F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("_corvine_bit"))
+    words = words.groupBy("_corvine_word").agg(F.expr("bit_or(_corvine_bit)").alias("_corvine_bits"))
     g = F.pmod(F.xxhash64(key), F.lit(bits))
-    out = big.withColumn("_h", g).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(words), "_word", "left" if absent else "inner")
-    hit = F.call_function("shiftrightunsigned", F.col("_bits"), F.pmod("_h", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return out.filter(~F.coalesce(hit, F.lit(False)) if absent else hit).drop("_h", "_word", "_bits")
+    out = big.withColumn("_corvine_h", g).withColumn("_corvine_word", F.shiftright("_corvine_h", 6)).join(F.broadcast(words), "_corvine_word", "left" if absent else "inner")
+    hit = F.call_function("shiftrightunsigned", F.col("_corvine_bits"), F.pmod("_corvine_h", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return out.filter(~F.coalesce(hit, F.lit(False)) if absent else hit).drop("_corvine_h", "_corvine_word", "_corvine_bits")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in dropped (a written table of one bigint column, NO_ID standing for null).
+
+    Texts are not shuffled but for the few that the bitmap of dropped ids cannot clear.
+    """
+    (col,) = dropped.columns
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    gone = dropped.select(F.col(col).alias("_corvine_gone"))
+    doubtful = bitmap_filter(docs, key, dropped)
+    return bitmap_filter(docs, key, dropped, absent=True).unionByName(doubtful.join(gone, key == F.col("_corvine_gone"), "left_anti"))
 
 
 def shift_left(one: Column, n: Column) -> Column:

@@ -209,11 +209,11 @@ def annotate(docs: DataFrame, personal: Iterable[int], text: str = "text", to: s
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(*(spans_of(k, body) for k in BASE))
-    d = docs.withColumn("_base", base).withColumn("_more", candidates(body))
-    chosen = F.filter("_more", lambda c: c["code"].isin(*personal) if personal else F.lit(False))
-    free = F.filter(chosen, lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    d = docs.withColumn("_corvine_base", base).withColumn("_corvine_more", candidates(body))
+    chosen = F.filter("_corvine_more", lambda c: c["code"].isin(*personal) if personal else F.lit(False))
+    free = F.filter(chosen, lambda c: ~F.exists("_corvine_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     more = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return d.withColumn(to, F.array_sort(F.concat(F.col("_base"), more))).drop("_base", "_more")
+    return d.withColumn(to, F.array_sort(F.concat(F.col("_corvine_base"), more))).drop("_corvine_base", "_corvine_more")
 
 
 def joined(spans: Column) -> Column:

@@ -204,13 +204,13 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality")
     """
     weights = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
     names = [c for c in docs.columns if c not in (to, f"{to}_kept")]
-    d = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    d = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_corvine_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (w, bias), shapes = weights.value, Shapes()
         for b in batches:
             p = []
-            for text in b.column("_text"):
+            for text in b.column("_corvine_text"):
                 m, counts, shares = measures(text.as_py(), shapes)
                 z = bias + sum(w[k] * x for k, x in features(m, counts, shares).items())
                 p.append(1 / (1 + math.exp(-max(-60, min(60, z)))) if m["n"] else 0.0)
