@@ -2,11 +2,61 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from corvine.llm import exact_dedup, jaccard_join, packing, pii, quality
+from corvine.llm.common import NO_ID, cut, without
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality.score_documents(docs.select("doc_id", "text"))
+    rejected = scored.filter(~F.col("quality_kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
+    return without(docs, cut(rejected.distinct(), "rejected"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the largest doc_id."""
+    copies = exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
+    return without(docs, cut(copies.distinct(), "copies"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id."""
+    copies = jaccard_join.jaccard_join(docs).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
+    return without(docs, cut(copies.distinct(), "copies"))
+
+
+def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts replaced by its kind; n_chars follows the text."""
+    d = pii.annotate(docs, pii.fit(docs), to="_corvine_spans").withColumn("text", pii.redact(F.col("text"), F.col("_corvine_spans")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", mask_personal),
+    ("packing", pack),
+]
+
+#: No stage but the second can be told in SQL; tests/llm compare run() with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs
