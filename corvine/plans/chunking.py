@@ -45,23 +45,22 @@ def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.guarded(d, 24).select(F.col("doc_id").alias("source"), F.col("id").alias("doc_id"))
 
 
-def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sectioned(spark: SparkSession, sf_dir: str, first_line: bool = False) -> DataFrame:
     """Conversations as documents with a Markdown heading for every turn."""
     c = table(spark, sf_dir, "conversations")
+    c = c.withColumn("text", F.substring_index("text", "\n", 1)) if first_line else c
     line = F.concat(F.when(F.col("turn") % 2 == 0, "# ").otherwise("## "), F.element_at(F.array(*map(F.lit, ["Experience", "Skills", "Education", "Notes"])), (F.col("turn") % 4 + 1).cast("int")), F.lit("\n"), "text")
     g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
     return g.select("doc_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
 
 
-@query("""WITH l AS (SELECT conv_id AS doc_id, turn, ['Experience', 'Skills', 'Education', 'Notes'][(turn % 4) + 1] AS heading, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS level FROM conversations)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn))::BIGINT AS ord, heading, level::BIGINT AS level,
-CASE WHEN level = 1 THEN heading ELSE coalesce(lag(heading) OVER (PARTITION BY doc_id ORDER BY turn) || '/', '') || heading END AS path FROM l
-WHERE doc_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING NOT bool_or(text LIKE '%' || chr(10) || '%'))""")
+@query("""WITH l AS (SELECT conv_id AS doc_id, turn, ['Experience', 'Skills', 'Education', 'Notes'][(turn % 4) + 1] AS heading, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS level, trim(split_part(text, chr(10), 1)) AS body FROM conversations)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn))::BIGINT AS ord, heading, level::BIGINT AS level, body,
+CASE WHEN level = 1 THEN heading ELSE coalesce(lag(heading) OVER (PARTITION BY doc_id ORDER BY turn) || '/', '') || heading END AS path FROM l""")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections and heading paths of conversations whose turns have one line each."""
-    one = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("text").contains("\n")).alias("many")).filter("not many").select(F.col("conv_id").alias("doc_id"))
-    s = parsers.sections(sectioned(spark, sf_dir).join(one, "doc_id", "left_semi"))
-    return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "heading", F.col("level").cast("long").alias("level"), F.array_join("path", "/").alias("path"))
+    """Sections and heading paths of conversations, each turn cut to its first line."""
+    s = parsers.sections(sectioned(spark, sf_dir, first_line=True))
+    return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "heading", F.col("level").cast("long").alias("level"), "body", F.array_join("path", "/").alias("path"))
 
 
 @query()
