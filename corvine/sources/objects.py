@@ -33,7 +33,7 @@ def base_name(key: Column) -> Column:
 
 def text_of(files: DataFrame) -> DataFrame:
     """files with text: UTF-8 of text suffixes, empty for others and for bytes that are not UTF-8."""
-    t = F.when(F.lower(suffix(F.col("key"))).isin(*TEXT_SUFFIXES), F.try_validate_utf8(F.decode("content", "UTF-8")))
+    t = F.when(F.lower(suffix(F.col("key"))).isin(*TEXT_SUFFIXES), F.try_validate_utf8(F.col("content").cast("string")))
     return files.withColumn("text", F.coalesce(t, F.lit("")))
 
 

@@ -211,7 +211,7 @@ def parse_files(files: DataFrame, parsers: dict = PARSERS) -> DataFrame:
 
 def reply_fields(reply: Column) -> Column:
     """struct<title, text, table, visual> of a model's labelled reply; a label runs to the next one."""
-    part = lambda name: F.trim(F.regexp_extract(reply, rf"(?s)(?:^|\n){name}:\s*(.*?)(?=\n(?:TITLE|TEXT|TABLE|VISUAL):|\z)", 1))
+    part = lambda name: F.regexp_replace(F.regexp_extract(reply, rf"(?s)(?:^|\n){name}:\s*(.*?)(?=\n(?:TITLE|TEXT|TABLE|VISUAL):|\z)", 1), r"^\s+|\s+$", "")
     return F.struct(*(part(n).alias(n.lower()) for n in ("TITLE", "TEXT", "TABLE", "VISUAL")))
 
 
