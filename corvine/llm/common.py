@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,6 +121,42 @@ def buckets_for(rows: int, groups: int, per_bucket: int = 200_000, most: int = 4
     return max(1, min(most, 1 + rows // (groups * per_bucket // 8)))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: unless the session says otherwise, Arrow batches have at most so many rows, on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that hands freed memory back to the system when its task ends.
+
+    Python workers are reused, and what one task held at its peak would otherwise stay with the executor.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters together, so that working arrays stay small; none is ever cut."""
     start = total = 0

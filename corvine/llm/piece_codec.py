@@ -6,6 +6,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import slices
+from corvine.llm.common import lean, slices, small_batches
 from corvine.session import table
 
 SPACE = "▁"
@@ -21,23 +22,25 @@ SPACE = "▁"
 END = 0x110000
 #: Units with more symbols are merged with a heap each, shorter ones all together.
 LONG = 64
+#: Distinct units whose ids are remembered from one slice to the next; beyond, all are forgotten and found anew.
+REMEMBERED = 200_000
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions of codes, sorted by their next `depth` codes at least, by prefix doubling."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    order, have = np.argsort(rank, kind="stable"), 1
-    while have < depth:
+    padded = np.append(codes + 1, [0, 0])
+    key, have = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2 : n + 2], 3
+    while True:
+        order = np.argsort(key)
+        steps = np.diff(key[order], prepend=-1) != 0
+        if have >= depth or steps.all():
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(steps)
         key = rank * (n + 2)
         key[: max(0, n - have)] += rank[have:]
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        rank, have = new, 2 * have
-        if n and rank.max() == n:
-            break
-    return order
+        have *= 2
 
 
 def occurrence_ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +99,9 @@ class Codec:
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)  # 0 is best, equal scores share one
         # units may only be cut where no piece reaches across
         self.unit = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(re.search(f"[^{SPACE}]{SPACE}", self.texts[i]) for i in self.ids) else re.compile(r"[\s\S]+")
-        self.shown = [("" if i in silent else t.replace(SPACE, " ")) for i, t in enumerate(self.texts)]
+        self.shown = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in silent else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
+        self.memory: dict[str, int] = {}
+        self.stored, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """The piece at [position, length], or -1: all occurrences of all pieces, in order of position."""
@@ -179,26 +184,23 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit numbers. An empty text has none."""
-        known: dict[str, int] = {}
+        if len(self.memory) > REMEMBERED:
+            self.memory, self.stored, self.ends = {}, self.stored[:0], self.ends[:1]
+        known, old = self.memory, len(self.memory)
         words = [[known.setdefault(u, len(known)) for u in self.unit.findall(SPACE + t.replace(" ", SPACE))] if t else [] for t in texts]
-        if not known:
-            return [np.empty(0, "<u4") for _ in texts]
-        ids, offsets = self.units(list(known))
-        ids = ids.astype("<u4")
-        which = np.fromiter((w for x in words for w in x), np.int64, sum(map(len, words)))
-        n = offsets[which + 1] - offsets[which]
-        flat = ids[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[which], n)]
+        if len(known) > old:
+            new, ends = self.units(list(islice(known, old, None)))
+            self.stored = np.append(self.stored, new.astype("<u4"))
+            self.ends = np.append(self.ends, self.ends[-1] + ends[1:])
+        which = np.fromiter(chain.from_iterable(words), np.int64, sum(map(len, words)))
+        n = self.ends[which + 1] - self.ends[which]
+        flat = self.stored[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.ends[which], n)]
         ends = np.append(0, np.cumsum(n))[np.cumsum([0, *map(len, words)])]
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are joined and read as UTF-8, the space before the first word goes."""
-        ids = ids.tolist()
-        if not any(i in self.bytes for i in set(ids)):
-            text = "".join([self.shown[i] for i in ids])
-        else:
-            raw = b"".join([bytes([self.bytes[i]]) if i in self.bytes else self.shown[i].encode("utf-8", "surrogatepass") for i in ids])
-            text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -226,7 +228,8 @@ def encode_documents(docs: DataFrame, model: str, chars: int = 4_000_000) -> Dat
                         column.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CODED)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), CODED)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
