@@ -189,3 +189,56 @@ def semantic_search(s: Source, query: str, embedded: DataFrame, q: DataFrame, k:
     v = fusion.numbered(vector.knn(embedded, q, max(50, 5 * k)), [F.desc("score"), F.col("vec_id")]).select(F.col("vec_id").alias("id"), "rank")
     lex = lexical_hits(s, query, max(50, 5 * k)).select(F.col("id").cast("long").alias("id"), "rank")
     return fusion.rrf(v, lex, k)
+
+
+class QueryEmbedder:
+    """A model's vectors of queries, remembered for the last 256; a vector of another length is an error."""
+
+    def __init__(self, model: Callable[[str], list[float]], dim: int, most: int = 256):
+        self.model, self.dim, self.most = model, dim, most
+        self.seen: dict[str, list[float]] = {}
+
+    def __call__(self, query: str) -> list[float]:
+        if query in self.seen:
+            self.seen[query] = self.seen.pop(query)  # now the latest
+            return self.seen[query]
+        v = list(map(float, self.model(f"query: {query}")))
+        if len(v) != self.dim:
+            raise ValueError(f"the model gave {len(v)} components, not {self.dim}")
+        self.seen[query] = v
+        if len(self.seen) > self.most:
+            del self.seen[next(iter(self.seen))]
+        return v
+
+
+@dataclass(frozen=True)
+class Step:
+    """A step of a plan over several sources: a function of the results it depends on."""
+
+    name: str
+    run: Callable[..., DataFrame]
+    after: tuple[str, ...] = ()
+
+
+def execute(steps: list[Step]) -> dict[str, DataFrame]:
+    """Results of all steps as lazy DataFrames, each step once, after those it depends on; a cycle is an error."""
+    done: dict[str, DataFrame] = {}
+    left = {s.name: s for s in steps}
+    while left:
+        ready = [s for s in left.values() if all(a in done for a in s.after)]
+        if not ready:
+            raise ValueError(f"steps wait for each other or for unknown ones: {sorted(left)}")
+        for s in ready:
+            done[s.name] = s.run(*(done[a] for a in s.after))
+            del left[s.name]
+    return done
+
+
+def suggested_calls(plan: Plan, source: str) -> list[dict]:
+    """The calls that a client can make to follow a plan."""
+    out = []
+    if plan.formula:
+        out.append({"call": "lookup", "source": source, "formula": plan.formula, "fields": list(plan.fields), "limit": plan.limit or 50})
+    if plan.semantic or plan.mode != "rows_only":
+        out.append({"call": "semantic_search", "source": source, "query": plan.semantic, "top_k": plan.top_k})
+    return out

@@ -88,3 +88,25 @@ def hoisted(chunks: DataFrame) -> DataFrame:
 def envelope(df: DataFrame, keys: Column) -> DataFrame:
     """One JSON text per row, nulls left out, with a redacted metadata map."""
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "metadata"], keys.alias("metadata"))).alias("json"))
+
+
+RUNS = "run_id string, status string, started timestamp, finished timestamp, counters map<string,long>"
+LOG = "run_id string, key string, event string, at timestamp, deleted boolean"
+
+
+def log_run(spark: SparkSession, path: str, run: DataFrame) -> None:
+    """Insert or replace a run's row by run_id."""
+    ensure(spark, path, StructType.fromDDL(RUNS))
+    upsert(spark, path, run, "run_id")
+
+
+def log_documents(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Append document events; nothing that is there changes."""
+    ensure(spark, path, StructType.fromDDL(LOG))
+    write(read(spark, path).unionByName(rows), path)
+
+
+def soft_delete(spark: SparkSession, path: str, keys: DataFrame) -> None:
+    """Mark all events of the keys as deleted."""
+    ensure(spark, path, StructType.fromDDL(LOG))
+    write(updated(read(spark, path), keys.select("key").distinct().withColumn("deleted", F.lit(True)), "key", ["deleted"]), path)

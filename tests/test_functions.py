@@ -78,3 +78,24 @@ def test_planner():
     with pytest.raises(formula.FormulaError):
         planner.plan_question("x", cols, lambda q, c: planner.Plan("hybrid", "{Gone}='a'"))
     assert planner.plan_question("x", cols, lambda q, c: 1 / 0).mode == "semantic_only"
+
+
+def test_query_embedder_and_steps(spark):
+    calls = []
+    e = planner.QueryEmbedder(lambda q: calls.append(q) or [1.0, 2.0], 2, most=2)
+    assert [e(q) for q in ("a", "b", "a", "c", "a", "b")][0] == [1.0, 2.0] and calls == ["query: a", "query: b", "query: c", "query: b"]
+    with pytest.raises(ValueError):
+        planner.QueryEmbedder(lambda q: [1.0], 2)("a")
+    got = planner.execute([planner.Step("both", lambda a, b: a.intersect(b), ("x", "y")), planner.Step("x", lambda: spark.range(5)), planner.Step("y", lambda: spark.range(3, 9))])
+    assert sorted(r.id for r in got["both"].collect()) == [3, 4]
+    with pytest.raises(ValueError):
+        planner.execute([planner.Step("a", lambda b: b, ("b",)), planner.Step("b", lambda a: a, ("a",))])
+    assert [c["call"] for c in planner.suggested_calls(planner.Plan("hybrid", "{a}='x'", "q"), "s")] == ["lookup", "semantic_search"]
+
+
+def test_token_counts(spark):
+    from corvine.functions import tokens
+
+    df = spark.createDataFrame([("a b  c",), ("",), (None,)], "t string")
+    assert [r.n for r in df.select(tokens.words(F.col("t")).alias("n")).collect()] == [3, 0, 0]
+    assert [r.n for r in df.select(tokens.counter(lambda: lambda b: [len(x) for x in b])(F.col("t")).alias("n")).collect()] == [6, 0, 0]

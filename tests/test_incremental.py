@@ -84,3 +84,16 @@ def test_schema_snapshot(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_run_logs(spark, tmp_path):
+    runs, log = f"file://{tmp_path}/runs", f"file://{tmp_path}/log"
+    row = lambda status: spark.createDataFrame([("r1", status, None, None, {"n": 1})], sinks.RUNS)
+    sinks.log_run(spark, runs, row("running"))
+    sinks.log_run(spark, runs, row("done"))
+    assert [r.status for r in sinks.read(spark, runs).collect()] == ["done"]
+    event = lambda k: spark.createDataFrame([("r1", k, "indexed", None, False)], sinks.LOG)
+    sinks.log_documents(spark, log, event("a"))
+    sinks.log_documents(spark, log, event("b"))
+    sinks.soft_delete(spark, log, event("a").select("key"))
+    assert {r.key: r.deleted for r in sinks.read(spark, log).collect()} == {"a": True, "b": False}
