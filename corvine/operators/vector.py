@@ -40,20 +40,22 @@ def knn_quantised(vectors: DataFrame, query: DataFrame, k: int, factor: int = 8)
     return rough.select("vec_id", F.round(cosine(F.col("e"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def knn_hashed(vectors: DataFrame, query: DataFrame, k: int, planes: int = 6, tables: int = 24, seed: int = 3) -> DataFrame:
+def knn_hashed(vectors: DataFrame, query: DataFrame, k: int, planes: int = 5, tables: int = 24, seed: int = 3) -> DataFrame:
     """Approximate top k: only vectors that share a sign pattern with the query in one of several hash tables."""
     import random
 
+    spark, rng = vectors.sparkSession, random.Random(seed)
     dim = len(query.first()["q"])
-    rng = random.Random(seed)
     normals = [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(planes)] for _ in range(tables)]
+    shared = query.limit(1).crossJoin(spark.createDataFrame([(normals,)], "normals array<array<array<double>>>"))
 
     def signs(e: Column) -> Column:
-        return F.array(*(F.concat_ws("", F.lit(str(t)), F.lit(":"), *((dot(e, F.array(*map(F.lit, p))) >= 0).cast("int").cast("string") for p in normals[t])) for t in range(tables)))
+        side = lambda t: F.array_join(F.transform(t, lambda p: (dot(e, p) >= 0).cast("int").cast("string")), "")
+        return F.transform("normals", lambda t, i: F.concat(i.cast("string"), F.lit(":"), side(t)))
 
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = query.limit(1).select("q", signs(F.col("q")).alias("qs"))
-    near = v.withColumn("s", signs(F.col("e"))).crossJoin(F.broadcast(q)).filter(F.arrays_overlap("s", "qs"))
+    shared = shared.withColumn("qs", signs(F.col("q")))  # one row, so the planes travel as data and not as literals
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).crossJoin(F.broadcast(shared))
+    near = v.filter(F.arrays_overlap(signs(F.col("e")), "qs"))
     return near.select("vec_id", F.round(cosine(F.col("e"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 

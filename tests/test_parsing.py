@@ -148,3 +148,17 @@ def test_rerank_and_embedding_isolate_failures(spark):
         return [[1.0, 2.0] if "bad" not in t else [0.0] for t in texts]
 
     assert {r.text: r.embedding for r in hydrate.embed(c, model, 2).collect()} == {"a": [1.0, 2.0], "bad": None}
+
+
+def test_approximate_search_finds_most_of_the_exact(spark, sf):
+    from corvine.operators import vector
+    from corvine.session import table
+
+    v = table(spark, sf, "embeddings")
+    found = {"hashed": 0, "quantised": 0}
+    for i in range(0, 50, 10):
+        q = v.filter(F.col("vec_id") == i).select(F.col("embedding").cast("array<double>").alias("q"))
+        exact = {r.vec_id for r in vector.knn(v, q, 10).collect()}
+        found["quantised"] += len(exact & {r.vec_id for r in vector.knn_quantised(v, q, 10).collect()})
+        found["hashed"] += len(exact & {r.vec_id for r in vector.knn_hashed(v, q, 10).collect()})
+    assert found["quantised"] >= 45 and found["hashed"] >= 35
