@@ -78,10 +78,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     """
     d = docs.select("doc_id", "terms", F.size("terms").alias("dl"))
     stats = d.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    q = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    # explode_outer: an inner one infers a filter that analyses every text once more; joins drop the null terms
+    q = queries.select("query_id", F.explode_outer("terms").alias("term")).distinct()
     wanted = q.select("term").distinct()
-    tf = d.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = d.select("doc_id", "dl", F.explode_outer("terms").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # counts that read tf keep both uses of tf one and the same exchange
+    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
     hits = tf.join(df.join(q, "term"), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
