@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine.functions import text as X
 from corvine.operators import citations, rows
 from corvine.plans.catalog import query
-from corvine.session import table
+from corvine.session import scratch, table
 from corvine.sources import objects, records, sinks
 from corvine.streaming import incremental
 
@@ -180,11 +180,43 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("t").alias("target"), F.col("user_id").cast("string").alias("record_id"), F.when(F.col("event_type") == "purchase", "ok").otherwise("retry").alias("result"), F.col("event_id").alias("seq"))
 
 
-@query()
+LEDGER = """WITH e AS (SELECT user_id::VARCHAR AS record_id, event_id, event_type = 'purchase' AS ok FROM events),
+l AS (SELECT record_id, max(event_id) FILTER (ok) AS done FROM e GROUP BY record_id),
+n AS (SELECT record_id, count(*) FILTER (event_id > coalesce(done, -1)) AS n FROM e JOIN l USING (record_id) GROUP BY record_id)
+SELECT 't' AS target, record_id, CASE WHEN n = 0 THEN 'done' WHEN n >= 5 THEN 'dead' ELSE 'failed' END AS status, n::INT AS attempts, n = 0 AS deleted FROM n"""
+
+
+@query(LEDGER)
 def attempt_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.ledger_batch(deliveries(spark, sf_dir))
 
 
+@query(LEDGER)
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger, kept by a stream with state per job and upserted into a snapshot table."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a glob, as a stream takes no single file
+    d = e.select(F.lit("t").alias("target"), F.col("user_id").cast("string").alias("record_id"), F.when(F.col("event_type") == "purchase", "ok").otherwise("retry").alias("result"), F.col("event_id").alias("seq"))
+    target, state = scratch(spark, "ledger"), scratch(spark, "state")
+
+    def write(batch: DataFrame, number: int) -> None:
+        sinks.ensure(batch.sparkSession, target, batch.schema)
+        sinks.upsert(batch.sparkSession, target, batch, "record_id")
+
+    incremental.ledger(d).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return sinks.read(spark, target)
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of orders into a snapshot table with the last order of each customer."""
+    schema = table(spark, sf_dir, "orders").schema
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/order[s].parquet").select("o_custkey", "o_orderkey", "o_totalprice")
+    target = scratch(spark, "last_orders")
+    incremental.upsert_batches(s, target, "o_custkey", "o_orderkey", scratch(spark, "state"))
+    return sinks.read(spark, target)
+
+
 @query()
 def flush_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversations in batches of 20 turns, per eighth of them."""

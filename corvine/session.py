@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -24,3 +27,9 @@ def build(master: str = "local[8]", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below sf_dir; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder in spark.checkpoint.dir; a local one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corvine-scratch"
+    return f"{root.rstrip('/')}/corvine/{name}-{uuid.uuid4().hex}"
