@@ -16,10 +16,10 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_name").alias("Email"), F.col("n_name").alias("Office Location"), F.concat(F.initcap("c_mktsegment"), F.lit(" and Piano")).alias("Skills"), F.lower("n_name").alias("Languages"))
 
 
-@query("SELECT c_name AS \"Email\", n_name AS \"Office Location\", lower(n_name) AS \"Languages\" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE instr(lower(n_name), 'france') > 0 ORDER BY c_name LIMIT 50")
+@query("SELECT c_name AS \"Email\", n_name AS \"Office Location\", lower(n_name) AS \"Languages\" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE instr(lower(n_name), 'nation_3') > 0 ORDER BY c_name LIMIT 50")
 def literal_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = people(spark, sf_dir)
-    plan = planner.plan_question("Who speaks fluent France at the office?", p.columns)
+    plan = planner.plan_question("Who speaks fluent NATION_3 at the office?", p.columns)
     from corvine.operators import rows
 
     return rows.select(p, plan.formula, ["Email", "Office Location", "Languages"], 50, ["Email"])
