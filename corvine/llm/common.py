@@ -37,6 +37,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that cut() made below the session's shared folder; only when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/corvine")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int | None = None, absent: bool = False) -> DataFrame:
     """Rows of big whose key may be in keys (one bigint column): no misses, few extras, no shuffle of big.
 

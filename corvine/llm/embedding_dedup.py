@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import NO_ID, components, cut
+from corvine.llm.common import NO_ID, components, cut, lean
 from corvine.llm.pairs import LINKS, comparable, deal, forest
 from corvine.session import table
 
@@ -158,7 +158,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.95,
         seen.setdefault(r["dim"], []).append(r["embedding"])
     k = int(min(64, max(4, (reps.count() / 200) ** 0.5)))
     grids = {dim: Grid(unit(np.array(x)), k, cosine, recall) for dim, x in seen.items() if dim > 1}
-    placed = reps.mapInArrow(cells(grids), "label string, embedding array<double>, rep long, size long, dim int, visits array<int>")
+    placed = reps.mapInArrow(lean(cells(grids)), "label string, embedding array<double>, rep long, size long, dim int, visits array<int>")
     placed = placed.withColumn("home", F.element_at("visits", 1)).withColumn("cell", F.explode("visits"))
     placed = placed.withColumn("code", F.xxhash64("label", "dim", "cell")).withColumn("w", F.col("dim").cast("long"))
     dealt = deal(placed, ["label", "dim", "cell"], "rep", "w", 1024, 1_000_000, 1 + reps.count() // 2000)
@@ -175,3 +175,18 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.95,
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs; equals the query as long as the index misses none, which recall tests watch.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON a = id
+"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import bitmap_filter, cut
+from corvine.llm.common import bitmap_filter, cut, lean
 from corvine.session import table
 
 FILTER_SCHEMA = "block long, remainders binary, counts binary"
@@ -62,7 +62,7 @@ def repeated_fingerprints(fps: DataFrame, block_bits: int) -> DataFrame:
         high = np.uint64(t["block"][0].as_py()) << np.uint64(64 - block_bits)
         return pa.table({"fp": (remainders[counts > 1] | high).view(np.int64)})
 
-    return fps.mapInArrow(build, FILTER_SCHEMA).groupBy("block").applyInArrow(merge, "fp long")
+    return fps.mapInArrow(lean(build), FILTER_SCHEMA).groupBy("block").applyInArrow(merge, "fp long")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", per_block: int = 50_000) -> DataFrame:

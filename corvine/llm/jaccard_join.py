@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import NO_ID, bitmap_filter, components, cut, slices
+from corvine.llm.common import NO_ID, bitmap_filter, components, cut, lean, slices, small_batches
 from corvine.llm.pairs import LINKS, comparable, deal, forest
 from corvine.session import table
 
@@ -43,7 +43,7 @@ class Shingler:
 
         class Hashes(dict):
             def __missing__(self, word: str) -> int:
-                if len(self) > 500_000:
+                if len(self) > 150_000:
                     self.clear()
                 h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
                 return h
@@ -109,7 +109,7 @@ def sign(docs: DataFrame, gram: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(bits.ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists], names=["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SIGNED)
 
 
 def overlaps(owner: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
@@ -185,6 +185,7 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5,
     such rows); rows with one doc_id and different texts share a node; repeated rows count as copies. Columns beside
     doc_id and text are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(sign(d, gram, bands_for(num / den, recall, rows), rows), "signed")
     some = signed.filter("n > 0")
@@ -207,7 +208,7 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5,
 
     ours = active.select("rep", "f1", F.lit(True).alias("_ours"))
     texts = bitmap_filter(d, F.col("doc_id"), active.select("rep")).join(ours, F.col("doc_id") == F.col("rep"))
-    sets = texts.select("rep", "f1", "text").mapInArrow(shingles, "rep long, f1 long, shingles array<long>")
+    sets = texts.select("rep", "f1", "text").mapInArrow(lean(shingles), "rep long, f1 long, shingles array<long>")
     sets = sets.withColumn("n", F.size("shingles").cast("long"))
     groups = dealt.join(sets, ["rep", "f1", "n"]).groupBy("task", "lo", "hi")
     found = cut(groups.applyInArrow(verify(gram, num, den), LINKS), "links")
@@ -223,3 +224,17 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5,
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs by shared shingles.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT id AS doc_id, class_id, coalesce(n, 0) AS n_links, id = class_id AS kept FROM c LEFT JOIN n ON a = id
+"""

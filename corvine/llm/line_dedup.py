@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvine.llm.common import NO_ID, bitmap_filter, cut, discard, union_all
+from corvine.llm.common import NO_ID, bitmap_filter, cut, discard, lean, small_batches, union_all
 from corvine.session import table
 
 MIN_WORDS = 50
@@ -59,7 +59,7 @@ def split_lines(docs: DataFrame, least: int) -> DataFrame:
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[3:5]), pa.array(out[5], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "body", "idx", "h1", "h2", "lens"])
 
-    return docs.select("doc_id", "body", "text").mapInArrow(run, LINES)
+    return docs.select("doc_id", "body", "text").mapInArrow(lean(run), LINES)
 
 
 def ranked(pairs: DataFrame, one: str, two: str) -> DataFrame:
@@ -116,6 +116,7 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     the first copy of every line stays. Null texts stay null and have no lines. Rows with the same doc_id and text
     are the same document and get the same result. Other columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text")).alias("body"), F.col("text").cast("string").alias("text"))
     lines = cut(split_lines(d, least), "lines")
     runs = repeated_runs(lines)
@@ -136,7 +137,7 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     ids = gone.select("doc_id")
     touched = bitmap_filter(d, F.col("doc_id"), ids).join(gone, ["doc_id", "body"], "left")
     whole = bitmap_filter(d, F.col("doc_id"), ids, absent=True).withColumn("runs", F.lit(None).cast(gone.schema["runs"].dataType))
-    out = touched.unionByName(whole).mapInArrow(clean, "doc_id long, clean_text string, n_lines long, n_deleted long")
+    out = touched.unionByName(whole).mapInArrow(lean(clean), "doc_id long, clean_text string, n_lines long, n_deleted long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import NO_ID, cut
+from corvine.llm.common import NO_ID, cut, lean, small_batches
 from corvine.session import table
 
 #: Rows the scorer is fitted to, taken in the order of a hash of doc_id. Labels come from the labellers alone.
@@ -31,7 +31,7 @@ class Shapes(dict):
     """Of a word: the bucket of its shape (marks, case pattern, class of length), plus BUCKETS if it has odd marks."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         core = word.strip(".,;:!?*&%$#|\"'()[]")
         case = "U" if core.isupper() and len(core) > 1 else "T" if core.istitle() else "l" if core.islower() else "x" if core else "-"
@@ -174,6 +174,7 @@ def fit_linear(rows: list[tuple[dict[int, float], float]], rounds: int = 300, de
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """The scorer of a corpus. Votes are counted over all rows (at most 3**9 counts); features of the sample are collected."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("chosen", F.lit(True))
 
@@ -189,21 +190,23 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
                 values.append(list(f.values()) if own else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "code", "at", "values"])
 
-    seen = cut(d.join(F.broadcast(chosen), "doc_id", "left").mapInArrow(run, "doc_id long, code int, at array<int>, values array<double>"), "votes")
+    seen = cut(d.join(F.broadcast(chosen), "doc_id", "left").mapInArrow(lean(run), "doc_id long, code int, at array<int>, values array<double>"), "votes")
     post = posteriors({r["code"]: r["n"] for r in seen.groupBy("code").agg(F.count("*").alias("n")).collect()})
     rows = seen.filter("at is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "code", "at").limit(sample).collect()
     return fit_linear([(dict(zip(r["at"], r["values"], strict=True)), post[r["code"]]) for r in rows])
 
 
-def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality") -> DataFrame:
+def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality", columns: list[str] | None = None) -> DataFrame:
     """docs with two more columns: `to` (P(good), double) and `to`_kept (boolean, P >= 0.5); columns of that name go.
 
+    columns: those of docs to carry along (all, if not given); texts need not pass back from Python.
+
     The labellers vote on whole texts, EM over all rows turns votes into labels, and a linear scorer fitted to a bounded
     sample scores every row; no given labels are used. Null texts count as empty; texts without words score 0 and are
     rejected. Repeated rows get equal scores. An empty table gives an empty result.
     """
     weights = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
-    names = [c for c in docs.columns if c not in (to, f"{to}_kept")]
+    names = [c for c in columns or docs.columns if c not in (to, f"{to}_kept")]
     d = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_corvine_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +222,9 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality")
 
     from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-    return d.mapInArrow(run, StructType(d.select(*names).schema.fields).add(to, DoubleType()).add(f"{to}_kept", BooleanType()))
+    return d.mapInArrow(lean(run), StructType(d.select(*names).schema.fields).add(to, DoubleType()).add(f"{to}_kept", BooleanType()))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = score_documents(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return d.select("doc_id", F.col("quality").alias("score"), F.col("quality_kept").alias("kept"))

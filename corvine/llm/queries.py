@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_jaccard_join": jaccard_join.OP2_SQL,
+    "op5_embedding_dedup": embedding_dedup.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
