@@ -12,7 +12,7 @@ from corvine.llm.common import NO_ID, cut, without
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.score_documents(docs.select("doc_id", "text"))
+    scored = quality.score_documents(docs, columns=["doc_id"])
     rejected = scored.filter(~F.col("quality_kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
     return without(docs, cut(rejected.distinct(), "rejected"))
 
