@@ -73,17 +73,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     """The k best docs of each query: query_id, doc_id, score, rank.
 
     docs: doc_id, terms (array). queries: query_id, terms (distinct). Postings are cut to the queries' terms before
-    anything is shuffled; term and document frequencies come from aggregations with map-side combine, the length
-    statistics are one row, and ranks per query are limited before the shuffle by the window's group limit.
+    anything is shuffled. An empty term for every document carries its length, so term frequencies, document
+    frequencies and length statistics all read one and the same exchange: every text is analysed once. All keys are
+    non-null, or the joins would infer filters that tell the three uses apart. Ranks per query are limited before the
+    shuffle by the window's group limit.
     """
-    d = docs.select("doc_id", "terms", F.size("terms").alias("dl"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # explode_outer: an inner one infers a filter that analyses every text once more; joins drop the null terms
-    q = queries.select("query_id", F.explode_outer("terms").alias("term")).distinct()
-    wanted = q.select("term").distinct()
-    tf = d.select("doc_id", "dl", F.explode_outer("terms").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    # counts that read tf keep both uses of tf one and the same exchange
-    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
+    term = F.coalesce("t", F.lit("")).alias("term")
+    q = queries.select("query_id", F.explode_outer("terms").alias("t")).select("query_id", term).distinct().filter("term <> ''")
+    wanted = q.select("term").union(q.sparkSession.range(1).select(F.lit(""))).distinct()
+    one = docs.select("doc_id", F.size("terms").alias("dl"), F.explode_outer(F.concat("terms", F.array(F.lit("")))).alias("t"))
+    tf = one.select("doc_id", "dl", term).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    once = F.least("tf", F.lit(1))
+    df = tf.groupBy("term").agg(F.sum(once).alias("df"))
+    own = F.col("term") == ""
+    stats = tf.agg(F.sum(F.when(own, once)).alias("n_docs"), F.avg(F.when(own, F.col("dl"))).alias("avgdl"))
     hits = tf.join(df.join(q, "term"), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
