@@ -60,10 +60,7 @@ def _normal(form: str):
 
 
 def unicode_normal(c: Column, form: str) -> Column:
-    """Unicode normal form; plain ASCII, where all forms agree, never leaves the JVM's column path's result.
-
-    Spark has no such built-in, so other strings pass an Arrow function.
-    """
+    """Unicode normal form. Spark has no such built-in, so strings pass an Arrow function; callers ask for it by `fold`."""
     return _normal(form)(c)
 
 
@@ -189,4 +186,4 @@ def drop_page_numbers(c: Column) -> Column:
 def first_json(c: Column) -> Column:
     """The outermost braces of a reply with chatter around them, if they hold valid JSON."""
     body = F.regexp_extract(text(c), r"(?s)(\{.*\})", 1)
-    return F.when(F.schema_of_json(F.lit("{}")).isNotNull() & F.try_parse_json(body).isNotNull() & (body != ""), body)
+    return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)

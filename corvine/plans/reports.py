@@ -191,7 +191,7 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def except_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.filter("o_orderstatus = 'F'").select("o_custkey").exceptAll(o.filter("o_orderstatus = 'O'").select("o_custkey")).distinct().join(o.filter("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti")
+    return o.filter("o_orderstatus = 'F'").select("o_custkey").subtract(o.filter("o_orderstatus = 'O'").select("o_custkey"))
 
 
 @query("SELECT * FROM (SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50) ORDER BY p_retailprice DESC, p_partkey LIMIT 10")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Suffixes read as text.
 TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".csv", ".json", ".html", ".htm", ".xml", ".yaml", ".yml", ".log")
 NORMALISED = "__normalized.txt"
+# Fixed value: the name of a directory's sidecar.
 SIDECAR = ".airtable_meta.json"
 
 
