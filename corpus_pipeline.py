@@ -7,26 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import exact_dedup, jaccard_join, packing, pii, quality
-from corvine.llm.common import NO_ID, cut, without
+from corvine.llm.common import NO_ID, cut, numbered, without
+
+
+#: Numbers the rows of a stage's input: a doc_id may be null or repeated, so rows are dropped by this.
+ROW = "_corvine_row"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.score_documents(docs, columns=["doc_id"])
-    rejected = scored.filter(~F.col("quality_kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
-    return without(docs, cut(rejected.distinct(), "rejected"))
+    docs = numbered(docs, ROW)
+    rejected = quality.score_documents(docs, columns=[ROW]).filter(~F.col("quality_kept")).select(ROW)
+    return without(docs, cut(rejected, "rejected")).drop(ROW)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the largest doc_id."""
-    copies = exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
-    return without(docs, cut(copies.distinct(), "copies"))
+    """One row of each group of equal texts: that with the largest doc_id, or one of those."""
+    docs = numbered(docs, ROW)
+    copies = exact_dedup.exact_dedup(docs, row=ROW).filter(~F.col("kept")).select(ROW)
+    return without(docs, cut(copies, "copies")).drop(ROW)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    copies = jaccard_join.jaccard_join(docs).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
-    return without(docs, cut(copies.distinct(), "copies"))
+    """One row of each group of near copies: that with the smallest doc_id (null before all), or one of those."""
+    docs = numbered(docs, ROW)
+    found = jaccard_join.jaccard_join(docs.select(F.col(ROW).alias("doc_id"), "text")).filter("n_links > 0")
+    linked = cut(found.select(F.col("doc_id").alias(ROW), "class_id"), "linked")
+    ids = docs.select(ROW, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_corvine_id"))
+    first = linked.join(ids, ROW).groupBy("class_id").agg(F.min(F.struct("_corvine_id", ROW))[ROW].alias(ROW))
+    return without(docs, cut(linked.select(ROW).join(first.select(ROW), ROW, "left_anti"), "copies")).drop(ROW)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,13 +63,18 @@ def bitmap_filter(big: DataFrame, key: Column, keys: DataFrame, bits: int | None
     return out.filter(~F.coalesce(hit, F.lit(False)) if absent else hit).drop("_corvine_h", "_corvine_word", "_corvine_bits")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written, with a bigint column `name` that no two rows share; it doesn't change when rows are read again."""
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in dropped (a written table of one bigint column, NO_ID standing for null).
+    """docs but for the rows whose number is in dropped, a written table of one column; docs has it under the same name.
 
-    Texts are not shuffled but for the few that the bitmap of dropped ids cannot clear.
+    Texts are not shuffled but for the few that the bitmap of dropped numbers cannot clear.
     """
     (col,) = dropped.columns
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    key = F.col(col)
     gone = dropped.select(F.col(col).alias("_corvine_gone"))
     doubtful = bitmap_filter(docs, key, dropped)
     return bitmap_filter(docs, key, dropped, absent=True).unionByName(doubtful.join(gone, key == F.col("_corvine_gone"), "left_anti"))

@@ -65,26 +65,30 @@ def repeated_fingerprints(fps: DataFrame, block_bits: int) -> DataFrame:
     return fps.mapInArrow(lean(build), FILTER_SCHEMA).groupBy("block").applyInArrow(merge, "fp long")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", per_block: int = 50_000) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", per_block: int = 50_000, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and row if given.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the largest doc_id stays; a null doc_id
     is the smallest. Rows repeated with the same doc_id are copies of each other and all carry kept = true for the
-    largest id. Other columns are not read. Blocks of the filters grow in number with the rows, so each stays at about
+    largest id; where `row` names a column that no two rows share, only the one with the largest number carries it.
+    Other columns are not read. Blocks of the filters grow in number with the rows, so each stays at about
     per_block fingerprints. Only texts whose fingerprint occurs twice are shuffled and compared byte for byte.
     """
     rows = docs.count()
     block_bits = max(4, min(40, (max(rows, 1) // per_block).bit_length()))
+    extra = [row] if row else []
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("fp"))
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("fp"), *extra)
     dup = cut(repeated_fingerprints(d.select("fp"), block_bits), "fingerprints")
     suspects = bitmap_filter(d, F.col("fp"), dup)
-    groups = suspects.groupBy("fp", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    groups = groups.select(F.col("fp").alias("_fp"), F.sha2("body", 256).alias("_sha"), "keep_id", "group_size")
-    own = d.select("doc_id", "fp", F.sha2("body", 256).alias("text_sha256"))
+    last = [F.max(F.struct("doc_id", row))[row].alias("_keep_row")] if row else []  # in a struct too, null is the smallest
+    groups = suspects.groupBy("fp", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), *last).filter("group_size > 1")
+    groups = groups.select(F.col("fp").alias("_fp"), F.sha2("body", 256).alias("_sha"), "keep_id", "group_size", *(["_keep_row"] if row else []))
+    own = d.select("doc_id", "fp", F.sha2("body", 256).alias("text_sha256"), *extra)
     out = own.join(groups, (own.fp == groups._fp) & (own.text_sha256 == groups._sha), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    kept = F.coalesce(F.col(row) == F.col("_keep_row"), F.lit(True)) if row else F.col("doc_id").eqNullSafe(keep)
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", *extra)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

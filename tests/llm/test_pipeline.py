@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from corvine.session import table
 
@@ -45,3 +47,22 @@ def test_odd_tables(spark):
             d = C.cut(stage(spark, d, ""), name)
             assert d.columns == docs.columns
         C.STAGES[-1][1](spark, d, "").collect()
+
+
+def test_rows_without_an_id_of_their_own(spark, sf):
+    d = table(spark, sf, "documents")
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.floor(F.col("doc_id") / 2)))
+    docs = C.cut(d.unionByName(d.filter("doc_id is null or doc_id < 100")), "odd")  # null ids, two texts under one id, repeated rows
+    rows = lambda x: sorted(map(str, x.select(*docs.columns).collect()))
+    good = C.cut(C.keep_good(spark, docs, sf), "good")
+    assert rows(good) == rows(C.quality.score_documents(docs).filter("quality_kept"))
+    largest = {}
+    for r in good.collect():
+        largest[r.text] = max(-1 if r.doc_id is None else r.doc_id, largest.get(r.text, -1))
+    got = C.drop_copies(spark, good, sf).collect()
+    assert sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in got) == sorted(largest.items())
+    text = lambda a, k=0: " ".join([f"t{i}" for i in range(k)] + [f"{a}{i}" for i in range(60 - k)])
+    near = [(None, text("a")), (None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("d", 1)), (4, text("e")), (3, text("e", 1)), (None, "?"), (5, text("f")), (None, text("f", 1))]
+    got = C.drop_near_copies(spark, spark.createDataFrame(near, "doc_id long, text string"), sf).collect()
+    want = [*near[1:5], *near[7:9], near[10]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
