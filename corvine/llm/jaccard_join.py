@@ -86,6 +86,16 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, bands: int, rows: int) ->
     return out.view(np.int64)
 
 
+def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints (2 by sets) of shingle sets, 0 for empty ones."""
+    full = np.flatnonzero(np.diff(offsets))
+    out = np.zeros((2, len(offsets) - 1), np.uint64)
+    if len(full):
+        for k, salt in enumerate((1, 2)):
+            out[k, full] = np.add.reduceat(mix(flat + np.uint64(salt * 0x9E3779B9)), offsets[:-1][full])
+    return out.view(np.int64)
+
+
 def sign(docs: DataFrame, gram: int, bands: int, rows: int) -> DataFrame:
     """Per row: the size and a 128-bit fingerprint of its shingle set, and its band hashes (empty sets: none)."""
 
@@ -97,17 +107,12 @@ def sign(docs: DataFrame, gram: int, bands: int, rows: int) -> DataFrame:
                 flat, offsets = shingle(texts[i:j])
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
-                prints = np.zeros((2, j - i), np.uint64)
-                bits = np.empty((0, bands), np.int64)
-                if len(full):
-                    heads = offsets[:-1][full]
-                    for k, salt in enumerate((1, 2)):
-                        prints[k, full] = np.add.reduceat(mix(flat + np.uint64(salt * 0x9E3779B9)), heads)
-                    bits = signatures(flat, np.append(heads, len(flat)), bands, rows)
+                prints = fingerprints(flat, offsets)
+                bits = signatures(flat, np.append(offsets[:-1][full], len(flat)), bands, rows) if len(full) else np.empty((0, bands), np.int64)
                 sizes = np.zeros(j - i, np.int32)
                 sizes[full] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists], names=["doc_id", "n", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), lists], names=["doc_id", "n", "f1", "f2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), SIGNED)
 
@@ -145,14 +150,12 @@ def verify(gram: int, num: int, den: int):
 
     def run(t: pa.Table) -> pa.Table:
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        comp, rep, size, blk, f1 = (t[c].to_numpy() for c in ("comp", "rep", "size", "blk", "f1"))
+        comp, rep, size, blk, node = (t[c].to_numpy() for c in ("comp", "rep", "size", "blk", "node"))
         lists = t["shingles"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
         found = []
-        order = np.lexsort((f1, rep, comp))
-        same = np.append(False, (comp[order][1:] == comp[order][:-1]) & (rep[order][1:] == rep[order][:-1]) & (f1[order][1:] == f1[order][:-1]))
-        order = order[~same]  # repeated rows
+        order = np.lexsort((node, rep, comp))
         cuts_ = np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1]))
         for who in np.split(order, cuts_[1:]):
             if len(who) < 2:
@@ -165,9 +168,9 @@ def verify(gram: int, num: int, den: int):
             np.fill_diagonal(linked, False)
             if (across := comparable(blk[who], lo, hi)) is not None:
                 linked &= across
-            found.append(forest(linked, rep[who], size[who]))
-        ids, roots, links = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        return pa.table({"rep": ids.astype(np.int64), "root": roots.astype(np.int64), "links": links.astype(np.int64)})
+            found.append((*forest(linked, rep[who], size[who]), node[who][linked.any(1)]))  # who is in the order of rep, as forest's result
+        columns = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+        return pa.table({name: x.astype(np.int64) for name, x in zip(("rep", "root", "links", "node"), columns, strict=True)})
 
     return run
 
@@ -177,25 +180,29 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5,
 
     Two documents link when the Jaccard similarity of their word n-gram sets is num/den or more. n_links counts the
     other documents linked directly, class_id is the smallest doc_id reachable by links and kept marks that document.
-    Documents with equal sets are one representative with a size. Representatives that share a band hash become
+    Documents with equal sets are one node with a size and a representative, the smallest doc_id. Nodes that share a band hash become
     candidate groups (components), and all pairs inside a group are verified on their full sets, so that of the pairs
     at the threshold a share of `recall` or more is found. Large groups are dealt as pairs of blocks.
 
-    Texts that are null, empty or without words link with nothing. A null doc_id is a node of its own (shared by all
-    such rows); rows with one doc_id and different texts share a node; repeated rows count as copies. Columns beside
+    Texts that are null, empty or without words link with nothing. Null stands for one doc_id, the smallest; different
+    texts under one doc_id have links of their own, and one class where that doc_id is the representative of both;
+    repeated rows count as copies. Columns beside
     doc_id and text are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(sign(d, gram, bands_for(num / den, recall, rows), rows), "signed")
     some = signed.filter("n > 0")
-    reps = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "reps")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("root"), F.max("rep").alias("last")).filter("root < last").drop("last")
-    near = components(banded.join(buckets, "band").filter("rep <> root").select("rep", "root").distinct(), "rep", "root")
-    active = cut(reps.drop("bands").join(near.select(F.col("id").alias("rep"), F.col("label").alias("comp")), "rep"), "active")
+    reps = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "reps")
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).filter("root < last").drop("last")
+    met = banded.join(buckets, "band").groupBy("node").agg(F.collect_set("root").alias("roots"))  # a root for each band at most
+    # each node and all its roots hang on the smallest of them: the same components with few edges, as roots are shared
+    stars = met.select(F.explode(F.array_union("roots", F.array("node"))).alias("node"), F.array_min("roots").alias("root"))
+    near = components(stars.filter("node <> root").distinct(), "node", "root")
+    active = cut(reps.drop("bands").join(near.select(F.col("id").alias("node"), F.col("label").alias("comp")), "node"), "active")
     weight = active.agg(F.sum("n")).first()[0] or 0
-    dealt = deal(active, ["comp"], "rep", "n", 1024, 1_000_000, 1 + weight // 400_000)
+    dealt = deal(active, ["comp"], "node", "n", 1024, 1_000_000, 1 + weight // 400_000)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(gram)
@@ -204,17 +211,16 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5,
             for i, j in slices(texts):
                 flat, offsets = shingle(texts[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("rep", "f1")), lists], names=["rep", "f1", "shingles"])
-
-    ours = active.select("rep", "f1", F.lit(True).alias("_ours"))
-    texts = bitmap_filter(d, F.col("doc_id"), active.select("rep")).join(ours, F.col("doc_id") == F.col("rep"))
-    sets = texts.select("rep", "f1", "text").mapInArrow(lean(shingles), "rep long, f1 long, shingles array<long>")
-    sets = sets.withColumn("n", F.size("shingles").cast("long"))
-    groups = dealt.join(sets, ["rep", "f1", "n"]).groupBy("task", "lo", "hi")
-    found = cut(groups.applyInArrow(verify(gram, num, den), LINKS), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, fingerprints(flat, offsets)), lists], names=["f1", "f2", "shingles"])
+
+    texts = bitmap_filter(d, F.col("doc_id"), active.select("rep"))
+    sets = texts.select("text").mapInArrow(lean(shingles), "f1 long, f2 long, shingles array<long>")
+    sets = bitmap_filter(sets, F.col("f1"), active.select("f1")).groupBy("f1", "f2").agg(F.first("shingles").alias("shingles"))
+    groups = dealt.join(sets, ["f1", "f2"]).groupBy("task", "lo", "hi")
+    found = cut(groups.applyInArrow(verify(gram, num, den), f"{LINKS}, node long"), "links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("rep <> root"), "rep", "root").select(F.col("id").alias("rep"), "label")
-    classes = reps.drop("bands", "n").join(links, "rep", "left").join(roots, "rep", "left")
+    classes = reps.drop("bands", "n").join(links, "node", "left").join(roots, "rep", "left")
     classes = classes.select("f1", "f2", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(classes, ["f1", "f2"], "left")
     own = F.coalesce("class_id", "doc_id")

@@ -69,6 +69,17 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert J.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_texts_that_share_an_id(spark):
+    text = lambda a, k=0: " ".join([f"t{i}" for i in range(k)] + [f"{a}{i}" for i in range(60 - k)])
+    # sets of equal size under the null id, near copies of them under other ids, and near copies under one id
+    rows = [(None, text(a)) for a in "abcdefgh"] + [(1, text("a", 1)), (2, text("b", 1)), (2, text("b", 1)), (3, text("x")), (3, text("y")), (4, text("y", 1)), (5, text("z")), (5, text("z", 1)), (None, text("h", 1)), (6, text("q"))]
+    sets = [shingles(t) for _, t in rows]
+    want = [(i or 0, sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1) for (i, _), a in zip(rows, sets, strict=True)]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_links) for r in got) == sorted(want)
+    assert {r.doc_id: r.class_id for r in got if r.doc_id and r.doc_id > 3} == {4: 3, 5: 5, 6: 6}
+
+
 def test_bands_reach_the_recall():
     b = J.bands_for(0.8, 0.999, 8)
     assert 1 - (1 - 0.8**8) ** b >= 0.999 > 1 - (1 - 0.8**8) ** (b - 1)
