@@ -63,6 +63,13 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "heading", F.col("level").cast("long").alias("level"), "body", F.array_join("path", "/").alias("path"))
 
 
+@query()
+def section_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and heading paths of conversations with whole turns; headings may stand inside a turn."""
+    s = parsers.sections(sectioned(spark, sf_dir))
+    return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "heading", F.col("level").cast("long").alias("level"), "body", F.array_join("path", "/").alias("path"))
+
+
 @query()
 def section_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.tidy(parsers.sections(sectioned(spark, sf_dir)))
