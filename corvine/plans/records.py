@@ -87,6 +87,17 @@ def linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.linked_names(o, "o_orderkey", "ids", n).select("o_orderkey", F.array_join("names", ",").alias("names"))
 
 
+@query("""WITH x AS (SELECT o_orderkey, [o_custkey % 30, 999, o_custkey % 7] AS ids FROM orders),
+e AS (SELECT o_orderkey, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM x),
+g AS (SELECT o_orderkey, string_agg(n_name, ',' ORDER BY pos) FILTER (n_name IS NOT NULL) AS known, string_agg(id::VARCHAR, ',' ORDER BY pos) AS raw FROM e LEFT JOIN nation ON n_nationkey = id AND id >= 7 GROUP BY o_orderkey)
+SELECT o_orderkey, coalesce(known, raw) AS names FROM g""")
+def linked_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked_names over all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_custkey") % 30, F.lit(999).cast("long"), F.col("o_custkey") % 7).alias("ids"))
+    n = table(spark, sf_dir, "nation").filter("n_nationkey >= 7").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return rows.linked_names(o, "o_orderkey", "ids", n).select("o_orderkey", F.array_join("names", ",").alias("names"))
+
+
 @query("""SELECT DISTINCT l_suppkey AS key FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40
 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0""")
 def cross_source_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:

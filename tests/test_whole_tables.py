@@ -39,3 +39,8 @@ def test_sections_of_whole_turns(spark, tmp_path):
     got = catalog.QUERIES["section_split_whole"](spark, str(tmp_path)).select("doc_id", "ord", "heading", "level", "body", "path").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert any("second line." in r.body for r in got) and any(r.heading == "Deep" for r in got)
+
+
+def test_all_orders_get_names(spark, sf):
+    got = {r.o_orderkey for r in catalog.QUERIES["linked_names_whole"](spark, sf).collect()}
+    assert got == {r.o_orderkey for r in table(spark, sf, "orders").collect()}
