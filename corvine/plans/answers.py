@@ -16,6 +16,11 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_name").alias("Email"), F.col("n_name").alias("Office Location"), F.concat(F.initcap("c_mktsegment"), F.lit(" and Piano")).alias("Skills"), F.lower("n_name").alias("Languages"))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as a text of its own, under conversation/turn."""
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
+
+
 @query("SELECT c_name AS \"Email\", n_name AS \"Office Location\", lower(n_name) AS \"Languages\" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE instr(lower(n_name), 'nation_3') > 0 ORDER BY c_name LIMIT 50")
 def literal_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = people(spark, sf_dir)
@@ -30,7 +35,7 @@ def search_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = planner.Registry()
     r.add(planner.Source("people", rows=people(spark, sf_dir), order="Email"))
     r.add(planner.Source("documents", chunks=table(spark, sf_dir, "documents").select("doc_id", "text")))
-    r.add(planner.Source("talks", chunks=table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")))
+    r.add(planner.Source("talks", chunks=turns(spark, sf_dir)))
     return planner.search(r, "who knows piano with experience in theand thon", top_k=10)
 
 
@@ -38,5 +43,5 @@ def search_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = planner.Registry()
     r.add(planner.Source("documents", chunks=table(spark, sf_dir, "documents").select("doc_id", "text")))
-    r.add(planner.Source("talks", chunks=table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")))
+    r.add(planner.Source("talks", chunks=turns(spark, sf_dir)))
     return planner.search(r, "theand thon ererea", top_k=10, merge="rrf")

@@ -182,6 +182,14 @@ def union_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("SELECT doc_id, lang, source, NULL::BIGINT AS turn FROM documents UNION ALL SELECT conv_id, NULL, role, turn FROM conversations")
+def union_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """union_lists over whole tables."""
+    a = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    b = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("source"), "turn")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query("SELECT n_regionkey, list_aggregate(list_sort(list_distinct(list_concat(['A', 'B'], list(n_name)))), 'string_agg', ',') AS fields FROM nation GROUP BY 1")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("x"))

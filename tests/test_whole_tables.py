@@ -44,3 +44,18 @@ def test_sections_of_whole_turns(spark, tmp_path):
 def test_all_orders_get_names(spark, sf):
     got = {r.o_orderkey for r in catalog.QUERIES["linked_names_whole"](spark, sf).collect()}
     assert got == {r.o_orderkey for r in table(spark, sf, "orders").collect()}
+
+
+def test_union_of_whole_tables(spark, sf):
+    n = table(spark, sf, "documents").count() + table(spark, sf, "conversations").count()
+    assert catalog.QUERIES["union_lists_whole"](spark, sf).count() == n
+
+
+def test_searches_reach_later_turns(spark, tmp_path):
+    words = "theand thon ererea piano experience"
+    spark.createDataFrame([(1, 0, "user", "nothing here"), (1, 3, "user", words), (2, 1, "user", words + " again")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("c", 1, "M")], "c_name string, c_nationkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "N")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    for name in ("search_all_sources", "search_fused"):
+        assert {"1/3", "2/1"} == {r.id for r in catalog.QUERIES[name](spark, str(tmp_path)).filter("source = 'talks'").collect()} - {"1/0"}
