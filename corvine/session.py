@@ -29,7 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir. Where it is unset: a local folder in local mode, else an error, as
+    every executor would write to a disk of its own.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/corvine-scratch"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder in spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corvine-scratch"
-    return f"{root.rstrip('/')}/corvine/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder."""
+    return f"{shared_root(spark)}/corvine/{name}-{uuid.uuid4().hex}"
