@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -10,14 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.session import shared_root
+
 #: Stands for a null doc_id inside an operator; results carry the null again.
 NO_ID = -(2**63)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or f"file://{tempfile.gettempdir()}/corvine-scratch").rstrip("/")
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a local one in local mode and else an error."""
+    return shared_root(spark)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -85,28 +85,40 @@ def shift_left(one: Column, n: Column) -> Column:
     return F.call_function("shiftleft", one, n)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label): the smallest id reachable from each endpoint of edges (both bigint, undirected).
 
-    Minimum labels travel over edges and then jump along labels, so chains halve every round. Every step is an
-    aggregation with map-side combine or an equi-join that adaptive execution can split; each round is written.
+    Contraction: every node goes to its smallest neighbour, and along such steps to a node without a smaller one; then
+    both ends of every edge are replaced, loops and repeats go, and what is left is contracted again. A node that has
+    moved is in no later edge, so edges only shrink and the loop ends. Every step is an aggregation with map-side
+    combine or an equi-join that adaptive execution can split; each is written.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    both = cut(e.union(e.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        heard = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("next"))
-        ends = labels.select(F.col("id").alias("next"), F.col("label").alias("jump"))
-        new = cut(near.join(ends, "next").select("id", F.least("next", "jump").alias("new"), "label"), "labels")
-        moved = not new.filter("new <> label").isEmpty()
-        discard(labels)
-        labels = new.select("id", F.col("new").alias("label"))
-        labels.scratch_path = new.scratch_path
-        if not moved:
-            discard(both)
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    e = cut(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not e.isEmpty():
+        up = cut(e.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("label")), "moves")
+        while True:  # every step doubles the way
+            ends = up.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            far = cut(up.join(ends, "label", "left").select("id", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "moves")
+            discard(up)
+            up = far.select("id", "label")
+            up.scratch_path = far.scratch_path
+            if far.filter("moved").isEmpty():
+                break
+        x, y = up.select(F.col("id").alias("hi"), F.col("label").alias("a")), up.select(F.col("id").alias("lo"), F.col("label").alias("b"))
+        left = e.join(x, "hi").select("a", "lo").distinct().join(y, "lo", "left").select("a", F.coalesce("b", "lo").alias("b")).filter("a <> b")
+        new = cut(left.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+        discard(e)
+        e = new
+        moves.append(up)
+    if not moves:
+        return e.select(F.col("hi").alias("id"), F.col("lo").alias("label"))
+    found = moves.pop()
+    while moves:  # where earlier moves ended, later ones go on
+        later = found.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        earlier = moves.pop().join(later, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+        found = cut(earlier.unionByName(found), "labels")
+    return found.unionByName(found.select(F.col("label").alias("id"), "label").distinct())
 
 
 def gapless(df: DataFrame, group: str, order: list[Column], name: str, buckets: int, by: Column) -> DataFrame:

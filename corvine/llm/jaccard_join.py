@@ -146,63 +146,91 @@ def overlaps(owner: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
 
 
 def verify(gram: int, num: int, den: int):
-    """Links among the members of each group of one call, judged on full sets: overlap / union >= num / den."""
+    """Links among the members of each group of one call, judged on full sets: overlap / union >= num / den.
+
+    Two members may meet in several groups; a pair counts in the smallest of those only.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        comp, rep, size, blk, node = (t[c].to_numpy() for c in ("comp", "rep", "size", "blk", "node"))
-        lists = t["shingles"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        group, size, blk, node = (t[c].to_numpy() for c in ("group", "size", "blk", "node"))
+        flat, ends = unfolded(t["shingles"])
+        elsewhere, at = unfolded(t["groups"])
         found = []
-        order = np.lexsort((node, rep, comp))
-        cuts_ = np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1]))
-        for who in np.split(order, cuts_[1:]):
+        order = np.lexsort((node, group))
+        for who in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             if len(who) < 2:
                 continue
             n = ends[who + 1] - ends[who]
-            sets = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[who], n)]
-            both = overlaps(np.repeat(np.arange(len(who)), n), sets, len(who))
-            either = n[:, None] + n[None, :] - both
-            linked = both * den >= either * num
+            both = overlaps(np.repeat(np.arange(len(who)), n), flat[spread(ends[who], n)], len(who))
+            linked = both * den >= (n[:, None] + n[None, :] - both) * num
             np.fill_diagonal(linked, False)
             if (across := comparable(blk[who], lo, hi)) is not None:
                 linked &= across
-            found.append((*forest(linked, rep[who], size[who]), node[who][linked.any(1)]))  # who is in the order of rep, as forest's result
-        columns = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
-        return pa.table({name: x.astype(np.int64) for name, x in zip(("rep", "root", "links", "node"), columns, strict=True)})
+            m = at[who + 1] - at[who]
+            others = elsewhere[spread(at[who], m)]
+            smaller = others < group[who[0]]
+            if smaller.any():
+                names, which = np.unique(others[smaller], return_inverse=True)
+                member = np.zeros((len(who), len(names)), np.float32)
+                member[np.repeat(np.arange(len(who)), m)[smaller], which] = 1
+                linked &= member @ member.T == 0
+            found.append(forest(linked, node[who], size[who]))
+        columns = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        return pa.table({name: x.astype(np.int64) for name, x in zip(("rep", "root", "links"), columns, strict=True)})
 
     return run
 
 
+def unfolded(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists one after the other, and where each list begins, and the last ends."""
+    one = lists.combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+    return one.flatten().to_numpy(), np.append(0, np.cumsum(one.value_lengths().to_numpy()))
+
+
+def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers begins[k] .. begins[k] + counts[k] - 1 of all k, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)
+
+
+def candidate_groups(banded: DataFrame) -> DataFrame:
+    """(node, groups): for each node of banded (node, band) that shares a band, the groups in which it meets others.
+
+    A band's nodes hang on the smallest of them, its root; a root that itself hangs on smaller nodes passes its own on
+    to the smallest. So two nodes with a common band have a common group, a tight cluster makes one or a few groups
+    instead of one for each band, and no group reaches further than two steps from its root: similar texts that only
+    chain along do not gather in one. Rows carry numbers alone, as many for a node as it has bands at most.
+    """
+    buckets = banded.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).filter("root < last").drop("last")
+    met = cut(banded.join(buckets, "band").groupBy("node").agg(F.collect_set("root").alias("roots")), "met")
+    up = met.select(F.col("node").alias("root"), F.array_min("roots").alias("group"))
+    return met.select("node", F.explode("roots").alias("root")).join(up, "root").groupBy("node").agg(F.sort_array(F.collect_set("group")).alias("groups"))
+
+
 def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, kept.
 
     Two documents link when the Jaccard similarity of their word n-gram sets is num/den or more. n_links counts the
     other documents linked directly, class_id is the smallest doc_id reachable by links and kept marks that document.
-    Documents with equal sets are one node with a size and a representative, the smallest doc_id. Nodes that share a band hash become
-    candidate groups (components), and all pairs inside a group are verified on their full sets, so that of the pairs
-    at the threshold a share of `recall` or more is found. Large groups are dealt as pairs of blocks.
+    Documents with equal sets are one node with a size and a representative, the smallest doc_id. Nodes that share a
+    band hash meet in candidate groups, where every pair is verified once on its full sets, so that of the pairs at the
+    threshold a share of `recall` or more is found. Large groups are dealt as pairs of blocks.
 
     Texts that are null, empty or without words link with nothing. Null stands for one doc_id, the smallest; different
-    texts under one doc_id have links of their own, and one class where that doc_id is the representative of both;
-    repeated rows count as copies. Columns beside
-    doc_id and text are not read. An empty table gives an empty result.
+    texts under one doc_id have links and classes of their own; repeated rows count as copies. Columns beside doc_id and
+    text are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(sign(d, gram, bands_for(num / den, recall, rows), rows), "signed")
     some = signed.filter("n > 0")
     reps = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "reps")
-    banded = reps.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).filter("root < last").drop("last")
-    met = banded.join(buckets, "band").groupBy("node").agg(F.collect_set("root").alias("roots"))  # a root for each band at most
-    # each node and all its roots hang on the smallest of them: the same components with few edges, as roots are shared
-    stars = met.select(F.explode(F.array_union("roots", F.array("node"))).alias("node"), F.array_min("roots").alias("root"))
-    near = components(stars.filter("node <> root").distinct(), "node", "root")
-    active = cut(reps.drop("bands").join(near.select(F.col("id").alias("node"), F.col("label").alias("comp")), "node"), "active")
-    weight = active.agg(F.sum("n")).first()[0] or 0
-    dealt = deal(active, ["comp"], "node", "n", 1024, 1_000_000, 1 + weight // 400_000)
+    groups = candidate_groups(reps.select("node", F.explode("bands").alias("band")))
+    active = cut(reps.drop("bands").join(groups, "node"), "active")
+    members = active.select("node", "size", "n", "f1", "f2", "groups", F.explode("groups").alias("group"))
+    weight = members.agg(F.sum("n")).first()[0] or 0
+    dealt = deal(members, ["group"], "node", "n", 1024, 1_000_000, 1 + weight // 400_000)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(gram)
@@ -216,12 +244,15 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, num: int = 4, den: int = 5,
     texts = bitmap_filter(d, F.col("doc_id"), active.select("rep"))
     sets = texts.select("text").mapInArrow(lean(shingles), "f1 long, f2 long, shingles array<long>")
     sets = bitmap_filter(sets, F.col("f1"), active.select("f1")).groupBy("f1", "f2").agg(F.first("shingles").alias("shingles"))
-    groups = dealt.join(sets, ["f1", "f2"]).groupBy("task", "lo", "hi")
-    found = cut(groups.applyInArrow(verify(gram, num, den), f"{LINKS}, node long"), "links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.filter("rep <> root"), "rep", "root").select(F.col("id").alias("rep"), "label")
-    classes = reps.drop("bands", "n").join(links, "node", "left").join(roots, "rep", "left")
-    classes = classes.select("f1", "f2", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    calls = dealt.join(sets, ["f1", "f2"]).groupBy("task", "lo", "hi")
+    found = cut(calls.applyInArrow(verify(gram, num, den), LINKS), "links")
+    links = found.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
+    roots = components(found.filter("rep <> root"), "rep", "root").select(F.col("id").alias("node"), "label")
+    joined = cut(reps.drop("bands", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "classes")
+    # classes are numbered by node; the smallest doc_id of one names it
+    named = joined.filter("links > 0").groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = joined.join(named, "label", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+    classes = classes.select("f1", "f2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(classes, ["f1", "f2"], "left")
     own = F.coalesce("class_id", "doc_id")
     back = lambda c: F.when(c != NO_ID, c)
