@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.llm.common import cut
 from corvine.session import table
 
 # The kinds of the base spans in their order, and their patterns. Each pattern finds what its plain form
@@ -24,7 +26,7 @@ ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3, "secret": 4, "local_phone":
 # Shapes of further candidates.
 EXTRA = {
     "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,128}+(?![A-Za-z0-9])",
-    "local_phone": r"(?<![0-9+() -])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])",
+    "local_phone": r"(?<![0-9+()-])(?<![0-9)] )\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])",
     "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?+",
 }
 # Words that announce a value of each kind.
@@ -33,30 +35,73 @@ GAZETTEER = {
     "local_phone": "phone|tel|telephone|call|fax|mobile|cell",
     "person": "name|signed|dear|contact|by|from|regards",
 }
+# How access keys of well-known issuers begin.
+ISSUED = "^(?:AKIA|ASIA|AIza|ghp|gho|xoxb|xoxp)"
 LABELLERS = ("shape", "gazetteer", "context", "letters")
 #: Characters before a candidate that the labellers see.
 BEFORE = 32
-#: How many bases stand for a vote: 0 no, 1 yes, 2 abstains.
+#: A vote is 0 no, 1 yes or 2 nothing.
 VOTES = 3
+#: Features of a span for the final classifier, and how many values each has; and the weights of one kind.
+FEATURES = {"length": 9, "digits": 6, "capitals": 6, "variety": 6, "begin": 64, "word before": 64, "before": 4, "after": 4}
+WEIGHTS = 1 + sum(FEATURES.values())
+#: Different (votes, features) that the classifier is fitted to at most.
+SAMPLE = 20_000
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def parts_of(items: Column) -> Column:
+    """items cut into about as many parts as each has items, so that work per part and per item stays small."""
+    step = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), step), lambda i: F.slice(items, i, step))
+
+
+def later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def earlier(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def running(items: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each of an array of ints what `join` makes of all before it; `zero` for the first.
+
+    Each part of the array is folded on its own, from what the parts before make together: growing an array copies it,
+    so one fold over n items would copy n * n / 2 of them; this copies n to the power of 1.5.
+    """
+
+    def fold(part: Column, head: Column) -> Column:
+        start = F.struct(head.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def whole(parts: Column) -> Column:
+        heads = fold(F.transform(parts, lambda p: F.aggregate(p, F.lit(zero), join)), F.lit(zero))
+        return F.flatten(F.zip_with(parts, heads, fold))
+
+    return let(items, lambda a: let(parts_of(a), whole))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text, before, after>> of the leftmost non-overlapping matches, in code points.
 
     The pieces between matches and the matches come from the same matcher, so their lengths add up to positions.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("tail"), F.substring(g, 1, 2).alias("head")))
-    both = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(gaps, 2, 2147483647).alias("h"))
-    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]["n"]
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), x["g"]["tail"].alias("before"), F.coalesce(x["h"]["head"], F.lit("")).alias("after"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def placed(gaps: Column) -> Column:
+        own = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("n"), m.alias("text"), F.substring(g, -BEFORE, BEFORE).alias("before")))
+        return let(F.zip_with(own, F.slice(gaps, 2, 2147483647), lambda x, h: F.struct(x["n"].alias("n"), x["text"].alias("text"), x["before"].alias("before"), F.substring(h, 1, 2).alias("after"))), counted)
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def counted(items: Column) -> Column:
+        at = running(F.transform(items, lambda x: x["n"] + F.length(x["text"])), lambda a, b: a + b, 0)
+        return F.zip_with(items, at, lambda x, a: F.struct((a + x["n"]).alias("start"), (a + x["n"] + F.length(x["text"])).alias("end"), x["text"].alias("text"), x["before"].alias("before"), x["after"].alias("after")))
+
+    return let(F.split(text, pattern, -1), placed)
 
 
 def digits(x: Column) -> Column:
@@ -100,8 +145,8 @@ def votes(kind: str, m: Column) -> dict[str, Column]:
     plain = before.rlike(r"(?:^|\s)\p{Ll}+\s$")
     if kind == "secret":
         hexed = text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & n.isin(32, 40, 48, 64, 128)
-        shape = F.when(hexed, 1).when(share == 0, 0).otherwise(2)
-        letters = F.when(share.between(0.15, 0.9), 1).otherwise(0)
+        shape = F.when(hexed | text.rlike(ISSUED), 1).when(share == 0, 0).otherwise(2)
+        letters = F.when(share.between(0.04, 0.9), 1).when(text.rlike("^[A-Z]+$"), 2).otherwise(0)
     elif kind == "local_phone":
         shape = F.when(text.rlike(r"^\("), 1).otherwise(2)
         letters = F.when(F.size(F.array_distinct(F.split(digits(text), ""))) <= 2, 0).otherwise(2)
@@ -125,12 +170,39 @@ def code(kind: str, m: Column) -> Column:
     return out.cast("int")
 
 
+def features(kind: str, m: Column) -> Column:
+    """What the span classifier sees of a candidate, one number of a weight for each of FEATURES, and the kind's own."""
+    text, n = m["text"], F.length(m["text"])
+
+    def fifths(count: Column) -> Column:
+        return F.floor(5 * count / n)
+
+    word = F.regexp_extract(F.lower(m["before"]), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)
+    values = {
+        "length": F.least(F.floor(F.log2(n)), F.lit(8)),
+        "digits": fifths(F.length(digits(text))),
+        "capitals": fifths(F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))),
+        "variety": fifths(F.size(F.array_distinct(F.split(text, "")))),
+        "begin": F.pmod(F.xxhash64(F.left(text, F.lit(4))), F.lit(FEATURES["begin"])),
+        "word before": F.pmod(F.xxhash64(word), F.lit(FEATURES["word before"])),
+        "before": F.when(m["before"] == "", 0).when(m["before"].rlike(r"\s$"), 1).when(m["before"].rlike("[=:]$"), 2).otherwise(3),
+        "after": F.when(m["after"] == "", 0).when(m["after"].rlike(r"^\s"), 1).when(m["after"].rlike(r"^[.,;]"), 2).otherwise(3),
+    }
+    base = list(EXTRA).index(kind) * WEIGHTS
+    out = [F.lit(base)]
+    at = base + 1
+    for name, size in FEATURES.items():
+        out.append(F.least(values[name] + at, F.lit(at + size - 1)).cast("int"))
+        at += size
+    return F.array(*out)
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start, ord, end, kind, code>>: what the labellers vote on."""
-    kind_type = "array<struct<start:int,ord:int,end:int,kind:string,code:int>>"
+    """array<struct<start, ord, end, kind, code, features>>: what the labellers vote on and the classifier judges."""
+    kind_type = "array<struct<start:int,ord:int,end:int,kind:string,code:int,features:array<int>>>"
 
     def of(kind: str) -> Column:
-        each = F.transform(matches(text, EXTRA[kind]), lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER[kind]).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"), code(kind, m).alias("code")))
+        each = F.transform(matches(text, EXTRA[kind]), lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER[kind]).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"), code(kind, m).alias("code"), features(kind, m).alias("features")))
         return F.when(text.rlike(HINTS[kind]), each).otherwise(F.array().cast(kind_type))
 
     return F.concat(*(of(kind) for kind in EXTRA))
@@ -148,8 +220,8 @@ def unpack(c: int) -> tuple[int, list[int]]:
 def estimate(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """Posterior that a candidate is personal, per code, by expectation-maximisation over the labellers' votes.
 
-    Each labeller has its own rates of voting yes, no and nothing for either class and kind-free; the prior is per
-    kind. One count of each kind of vote is added, so no rate is 0. Starts from the majority of votes.
+    For each kind, every labeller has rates of voting yes, no and nothing for either class, and there is a prior. One
+    count of each kind of vote is added, so no rate is 0. Starts from the majority of votes.
     """
     post = {}
     for c in counts:
@@ -157,63 +229,72 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
         post[c] = (1 + v.count(1)) / (2 + v.count(1) + v.count(0))
     for _ in range(rounds):
         prior = [[1.0, 1.0] for _ in EXTRA]
-        rate = [[[1.0] * VOTES for _ in range(2)] for _ in LABELLERS]
+        rate = [[[[1.0] * VOTES for _ in range(2)] for _ in LABELLERS] for _ in EXTRA]
         for c, n in counts.items():
             kind, v = unpack(c)
             for z, p in ((1, post[c]), (0, 1 - post[c])):
                 prior[kind][z] += n * p
                 for j, x in enumerate(v):
-                    rate[j][z][x] += n * p
+                    rate[kind][j][z][x] += n * p
         for c in counts:
             kind, v = unpack(c)
-            logs = [math.log(prior[kind][z]) + sum(math.log(rate[j][z][x] / sum(rate[j][z])) for j, x in enumerate(v)) for z in (0, 1)]
+            logs = [math.log(prior[kind][z]) + sum(math.log(rate[kind][j][z][x] / sum(rate[kind][j][z])) for j, x in enumerate(v)) for z in (0, 1)]
             post[c] = 1 / (1 + math.exp(max(-700, min(700, logs[0] - logs[1]))))
     return post
 
 
-def features(c: int) -> list[float]:
-    kind, v = unpack(c)
-    return [1.0, *(float(kind == k) for k in range(len(EXTRA))), *(float(x == 1) for x in v), *(float(x == 0) for x in v)]
-
-
-def train(counts: dict[int, int], rounds: int = 400) -> dict[int, float]:
-    """The final span classifier: logistic regression on kind and votes, fitted to the posteriors. Score per code.
-
-    Every code that can occur gets a score, also those that EM has not seen.
-    """
-    post = estimate(counts)
-    w = [0.0] * len(features(0))
-    total = sum(counts.values()) or 1
-    for _ in range(rounds):
-        g = [-1e-3 * x for x in w]
-        for c, n in counts.items():
-            f = features(c)
-            p = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(w, f, strict=True))))))
-            for k, x in enumerate(f):
-                g[k] += n / total * (post[c] - p) * x
-        w = [a + 2 * b for a, b in zip(w, g, strict=True)]
-    return {c: 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(w, features(c), strict=True)))))) for c in range(len(EXTRA) * VOTES ** len(LABELLERS))}
-
-
-def fit(docs: DataFrame, text: str = "text") -> list[int]:
-    """The codes that count as personal, learnt from all texts. At most 3 * 81 counts reach the driver."""
-    c = docs.select(F.explode(candidates(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("c")).groupBy(F.col("c.code").alias("code")).agg(F.count("*").alias("n"))
-    counts = {r["code"]: r["n"] for r in c.collect()}
-    return [c for c, p in train(counts).items() if p >= 0.5]
-
-
-def annotate(docs: DataFrame, personal: Iterable[int], text: str = "text", to: str = "spans") -> DataFrame:
+def train(rows: list[tuple[list[int], float, int]], rounds: int = 500) -> list[float]:
+    """The weights of the span classifier, a logistic regression: rows of (features, posterior, how many such spans)."""
+    w = np.zeros(len(EXTRA) * WEIGHTS)
+    if not rows:
+        return w.tolist()
+    x, y = np.array([f for f, _, _ in rows]), np.array([p for _, p, _ in rows])
+    n = np.array([k for _, _, k in rows], float)
+    n /= np.bincount(x[:, 0], n)[x[:, 0]]  # kinds share no weight; each has its own mean
+    seen = np.full_like(w, 1e-12)
+    for _ in range(rounds):  # each weight has a rate of its own, so that rare features are learnt too
+        d = n * (1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30))) - y)
+        g = np.bincount(x.ravel(), np.repeat(d, x.shape[1]), len(w)) + 1e-6 * w
+        seen += g * g
+        w -= 0.5 * g / np.sqrt(seen)
+    return w.tolist()
+
+
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float]:
+    """The classifier's weights, learnt from all texts: EM from the counts of all votes (3 * 81 at most), the weights
+    from at most `sample` different (votes, features), in the order of a hash, with the number of spans that have them."""
+    c = docs.select(F.explode(candidates(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("c"))
+    seen = cut(c.groupBy(F.col("c.code").alias("code"), F.col("c.features").alias("features")).agg(F.count("*").alias("n")), "candidates")
+    post = estimate({r["code"]: r["n"] for r in seen.groupBy("code").agg(F.sum("n").alias("n")).collect()})
+    rows = seen.orderBy(F.xxhash64("code", "features"), "code", "features").limit(sample).collect()
+    return train([(r["features"], post[r["code"]], r["n"]) for r in rows])
+
+
+def annotate(docs: DataFrame, weights: list[float], text: str = "text", to: str = "spans") -> DataFrame:
     """docs with a column of all spans, array<struct<start, ord, end, kind>> by start and kind.
 
     Base spans always stay; a further one is added when the classifier says so and no base span overlaps it.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(*(spans_of(k, body) for k in BASE))
-    d = docs.withColumn("_corvine_base", base).withColumn("_corvine_more", candidates(body))
-    chosen = F.filter("_corvine_more", lambda c: c["code"].isin(*personal) if personal else F.lit(False))
-    free = F.filter(chosen, lambda c: ~F.exists("_corvine_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    more = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return d.withColumn(to, F.array_sort(F.concat(F.col("_corvine_base"), more))).drop("_corvine_base", "_corvine_more")
+    table_ = F.lit(list(map(float, weights)) or [-1.0] * len(EXTRA) * WEIGHTS)  # without weights: base spans alone
+    personal = F.filter(candidates(body), lambda c: F.aggregate(c["features"], F.lit(0.0), lambda a, i: a + F.element_at(table_, i + 1)) >= 0)
+    more = F.transform(personal, lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
+    return docs.withColumn(to, let(base, lambda b: let(more, lambda m: F.when(F.size(m) == 0, F.array_sort(b)).when(F.size(b) == 0, F.array_sort(m)).otherwise(apart(F.array_sort(F.concat(b, m)))))))
+
+
+def apart(spans: Column) -> Column:
+    """Sorted spans without those further ones that overlap a base span."""
+
+    def judged(s: Column) -> Column:
+        based = lambda x: x["ord"] < len(BASE)
+        ended = running(F.transform(s, lambda x: F.when(based(x), x["end"]).otherwise(0)), later, 0)
+        ahead = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(based(x), x["start"]).otherwise(2147483647))), earlier, 2147483647))
+        both = F.zip_with(ended, ahead, lambda e, a: F.struct(e.alias("ended"), a.alias("ahead")))
+        flagged = F.zip_with(s, both, lambda x, y: F.struct(x.alias("span"), (based(x) | ((y["ended"] <= x["start"]) & (y["ahead"] >= x["end"]))).alias("free")))
+        return F.transform(F.filter(flagged, lambda x: x["free"]), lambda x: x["span"])
+
+    return let(spans, judged)
 
 
 def joined(spans: Column) -> Column:
@@ -221,14 +302,24 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """text with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    The text is first cut into one stretch for each part of the spans, as finding a place in a text means reading it
+    from its begin.
+    """
+    piece = lambda t, a, b: F.call_function("substring", t, a + 1, b - a)
+
+    def stretch(p: Column) -> Column:
+        first, last = F.element_at(p, 1)["from"], F.element_at(p, -1)["start"]
+        return let(piece(text, first, last), lambda t: F.transform(p, lambda x: F.concat(piece(t, x["from"] - first, x["start"] - first), F.lit("["), F.upper(x["kind"]), F.lit("]"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.call_function("substring", text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
+    def marked(s: Column) -> Column:
+        reached = running(F.transform(s, lambda x: x["end"]), later, 0)
+        heads = F.filter(F.zip_with(s, reached, lambda x, r: F.struct(r.alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["from"])
+        rest = F.call_function("substring", text, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.lit(2147483647))
+        return F.concat(F.array_join(let(heads, lambda h: F.flatten(F.transform(parts_of(h), stretch))), ""), rest)
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.call_function("substring", text, a["at"] + 1, F.lit(2147483647))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, marked)).otherwise(text)
 
 
 def find_personal(docs: DataFrame) -> DataFrame:

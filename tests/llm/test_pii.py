@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from corvine.llm import pii as P
 from corvine.session import table
@@ -77,3 +78,61 @@ def test_redaction(spark):
     got = {r.doc_id: r.t for r in d.select("doc_id", P.redact(d.text, d.spans).alias("t")).collect()}
     assert got == {1: "é [EMAIL] und [PHONE] z", 2: None, 3: "nothing"}
     assert P.find_personal(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_very_many_spans_in_one_text(spark):
+    n = 32_000
+    text = " ".join(f"a{i}@b.cd" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    d = P.annotate(docs, [])
+    d.select("spans").collect()  # compiled
+    began = time.time()
+    spans, masked = d.select("spans", P.redact(d.text, d.spans).alias("t")).first()
+    assert time.time() - began < 20
+    assert [text[s.start : s.end] for s in spans] == text.split(" ")
+    assert masked == " ".join(["[EMAIL]"] * n)
+
+
+def test_spans_apart_and_redacted_like_a_plain_version(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for i in range(60):
+        text = "".join(rng.choices("aé🤗 b", k=300))
+        spans = sorted({(a, rng.randrange(7), a + rng.randrange(1, 15)) for a in rng.sample(range(280), rng.randrange(1, 40))})
+        kinds = list(P.ORDER)
+        rows.append((i, text, [(a, o, b, kinds[o]) for a, o, b in spans]))
+        free = [x for x in spans if x[1] < 4 or not any(y[1] < 4 and y[0] < x[2] and x[0] < y[2] for y in spans)]
+        at, out = 0, ""
+        for a, o, b in spans:
+            if a >= at:
+                out += text[at:a] + f"[{kinds[o].upper()}]"
+            at = max(at, b)
+        want.append((i, free, out + text[at:]))
+    d = spark.createDataFrame(rows, f"doc_id long, text string, s array<{P.SPAN}>")
+    got = d.select("doc_id", P.apart(d.s).alias("a"), P.redact(d.text, d.s).alias("t")).collect()
+    assert sorted((r.doc_id, [(x.start, x.ord, x.end) for x in r.a], r.t) for r in got) == want
+
+
+def test_planted_names_and_local_phones(spark):
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    phone = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+    name = lambda: f"{rng.choice(['Mr', 'Dr.', 'Frau'])} {word(5).title()} {word(6).title()}"
+    rows, personal = [], []
+    for i in range(900):
+        filler = " ".join(word(rng.randrange(3, 8)) for _ in range(12))
+        kind = i % 6
+        text, there = {
+            0: (f"{filler}, phone: ({rng.randrange(200, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} {filler}", 1),
+            1: (f"{filler}. tel: {phone()} {filler}", 1),
+            2: (f"{filler}. Signed: {name()}, {filler}", 1),
+            3: (f"{filler} part {rng.choice(['111-111-1111', '222-222-2222', '333-333-3333'])} {filler}", 0),
+            4: (f"{filler}. key = {rng.randbytes(20).hex()} {filler}", 1),
+            5: (f"{filler} {word(24)} {filler}", 0),
+        }[kind]
+        rows.append((i, text))
+        personal.append(there)
+    got = {r.doc_id: r.n_more for r in P.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(1 for i, p in enumerate(personal) if p and got[i])
+    false = sum(1 for i, p in enumerate(personal) if not p and got[i])
+    assert hit >= 0.95 * sum(personal) and false <= 0.05 * (len(personal) - sum(personal))
