@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from corvine.llm.common import NO_ID, cut, lean, small_batches
 from corvine.session import table
@@ -172,57 +173,67 @@ def fit_linear(rows: list[tuple[dict[int, float], float]], rounds: int = 300, de
     return w, float(bias)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The scorer of a corpus. Votes are counted over all rows (at most 3**9 counts); features of the sample are collected."""
+MEASURED = {"_corvine_pick": "long", "_corvine_id": "long", "_corvine_words": "long", "_corvine_code": "int", "_corvine_at": "array<int>", "_corvine_values": "array<float>"}
+
+
+def measured(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Columns `names` of docs with the votes and features of each text: the only pass over the texts, written."""
     small_batches(docs.sparkSession)
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("chosen", F.lit(True))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(*names, F.xxhash64(doc_id).alias("_corvine_pick"), doc_id.alias("_corvine_id"), body.alias("_corvine_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for b in batches:
-            codes, at, values = [], [], []
-            for text, own in zip(b.column("text"), b.column("chosen").to_pylist(), strict=True):
+            n, codes, at, values = [], [], [], []
+            for text in b.column("_corvine_text"):
                 m, counts, shares = measures(text.as_py(), shapes)
+                f = features(m, counts, shares)
+                n.append(m["n"])
                 codes.append(code(votes(m)))
-                f = features(m, counts, shares) if own else {}
-                at.append(list(f) if own else None)
-                values.append(list(f.values()) if own else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "code", "at", "values"])
+                at.append(list(f))
+                values.append(list(f.values()))
+            own = [b.column(c) for c in (*names, "_corvine_pick", "_corvine_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(codes, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=[*names, *MEASURED])
+
+    own = StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in MEASURED.items()))
+    return cut(d.mapInArrow(lean(run), StructType([*d.select(*names).schema.fields, *own.fields])), "measured")
+
 
-    seen = cut(d.join(F.broadcast(chosen), "doc_id", "left").mapInArrow(lean(run), "doc_id long, code int, at array<int>, values array<double>"), "votes")
-    post = posteriors({r["code"]: r["n"] for r in seen.groupBy("code").agg(F.count("*").alias("n")).collect()})
-    rows = seen.filter("at is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "code", "at").limit(sample).collect()
-    return fit_linear([(dict(zip(r["at"], r["values"], strict=True)), post[r["code"]]) for r in rows])
+def learn(seen: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """The scorer of a corpus from measured(). Votes are counted over all rows (at most 4**9 counts); of the sample, the
+    features come to the driver."""
+    post = posteriors({r[0]: r["n"] for r in seen.groupBy("_corvine_code").agg(F.count("*").alias("n")).collect()})
+    rows = seen.select(*MEASURED).orderBy("_corvine_pick", "_corvine_id", "_corvine_code", "_corvine_at").limit(sample).collect()
+    return fit_linear([(dict(zip(r["_corvine_at"], r["_corvine_values"], strict=True)), post[r["_corvine_code"]]) for r in rows])
 
 
 def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality", columns: list[str] | None = None) -> DataFrame:
     """docs with two more columns: `to` (P(good), double) and `to`_kept (boolean, P >= 0.5); columns of that name go.
 
-    columns: those of docs to carry along (all, if not given); texts need not pass back from Python.
+    columns: those of docs to carry along (all, if not given); the others, say texts, are not written again.
 
     The labellers vote on whole texts, EM over all rows turns votes into labels, and a linear scorer fitted to a bounded
-    sample scores every row; no given labels are used. Null texts count as empty; texts without words score 0 and are
-    rejected. Repeated rows get equal scores. An empty table gives an empty result.
+    sample (`sample` rows in the order of a hash of doc_id) scores every row; no given labels are used. Null texts count
+    as empty; texts without words score 0 and are rejected. A null doc_id is one value; repeated rows and equal texts get
+    equal scores. Very long texts are measured whole. An empty table gives an empty result.
     """
-    weights = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
     names = [c for c in columns or docs.columns if c not in (to, f"{to}_kept")]
-    d = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_corvine_text"))
+    seen = measured(docs, names)
+    weights = docs.sparkSession.sparkContext.broadcast(learn(seen, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (w, bias), shapes = weights.value, Shapes()
+        w, bias = weights.value
         for b in batches:
-            p = []
-            for text in b.column("_corvine_text"):
-                m, counts, shares = measures(text.as_py(), shapes)
-                z = bias + sum(w[k] * x for k, x in features(m, counts, shares).items())
-                p.append(1 / (1 + math.exp(-max(-60, min(60, z)))) if m["n"] else 0.0)
-            kept = pa.array([x >= 0.5 for x in p], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p, pa.float64()), kept], names=[*names, to, f"{to}_kept"])
-
-    from pyspark.sql.types import BooleanType, DoubleType, StructType
-
-    return d.mapInArrow(lean(run), StructType(d.select(*names).schema.fields).add(to, DoubleType()).add(f"{to}_kept", BooleanType()))
+            at, values = b.column("_corvine_at"), b.column("_corvine_values")
+            row = np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy())
+            z = bias + np.bincount(row, w[at.flatten().to_numpy()] * values.flatten().to_numpy(), b.num_rows)
+            p = np.where(b.column("_corvine_words").to_numpy() > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array(p >= 0.5)], names=[*names, to, f"{to}_kept"])
+
+    schema = StructType(seen.select(*names).schema.fields).add(to, DoubleType()).add(f"{to}_kept", BooleanType())
+    return seen.drop("_corvine_pick", "_corvine_id", "_corvine_code").mapInArrow(lean(run), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

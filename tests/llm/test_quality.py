@@ -29,3 +29,16 @@ def test_em_trusts_consistent_labellers():
     short = [Q.UNFIT] * 9
     p = Q.posteriors({Q.code(good): 900, Q.code(bad): 100, Q.code(short): 5})
     assert p[Q.code(good)] > 0.95 and p[Q.code(bad)] < 0.05 and p[Q.code(short)] > 0.5
+
+
+def test_equals_a_plain_version(spark, sf):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()] + [(None, "A line without an id."), (5000, "")]
+    got = {r.doc_id: r.quality for r in Q.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = [Q.measures(t or "", Q.Shapes()) for _, t in rows]
+    votes = [Q.code(Q.votes(m)) for m, _, _ in seen]
+    post = Q.posteriors({c: votes.count(c) for c in set(votes)})
+    feats = [{k: float(np.float32(v)) for k, v in Q.features(*x).items()} for x in seen]
+    w, bias = Q.fit_linear([(f, post[c]) for f, c in zip(feats, votes)])
+    for (i, _), (m, _, _), f in zip(rows, seen, feats):
+        z = bias + sum(w[k] * v for k, v in f.items())
+        assert abs(got[i] - (1 / (1 + np.exp(-z)) if m["n"] else 0)) < 1e-6
