@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvine.session import shared_root
@@ -121,29 +122,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found.unionByName(found.select(F.col("label").alias("id"), "label").distinct())
 
 
-def gapless(df: DataFrame, group: str, order: list[Column], name: str, buckets: int, by: Column) -> DataFrame:
+#: gapless(): rows of a part where the table is small, and parts beside one for each group where it is large.
+PART_ROWS, PARTS = 512, 500_000
+
+
+def gapless(df: DataFrame, group: str, order: list[Column], name: str, counts: dict, by: Column) -> DataFrame:
     """df with a bigint column `name` that numbers the rows of each group from 0 without gaps.
 
-    A hash of `by` splits every group into `buckets` parts, each numbered on its own; the parts' counts (groups times
-    buckets rows, both bounded by parameters) give the offsets. So one group with a third of all rows is many tasks.
+    counts: rows of each group, of which there must be few. A hash of `by` splits every group into parts, the more the
+    larger it is, each numbered on its own, and the parts' counts give the offsets. So one group with a third of all rows
+    is many tasks; the offsets, a broadcast, are PARTS rows beside one for each group at most. df is read twice and
+    must give the same rows both times.
     """
-    from pyspark.sql import Window as W
-
-    d = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    spark = df.sparkSession
+    if not counts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    each = max(PART_ROWS, sum(counts.values()) // PARTS)
+    split = spark.createDataFrame([(g, 1 + n // each) for g, n in counts.items()], f"_g {df.schema[group].dataType.simpleString()}, _parts long")
+    d = df.join(F.broadcast(split), df[group].eqNullSafe(split._g)).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_g", "_parts")
     sizes = d.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1
-    d = d.withColumn("_own", own)
+    d = d.withColumn("_own", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1)
     on = d[group].eqNullSafe(offsets._g) & (d._part == offsets._p)
     return d.join(F.broadcast(offsets), on).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_p", "_g", "_own", "_before")
 
 
-def buckets_for(rows: int, groups: int, per_bucket: int = 200_000, most: int = 4096) -> int:
-    """Parts per group for gapless(): grows with the rows, bounded so that the offsets stay a small broadcast."""
-    return max(1, min(most, 1 + rows // (groups * per_bucket // 8)))
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts are long: unless the session says otherwise, Arrow batches have at most so many rows, on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

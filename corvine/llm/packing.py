@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import buckets_for, cut, gapless, lean, small_batches
+from corvine.llm.common import cut, gapless, lean, small_batches
 from corvine.session import table
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: salt: a number that tells repeated rows apart when they are dealt.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 CAPACITY = 2048
 
 
@@ -68,13 +69,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         encode = None
         for b in batches:
             encode = encode or Encoder(tokenizer)
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for salt, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 for k, (start, n) in enumerate(cuts(len(ids), capacity)):
-                    for column, value in zip(out, (doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())), strict=True):
+                    for column, value in zip(out, (doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes()), salt), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i in (1, 5) else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
@@ -162,8 +163,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = [(length, rank, rank + n, sequence - rank, offset) for length, rank, n, sequence, offset in plan(counts, capacity)]
     places = spark.createDataFrame(rows, "l long, lo long, hi long, shift long, offset long")
-    buckets = buckets_for(sum(counts.values()), max(1, len(counts)))
-    ranked = gapless(parts, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", buckets, F.struct("doc_id", "piece"))
+    ranked = gapless(parts, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", counts, F.struct("doc_id", "piece", "salt"))
     on = (ranked.length == places.l) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     out = ranked.join(F.broadcast(places), on).withColumn("sequence_id", F.col("rank") + F.col("shift"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import buckets_for, gapless
+from corvine.llm.common import gapless
 from corvine.session import table
 
 
@@ -46,8 +46,8 @@ def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = Non
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), grown).alias("grown_shard"),
     )
-    parts = buckets_for(docs.count(), len(weights))
-    d = gapless(d, "shard", [F.col("doc_id"), F.col("text_crc32")], "slot", parts, F.col("doc_id"))
+    counts = {r["shard"]: r["n"] for r in d.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    d = gapless(d, "shard", [F.col("doc_id"), F.col("text_crc32")], "slot", counts, F.struct("doc_id", "size", "text_crc32"))
     return d.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

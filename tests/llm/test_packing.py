@@ -63,3 +63,30 @@ def test_plan_places_every_piece_once():
                 assert o == at
                 at += x
             assert at <= capacity and sum(3 * x > capacity for _, x in v) <= 2
+
+
+def test_about_as_few_sequences_as_a_plain_best_fit():
+    rng = random.Random(6)
+    for _ in range(12):
+        capacity = 512
+        sizes = [min(capacity, 1 + int(rng.expovariate(1 / rng.choice([40, 120, 260])))) for _ in range(900)]
+        gaps: list[int] = []
+        for x in sorted(sizes, reverse=True):
+            fits = [g for g in gaps if g >= x]
+            if fits:
+                gaps.remove(min(fits))
+                gaps.append(min(fits) - x)
+            else:
+                gaps.append(capacity - x)
+        counts = {}
+        for x in sizes:
+            counts[x] = counts.get(x, 0) + 1
+        ours = 1 + max(s + n - 1 for _, _, n, s, _ in P.plan(counts, capacity))
+        assert ours <= 1.01 * len(gaps) + 1
+
+
+def test_ids_of_more_documents(spark, sf):
+    e = P.Encoder(PATH)
+    texts = [r.text or "" for r in table(spark, sf.replace("0.001", "0.01"), "documents").select("text").collect()]
+    for t, want in zip(texts, e.slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert e(t).tolist() == want.ids

@@ -33,11 +33,25 @@ def test_weights_and_growth(spark):
     assert all(x.b in (x.a, 4) for x in r) and abs(sum(x.b == 4 for x in r) / 40_000 - 0.2) < 0.02
 
 
-def test_many_buckets_stay_gapless(spark):
-    from corvine.llm.common import gapless
+def test_parts_of_a_large_group_stay_gapless(spark, monkeypatch):
+    from corvine.llm import common
 
-    d = gapless(spark.range(1000).withColumn("g", F.col("id") % 3), "g", [F.col("id")], "n", 16, F.col("id"))
+    monkeypatch.setattr(common, "PART_ROWS", 20)
+    d = spark.range(1000).withColumn("g", F.when(F.col("id") % 3 > 0, 1).when(F.col("id") < 500, 0))
     by = {}
-    for r in d.collect():
+    for r in common.gapless(d, "g", [F.col("id")], "n", {1: 666, 0: 167, None: 167}, F.col("id")).collect():
         by.setdefault(r.g, []).append(r.n)
-    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sorted(map(len, by.values())) == [167, 167, 666] and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_shard_equals_a_plain_version(spark):
+    """The best of -weight / ln(u), with u from the same hash, computed by hand."""
+    import math
+
+    weights = [1.0, 3.0, 0.5, 0.0, 2.0]
+    keys = [*range(200), None, -5]
+    d = spark.createDataFrame([(k,) for k in keys], "k long")
+    hashes = d.select("k", *(F.xxhash64(F.lit("shard"), F.lit(i), "k").alias(f"h{i}") for i in range(5)), S.rendezvous(F.col("k"), weights).alias("s")).collect()
+    for r in hashes:
+        scores = [(-w / math.log((((r[f"h{i}"] % 2**64) >> 11) + 0.5) / 2**53), i) for i, w in enumerate(weights) if w]
+        assert r.s == max(scores)[1]
