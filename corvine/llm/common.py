@@ -81,6 +81,17 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return bitmap_filter(docs, key, dropped, absent=True).unionByName(doubtful.join(gone, key == F.col("_corvine_gone"), "left_anti"))
 
 
+def hashed_sample(df: DataFrame, by: Column, rows: int, of: int) -> DataFrame:
+    """About the `rows` rows of df with the smallest hash of `by`, never more; df has `of` rows.
+
+    Hashes beyond a bound that leaves some more than enough go before the rest is ordered, so that what tasks send grows
+    with `rows` and not with the number of tasks. Only where many rows share one hash can it be fewer than `rows`.
+    """
+    share = min(1.0, (rows + 6 * rows**0.5 + 20) / max(1, of))
+    bound = min(2**63 - 1, int(share * 2.0**64) - 2**63)
+    return df.withColumn("_corvine_hash", F.xxhash64(by)).filter(F.col("_corvine_hash") <= bound).orderBy("_corvine_hash").limit(rows)
+
+
 def shift_left(one: Column, n: Column) -> Column:
     """1 << n with a column as shift, which the Python function doesn't take."""
     return F.call_function("shiftleft", one, n)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import cut
+from corvine.llm.common import cut, hashed_sample
 from corvine.session import table
 
 # The kinds of the base spans in their order, and their patterns. Each pattern finds what its plain form
@@ -265,8 +265,9 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float
     from at most `sample` different (votes, features), in the order of a hash, with the number of spans that have them."""
     c = docs.select(F.explode(candidates(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("c"))
     seen = cut(c.groupBy(F.col("c.code").alias("code"), F.col("c.features").alias("features")).agg(F.count("*").alias("n")), "candidates")
-    post = estimate({r["code"]: r["n"] for r in seen.groupBy("code").agg(F.sum("n").alias("n")).collect()})
-    rows = seen.orderBy(F.xxhash64("code", "features"), "code", "features").limit(sample).collect()
+    counts = seen.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    post = estimate({r["code"]: r["n"] for r in counts})
+    rows = hashed_sample(seen, F.struct("code", "features"), sample, sum(r["different"] for r in counts)).collect()
     return train([(r["features"], post[r["code"]], r["n"]) for r in rows])
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from corvine.llm.common import NO_ID, cut, lean, small_batches
+from corvine.llm.common import NO_ID, cut, hashed_sample, lean, small_batches
 from corvine.session import table
 
-#: Rows the scorer is fitted to, taken in the order of a hash of doc_id. Labels come from the labellers alone.
+#: Rows the scorer is fitted to, taken in the order of a hash of doc_id and text. Labels come from the labellers alone.
 SAMPLE = 8_000
 BUCKETS = 4096
 MARKS = re.compile(r"[^\w\s]{2,}")
@@ -173,7 +173,7 @@ def fit_linear(rows: list[tuple[dict[int, float], float]], rounds: int = 300, de
     return w, float(bias)
 
 
-MEASURED = {"_corvine_pick": "long", "_corvine_id": "long", "_corvine_words": "long", "_corvine_code": "int", "_corvine_at": "array<int>", "_corvine_values": "array<float>"}
+MEASURED = {"_corvine_pick": "long", "_corvine_words": "long", "_corvine_code": "int", "_corvine_at": "array<int>", "_corvine_values": "array<float>"}
 
 
 def measured(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -181,7 +181,7 @@ def measured(docs: DataFrame, names: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(*names, F.xxhash64(doc_id).alias("_corvine_pick"), doc_id.alias("_corvine_id"), body.alias("_corvine_text"))
+    d = docs.select(*names, F.xxhash64(doc_id, body).alias("_corvine_pick"), body.alias("_corvine_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -194,7 +194,7 @@ def measured(docs: DataFrame, names: list[str]) -> DataFrame:
                 codes.append(code(votes(m)))
                 at.append(list(f))
                 values.append(list(f.values()))
-            own = [b.column(c) for c in (*names, "_corvine_pick", "_corvine_id")]
+            own = [b.column(c) for c in (*names, "_corvine_pick")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(codes, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=[*names, *MEASURED])
 
     own = StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in MEASURED.items()))
@@ -204,8 +204,9 @@ def measured(docs: DataFrame, names: list[str]) -> DataFrame:
 def learn(seen: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """The scorer of a corpus from measured(). Votes are counted over all rows (at most 4**9 counts); of the sample, the
     features come to the driver."""
-    post = posteriors({r[0]: r["n"] for r in seen.groupBy("_corvine_code").agg(F.count("*").alias("n")).collect()})
-    rows = seen.select(*MEASURED).orderBy("_corvine_pick", "_corvine_id", "_corvine_code", "_corvine_at").limit(sample).collect()
+    counts = {r[0]: r["n"] for r in seen.groupBy("_corvine_code").agg(F.count("*").alias("n")).collect()}
+    post = posteriors(counts)
+    rows = hashed_sample(seen.select(*MEASURED), F.col("_corvine_pick"), sample, sum(counts.values())).collect()
     return fit_linear([(dict(zip(r["_corvine_at"], r["_corvine_values"], strict=True)), post[r["_corvine_code"]]) for r in rows])
 
 
@@ -215,7 +216,7 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality",
     columns: those of docs to carry along (all, if not given); the others, say texts, are not written again.
 
     The labellers vote on whole texts, EM over all rows turns votes into labels, and a linear scorer fitted to a bounded
-    sample (`sample` rows in the order of a hash of doc_id) scores every row; no given labels are used. Null texts count
+    sample (`sample` rows in the order of a hash of doc_id and text) scores every row; no given labels are used. Null texts count
     as empty; texts without words score 0 and are rejected. A null doc_id is one value; repeated rows and equal texts get
     equal scores. Very long texts are measured whole. An empty table gives an empty result.
     """
@@ -233,7 +234,7 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, to: str = "quality",
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array(p >= 0.5)], names=[*names, to, f"{to}_kept"])
 
     schema = StructType(seen.select(*names).schema.fields).add(to, DoubleType()).add(f"{to}_kept", BooleanType())
-    return seen.drop("_corvine_pick", "_corvine_id", "_corvine_code").mapInArrow(lean(run), schema)
+    return seen.drop("_corvine_pick", "_corvine_code").mapInArrow(lean(run), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
