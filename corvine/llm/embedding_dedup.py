@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +15,28 @@ from corvine.llm.pairs import LINKS, comparable, deal, forest
 from corvine.session import table
 
 COSINE = 0.93
-#: Vectors that the codebooks are fitted to, taken in the order of a hash; every vector is indexed.
+#: Vectors that the codebooks are fitted to at least, in the order of a hash; every vector is indexed.
 SAMPLE = 8192
+#: Vectors to a cell on average, and sample vectors to a centre at least.
+PER_CELL, PER_CENTRE = 200, 16
+#: Vector lengths that get codebooks, the most frequent; vectors of any other length share one cell a length.
+LENGTHS = 1000
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """k centres of the rows of x, from a fixed start."""
+    """k centres of the rows of x, from a fixed start; many centres are found in two levels, within coarse ones."""
+    if k > 128:
+        coarse = k_means(x, int(k**0.5), rounds)
+        near = nearest(x, coarse)
+        parts = [x[near == c] for c in range(len(coarse))]
+        return np.vstack([k_means(part, max(1, round(k * len(part) / len(x))), rounds) for part in parts if len(part)])
     rng = np.random.default_rng(5)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = distances(x, centres).argmin(1)
-        for c in range(len(centres)):
-            if (own := x[near == c]).size:
-                centres[c] = own.mean(0)
+        near = nearest(x, centres)
+        sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(sums, near, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
     return centres
 
 
@@ -35,6 +45,20 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :], 0)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre of each row, a few rows at a time."""
+    step = max(1, 4_000_000 // len(centres))
+    return np.concatenate([distances(x[i : i + step], centres).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
+
+
+def closest(d: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k smallest of each row, smallest first; of equal ones the first."""
+    if 4 * k < d.shape[1]:
+        some = np.sort(np.argpartition(d, k, 1)[:, :k], 1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), 1, kind="stable"), 1)
+    return np.argsort(d, 1, kind="stable")[:, :k]
+
+
 class Grid:
     """The product grid of a codebook for each half of unit vectors, and how many cells a vector visits."""
 
@@ -51,13 +75,18 @@ class Grid:
         (i + 1) * (j + 1) - 1 cells it dominates, so only ranks with (i + 1) * (j + 1) <= visits can be among them.
         """
         d = [distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])]
-        order = [np.argsort(y, 1, kind="stable") for y in d]
+        order = [closest(y, min(visits, y.shape[1])) for y in d]
         d = [np.take_along_axis(y, o, 1) for y, o in zip(d, order, strict=True)]
-        pairs = [(i, j) for i in range(self.sizes[0]) for j in range(self.sizes[1]) if (i + 1) * (j + 1) <= visits]
+        pairs = [(i, j) for i in range(order[0].shape[1]) for j in range(min(order[1].shape[1], visits // (i + 1)))]
         i, j = np.array(pairs).T
         best = np.argsort(d[0][:, i] + d[1][:, j], 1, kind="stable")[:, :visits]
         return np.take_along_axis(order[0], i[best], 1) * self.sizes[1] + np.take_along_axis(order[1], j[best], 1)
 
+    def home_and_visits(self, x: np.ndarray) -> np.ndarray:
+        """traverse() with the calibrated number of visits, a few rows at a time."""
+        step = max(1, 4_000_000 // max(self.sizes))
+        return np.vstack([self.traverse(x[i : i + step], self.visits) for i in range(0, len(x), step)])
+
     def calibrated(self, sample: np.ndarray, cosine: float, recall: float) -> int:
         """The fewest visits that bring together that share of pairs whose cosine is just the threshold.
 
@@ -73,10 +102,15 @@ class Grid:
         if not len(x):
             return 1
         y = cosine * x + np.sqrt(1 - cosine * cosine) * away
-        all_ = self.sizes[0] * self.sizes[1]
-        cx, cy = self.traverse(x, all_), self.traverse(y, all_)
-        need = 1 + np.minimum((cx == cy[:, :1]).argmax(1), (cy == cx[:, :1]).argmax(1))
-        return int(np.quantile(need, recall, method="higher"))
+        most, cells_ = 64, self.sizes[0] * self.sizes[1]
+        while True:
+            cx, cy = self.traverse(x, min(most, cells_)), self.traverse(y, min(most, cells_))
+            a, b = cx == cy[:, :1], cy == cx[:, :1]
+            need = 1 + np.minimum(np.where(a.any(1), a.argmax(1), cells_), np.where(b.any(1), b.argmax(1), cells_))
+            found = int(np.quantile(need, recall, method="higher"))
+            if found <= most or most >= cells_:
+                return min(found, cells_)
+            most *= 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -85,10 +119,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def cells(grids: dict[int, Grid]):
-    """Rows with their home cell, and the cells to visit (home first)."""
+def cells(shared: Broadcast):
+    """Rows with the cells to visit, home first. shared: the grid of each vector length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids = shared.value
         for b in batches:
             for dim in set(b.column("dim").to_pylist()):
                 rows = b.filter(pa.array([x == dim for x in b.column("dim").to_pylist()]))
@@ -96,8 +131,8 @@ def cells(grids: dict[int, Grid]):
                 if (grid := grids.get(dim)) is None:  # no vector of this length in the sample: one cell
                     visits = np.zeros((n, 1), np.int64)
                 else:
-                    visits = grid.traverse(unit(np.array(rows.column("embedding").to_pylist())), grid.visits)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * visits.shape[1]).astype(np.int32)), pa.array(visits.astype(np.int32).ravel()))
+                    visits = grid.home_and_visits(unit(np.array(rows.column("embedding").to_pylist())))
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * visits.shape[1]).astype(np.int32)), pa.array(visits.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "visits"])
 
     return run
@@ -143,32 +178,44 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.95,
 
     Vectors of equal label and length link when their cosine, in double precision, is `cosine` or more. A null label,
     and a vector that is null, empty, zero or holds null or non-finite components, links with nothing. Equal vectors
-    of one label are one representative with a size. Codebooks are fitted to a bounded sample (`sample` vectors, in
-    the order of a hash of vec_id), with more centres the more vectors there are; all vectors are indexed, each in
-    its home cell, and each visits as many cells as `recall` needs. Cells of any size are dealt as pairs of blocks.
-    A null vec_id is a node shared by all such rows; rows with one vec_id share a node. Other columns are not read.
+    of one label are one representative with a size. Codebooks have sqrt(n / PER_CELL) centres a half for n different
+    vectors, so cells stay as small whatever n is; they are fitted to `sample` vectors or PER_CENTRE to a centre, if that
+    is more, in the order of a hash. All vectors are indexed, each in its home cell, and each visits as many cells as
+    `recall` needs. Cells of any size are dealt as pairs of blocks. A null vec_id is a node shared by all such rows; rows
+    with one vec_id share a node. Other columns are not read. An empty table gives an empty result.
     """
-    v = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    number = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    fit = F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
-    good = v.filter(fit)
-    reps = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).withColumn("dim", F.size("embedding")), "vectors")
-    seen: dict[int, list] = {}
-    for r in reps.select("embedding", "dim").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect():
-        seen.setdefault(r["dim"], []).append(r["embedding"])
-    k = int(min(64, max(4, (reps.count() / 200) ** 0.5)))
-    grids = {dim: Grid(unit(np.array(x)), k, cosine, recall) for dim, x in seen.items() if dim > 1}
-    placed = reps.mapInArrow(lean(cells(grids)), "label string, embedding array<double>, rep long, size long, dim int, visits array<int>")
-    placed = placed.withColumn("home", F.element_at("visits", 1)).withColumn("cell", F.explode("visits"))
+    v = v.withColumn("fit", F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    v = v.withColumn("f1", F.xxhash64("embedding")).withColumn("f2", F.xxhash64(F.lit("second"), "embedding"))
+    good = v.filter("fit")
+    reps = good.groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    reps = cut(reps.withColumn("dim", F.size("embedding")), "vectors")
+    lengths = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
+    grids, spark = {}, vectors.sparkSession
+    wanted = {dim: (int(max(4, (n / PER_CELL) ** 0.5)), n) for dim, n in lengths.items() if dim > 1}
+    if wanted:
+        total = sum(n for _, n in wanted.values())
+        shares = [(dim, min(1.0, max(256, PER_CENTRE * k, sample * n // total) / n)) for dim, (k, n) in wanted.items()]
+        bounds = spark.createDataFrame([(dim, min(2**63 - 1, int(share * 2.0**64) - 2**63)) for dim, share in shares], "dim int, bound long")
+        picked = reps.join(F.broadcast(bounds), "dim").filter(F.xxhash64("label", "f1", "f2") <= F.col("bound"))
+        seen: dict[int, list] = {}
+        for r in picked.select("dim", "embedding", "label", "f1", "f2").collect():
+            seen.setdefault(r["dim"], []).append((r["label"], r["f1"], r["f2"], r["embedding"]))
+        grids = {dim: Grid(unit(np.array([x[-1] for x in sorted(rows)])), wanted[dim][0], cosine, recall) for dim, rows in seen.items()}
+    shared = spark.sparkContext.broadcast(grids)
+    placed = reps.select("label", "embedding", "rep", "size", "dim").mapInArrow(lean(cells(shared)), f"label string, embedding array<{number}>, rep long, size long, dim int, visits array<long>")
+    placed = cut(placed, "placed").withColumn("home", F.element_at("visits", 1)).withColumn("cell", F.explode("visits"))
     placed = placed.withColumn("code", F.xxhash64("label", "dim", "cell")).withColumn("w", F.col("dim").cast("long"))
-    dealt = deal(placed, ["label", "dim", "cell"], "rep", "w", 1024, 1_000_000, 1 + reps.count() // 2000)
-    found = cut(dealt.groupBy("task", "lo", "hi").applyInArrow(verify(cosine), LINKS), "links")
+    dealt = deal(placed, ["label", "dim", "cell"], "rep", "w", 1024, 1_000_000, 1 + sum(lengths.values()) // 2000)
+    found = cut(dealt.drop("label", "w").groupBy("task", "lo", "hi").applyInArrow(verify(cosine), LINKS), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.filter("rep <> root"), "rep", "root").select(F.col("id").alias("rep"), "label")
-    classes = reps.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), "rep", "size").join(links, "rep", "left").join(roots, "rep", "left")
-    classes = classes.select("_l", "_e", F.coalesce("label", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
-    known = good.join(classes, (good.label == classes._l) & (good.embedding == classes._e)).select("vec_id", "root", "links")
-    out = known.union(v.filter(~fit).select("vec_id", F.col("vec_id").alias("root"), F.lit(0).cast("long").alias("links")))
+    roots = components(found.filter("rep <> root"), "rep", "root").select(F.col("id").alias("rep"), F.col("label").alias("root"))
+    classes = reps.select("label", "f1", "f2", "rep", "size").join(links, "rep", "left").join(roots, "rep", "left")
+    classes = classes.select("label", "f1", "f2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
+    known = good.select("vec_id", "label", "f1", "f2").join(classes, ["label", "f1", "f2"]).select("vec_id", "root", "links")
+    out = known.union(v.filter("not fit").select("vec_id", F.col("vec_id").alias("root"), F.lit(0).cast("long").alias("links")))
     back = lambda c: F.when(c != NO_ID, c)
     return out.select(back(F.col("vec_id")).alias("vec_id"), F.col("links").alias("n_links"), back(F.col("root")).alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept"))
 
