@@ -89,7 +89,8 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
             runs = wanted.withColumn("rank2", F.col("rank"))
         else:
             runs = wanted.withColumn("_end", F.col("idx") + F.col("len")).join(ends, ["doc_id", "body", "_end"]).drop("_end")
-        first = runs.groupBy("len", "rank", "rank2").agg(F.min(F.struct("doc_id", "body", "idx")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        first = runs.groupBy("len", "rank", "rank2").agg(F.min(F.struct("doc_id", "body", "idx")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        first = cut(first, "first")  # written, so that the join deals out anew and adaptive execution can split a frequent run
         later = runs.join(first, ["len", "rank", "rank2"]).filter(F.struct("doc_id", "body", "idx") != F.col("first"))
         found.append(cut(later.select(*at, "len"), "runs"))
         longest = level.agg(F.max(F.array_max("lens"))).first()[0] or 0
@@ -119,6 +120,11 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text")).alias("body"), F.col("text").cast("string").alias("text"))
     lines = cut(split_lines(d, least), "lines")
+    twice = cut(d.groupBy("doc_id", "body").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "body"), "twice")
+    if not twice.isEmpty():  # lines of repeated rows count once
+        key = F.xxhash64("doc_id", "body")
+        keys = twice.select(key.alias("key"))
+        lines = cut(bitmap_filter(lines, key, keys, absent=True).unionByName(bitmap_filter(lines, key, keys).dropDuplicates(["doc_id", "body", "idx"])), "lines")
     runs = repeated_runs(lines)
     gone = cut(runs.distinct().groupBy("doc_id", "body").agg(F.collect_list(F.struct("idx", "len")).alias("runs")), "gone")
 

@@ -49,3 +49,15 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_lines, r.n_deleted, r.clean_text is None) for r in L.line_dedup(docs).collect())
     assert got == [(0, 1, 0, False), (1, 1, 1, False), (1, 1, 1, False), (2, 1, 1, False), (3, 0, 0, True), (4, 0, 0, False), (5, 1, 0, False)]
     assert L.line_dedup(docs.limit(0)).collect() == []
+
+
+def test_many_repeated_rows_and_a_very_long_line(spark, monkeypatch):
+    body = "\n".join(" ".join(f"w{k}{j}" for j in range(8)) for k in range(20))
+    rows = [(7, body)] * 2000 + [(8, body), (9, "y " * 400_000), (10, "y " * 400_000 + "\n" + body)]
+    seen = []
+    whole = L.repeated_runs
+    monkeypatch.setattr(L, "repeated_runs", lambda lines: seen.append(lines.count()) or whole(lines))
+    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert seen == [20 + 20 + 1 + 21]  # repeated rows are one document
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_lines, r.n_deleted) for r in got} == {(7, 20, 0), (8, 20, 20), (9, 1, 0), (10, 21, 21)}
