@@ -27,18 +27,49 @@ def test_equals_brute_force(spark, sf):
     assert E.exact_dedup(docs.limit(0)).collect() == []
 
 
+def slowly(x, block_bits, r):
+    """The slots of a filter by inserting one sorted key after the other."""
+    n = 64 - block_bits - r
+    out = {}
+    last = -1
+    for k, c in sorted(x.items()):
+        at = max(last + 1, (k >> r) & (2**n - 1))
+        out[at] = (k & (2**r - 1), False)
+        c -= 1
+        while c:
+            at += 1
+            out[at] = (c & (2**r - 1), True)
+            c >>= r
+        last = at
+    return out
+
+
+def test_slots_are_those_of_plain_insertion():
+    rng = np.random.default_rng(1)
+    x = np.sort(np.concatenate([rng.integers(0, 2**16, 700), rng.integers(0, 40, 300)])).astype(np.uint64)
+    values, counts = np.unique(x, return_counts=True)
+    counts[3] = 70_000  # more than one digit
+    f = E.QuotientFilter.of(values, counts.astype(np.int64), 18)
+    want = slowly(dict(zip(values.tolist(), counts.tolist())), 64 - 18, f.remainder_bits)
+    assert {k: (int(f.slots[k]), bool(f.counters[k])) for k in want} == want
+    assert f.slots[[k for k in range(len(f.slots)) if k not in want]].sum() == 0
+    again = E.QuotientFilter.unpacked(f.packed())
+    keys, got = again.items()
+    assert keys.tolist() == values.tolist() and got.tolist() == counts.tolist()
+    assert f.occupied.sum() == f.run_ends.sum() == len({k >> f.remainder_bits for k in values.tolist()})
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**64, 500, dtype=np.uint64)
-    x = np.concatenate([x, x[:100], x[:10], np.array([0, 2**64 - 1, 0], np.uint64)])
+    x = np.concatenate([x, x[:100], x[:10], np.repeat(x[:1], 900), np.array([0, 2**64 - 1, 0], np.uint64)])
     blocks = {}
     for part in np.array_split(rng.permutation(x), 7):
-        for b, r, c in E.quotient_filter(part, 5):
-            assert (np.diff(r.astype(object)) > 0).all()
-            blocks.setdefault(b, []).append((r, c))
+        for b, f in E.filters_of(part, 5):
+            blocks.setdefault(b, []).append(E.QuotientFilter.unpacked(f.packed()))
     got = {}
-    for b, runs in blocks.items():
-        for r, c in zip(*E.merge_runs(runs), strict=True):
-            got[(b << 59) | int(r)] = int(c)
+    for b, filters in blocks.items():
+        for k, c in zip(*E.QuotientFilter.merged(filters).items(), strict=True):
+            got[(b << 59) | int(k)] = int(c)
     values, counts = np.unique(x, return_counts=True)
     assert got == dict(zip(values.tolist(), counts.tolist(), strict=True))
