@@ -1,8 +1,7 @@
-"""SentencePiece encoding and decoding: pieces found through a suffix array of the batch, then merged by score."""
+"""SentencePiece encoding and decoding: pieces found through a suffix array of the batch, edges relaxed by position."""
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,8 +19,12 @@ from corvine.session import table
 SPACE = "▁"
 #: Ends a unit in the indexed text; no piece holds it.
 END = 0x110000
-#: Units with more symbols are merged with a heap each, shorter ones all together.
+#: Units with more symbols are relaxed one by one, shorter ones all together.
 LONG = 64
+#: Symbols of a long unit that are indexed at once; windows overlap by the longest piece.
+WINDOW = 500_000
+#: Places in the memory of pairs.
+PAIRS = 2**20
 #: Distinct units whose ids are remembered from one slice to the next; beyond, all are forgotten and found anew.
 REMEMBERED = 200_000
 
@@ -71,10 +74,12 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray,
 
 
 class Codec:
-    """Encodes and decodes like the model's own library. The model is of the BPE kind: its scores order merges.
+    """Encodes and decodes like the model's own library.
 
-    So the last step is not the relaxation of a lattice by summed scores, which gives other ids on such a model, but
-    the merging of neighbours by the edges' scores, best first and leftmost among equals.
+    The model is of the BPE kind: its scores order merges, and ids are not those of a lattice relaxed by summed scores.
+    But every prefix of a text has one encoding, of which only the last piece matters for what follows: an edge may go
+    on from a prefix exactly when the prefix's last piece and the edge's stay two pieces under the model's merges
+    (stable). So edges are relaxed from left to right by that rule, and one edge reaches every position.
     """
 
     def __init__(self, path: str):
@@ -96,13 +101,79 @@ class Codec:
         for k, i in enumerate(self.ids):
             self.codes[k, : self.lengths[k]] = [ord(c) for c in self.texts[i]]
         scores = np.array([sp.get_score(i) for i in range(n)])
+        self.unknown, self.start, self.base = n, n + 1, n + 2  # a character without a piece, and the begin of a unit
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)  # 0 is best, equal scores share one
+        self.learn_splits()
+        self.pair_keys, self.pair_values = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         # units may only be cut where no piece reaches across
         self.unit = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(re.search(f"[^{SPACE}]{SPACE}", self.texts[i]) for i in self.ids) else re.compile(r"[\s\S]+")
         self.shown = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in silent else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
         self.memory: dict[str, int] = {}
         self.stored, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
+    def learn_splits(self) -> None:
+        """The two pieces that the last merge of every piece joins, found from short pieces to long ones.
+
+        A piece that the merges never make out of its own text is no edge; nor is it a part of another.
+        """
+        names = {self.texts[i]: i for i in self.ids.tolist()}
+        cuts = [(names[t[:k]], names[t[k:]], i) for t, i in names.items() for k in range(1, len(t)) if t[:k] in names and t[k:] in names]
+        left, right, whole = np.array(sorted(cuts), np.int64).reshape(-1, 3).T
+        self.joins, self.joined = left * self.base + right, whole  # sorted by the pair
+        sizes = np.zeros(self.base, np.int64)
+        sizes[self.ids] = self.lengths
+        self.made = np.full(self.base, -1, np.int64)  # the rank of the merge that makes a piece; single characters are there from the start
+        self.left, self.right = np.arange(self.base), np.arange(self.base)
+        real = sizes == 1
+        for size in range(2, self.depth + 1):
+            who = np.flatnonzero((sizes[whole] == size) & real[left] & real[right])
+            who = who[self.stay_apart(left[who], right[who], self.rank[whole[who]])]
+            self.left[whole[who]], self.right[whole[who]] = left[who], right[who]
+            self.made[whole[who]] = self.rank[whole[who]]
+            real[whole[who]] = True
+        keep = real[self.ids]
+        self.ids, self.lengths, self.codes = self.ids[keep], self.lengths[keep], self.codes[keep]
+
+    def stay_apart(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether the merges leave pieces a, b (arrays) as they are where they stand side by side.
+
+        Merges are undone from the last on, in the piece that was finished later (of equals the right one, as merges go
+        from the left). At no time may the two pieces that face each other have joined: their merge must come after the
+        one just undone. before: ranks of merges that come after all of the pieces' own.
+        """
+        a, b = a.copy(), b.copy()
+        limit = np.full(len(a), np.iinfo(np.int64).max) if before is None else before.copy()
+        out = np.zeros(len(a), bool)
+        at = np.arange(len(a))
+        while len(at):
+            key = a * self.base + b
+            k = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+            apart = (self.joins[k] != key) | (self.rank[self.joined[k]] >= limit) if len(self.joins) else np.ones(len(at), bool)
+            ra, rb = self.made[a], self.made[b]
+            ended = (ra < 0) & (rb < 0)
+            out[at[apart & ended]] = True
+            go = apart & ~ended
+            at, a, b, ra, rb = at[go], a[go], b[go], ra[go], rb[go]
+            later = ra > rb
+            limit = np.where(later, ra, rb + 1)
+            a, b = np.where(later, self.right[a], a), np.where(later, b, self.left[b])
+        return out
+
+    def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """stay_apart() with a memory of pairs; everything goes on from the begin of a unit."""
+        key = a * self.base + b
+        place = (key ^ (key >> 17)) * 0x2545F4914F6CDD1D >> 23 & (PAIRS - 1)
+        new = np.flatnonzero((self.pair_keys[place] != key) & (a != self.start))
+        out = self.pair_values[place] | (a == self.start)
+        if len(new):
+            keys, which = np.unique(key[new], return_inverse=True)
+            found = self.stay_apart(keys // self.base, keys % self.base)[which]
+            out[new] = found
+            # two new pairs may share a place: it keeps one of them whole, as both are written in the same order
+            self.pair_keys[place[new]] = key[new]
+            self.pair_values[place[new]] = found
+        return out
+
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """The piece at [position, length], or -1: all occurrences of all pieces, in order of position."""
         order = suffix_array(codes, self.depth)
@@ -116,71 +187,82 @@ class Codec:
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units: all ids one after the other, and len(units) + 1 offsets."""
-        codes = np.frombuffer("".join(u + "\U0010ffff" for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(u) for u in units], np.int64)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(units)
+        short = np.flatnonzero(sizes <= LONG)
+        if len(short):
+            for k, ids in zip(short.tolist(), self.relaxed([units[k] for k in short], sizes[short]), strict=True):
+                out[k] = ids
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            out[k] = self.relaxed_alone(units[k])
+        return np.concatenate(out) if out else np.empty(0, np.int64), np.append(0, np.cumsum([len(x) for x in out]))
+
+    def relaxed(self, units: list[str], sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each of many short units; the n-th positions of all are relaxed together."""
+        codes = np.frombuffer("".join(u + "\U0010ffff" for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         begins = np.cumsum(sizes + 1) - (sizes + 1)
         codes[begins + sizes] = END
         table = self.edges(codes)
-        inside = np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start, unit, length = inside, np.repeat(np.arange(len(units)), sizes), np.ones(len(inside), np.int64)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        long = sizes[unit] > LONG
-        if long.any():
-            for u in np.flatnonzero(sizes > LONG):
-                s, n = self.by_heap(table, int(begins[u]), int(sizes[u]))
-                done.append((s, np.full(len(s), u), n))
-            start, unit, length = start[~long], unit[~long], length[~long]
-        while len(start):
-            # the pair of each symbol with its right neighbour in the same unit
-            pair = np.full(len(start), -1, np.int64)
-            both = np.flatnonzero((unit[:-1] == unit[1:]) & (length[:-1] + length[1:] <= self.depth))
-            pair[both] = table[start[both], length[both] + length[both + 1]]
-            key = np.where(pair >= 0, self.rank[pair] * (len(start) + 1) + np.arange(len(start)), np.iinfo(np.int64).max)
-            heads = np.flatnonzero(np.diff(unit, prepend=-1))
-            best = np.minimum.reduceat(key, heads)
-            merged = best[best < np.iinfo(np.int64).max] % (len(start) + 1)
-            live = np.repeat(best < np.iinfo(np.int64).max, np.diff(np.append(heads, len(start))))
-            done.append((start[~live], unit[~live], length[~live]))
-            length[merged] += length[merged + 1]
-            live[merged + 1] = False
-            start, unit, length = start[live], unit[live], length[live]
-        start, unit, length = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (start, unit, length)
-        order = np.argsort(start, kind="stable")
-        start, unit, length = start[order], unit[order], length[order]
-        ids = table[start, length].astype(np.int64)
+        table[:, 1] = np.where(table[:, 1] < 0, self.unknown, table[:, 1])
+        order = np.argsort(-sizes, kind="stable")
+        begin, size = begins[order], sizes[order]
+        last = np.full(len(codes), self.start, np.int64)  # the piece that ends before a position, and its length
+        length = np.zeros(len(codes), np.int64)
+        for i in range(1, int(sizes.max()) + 1):
+            b = begin[: np.searchsorted(-size, -i, side="right")]
+            lens = np.arange(1, min(i, self.depth) + 1)
+            ids = table[b[:, None] + i - lens, lens]
+            r, c = np.nonzero(ids >= 0)
+            edge = ids[r, c].astype(np.int64)
+            good = self.stable(last[b[r] + i - lens[c]], edge)
+            at = b[r[good]] + i
+            last[at], length[at] = edge[good], lens[c[good]]
+        steps, at, live = [], begins + sizes, np.arange(len(units))
+        while len(live := live[at[live] > begins[live]]):
+            steps.append((live, at[live]))
+            at[live] -= length[at[live]]
+        who, end = (np.concatenate(x) for x in zip(*steps[::-1], strict=True)) if steps else (np.empty(0, np.int64),) * 2
+        by = np.lexsort((end, who))
+        ids, counts = self.spelled(last[end[by]], codes[end[by] - 1])
+        per = np.bincount(who[by], counts, len(units)).astype(np.int64)
+        yield from np.split(ids, np.cumsum(per)[:-1])
+
+    def relaxed_alone(self, unit: str) -> np.ndarray:
+        """The ids of one long unit, window by window; what is kept of it is one piece for each position."""
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = len(codes)
+        last, length = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.uint8)
+        last[0] = self.start
+        known: dict[int, bool] = {}
+        for w in range(0, n, WINDOW):
+            until = min(n, w + WINDOW)
+            table = self.edges(codes[w : min(n, until + self.depth)])[: until - w]
+            table[:, 1] = np.where(table[:, 1] < 0, self.unknown, table[:, 1])
+            at, lens = np.nonzero(table >= 0)
+            for j, size, edge in zip((at + w).tolist(), lens.tolist(), table[at, lens].tolist(), strict=True):
+                if j + size <= n and last[j + size] < 0:
+                    before = int(last[j])
+                    if (good := known.get(before * self.base + edge)) is None:
+                        good = known[before * self.base + edge] = bool(self.stable(np.array([before]), np.array([edge]))[0])
+                    if good:
+                        last[j + size], length[j + size] = edge, size
+        ends = []
+        at = n
+        while at > 0:
+            ends.append(at)
+            at -= int(length[at])
+        end = np.array(ends[::-1], np.int64)
+        return self.spelled(last[end].astype(np.int64), codes[end - 1])[0]
+
+    def spelled(self, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with characters that have no piece (whose codes are given) as bytes, and how many ids each became."""
         counts = np.ones(len(ids), np.int64)
-        if (odd := np.flatnonzero(ids < 0)).size:  # characters without a piece become bytes
-            spelled = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in codes[start[odd]]]
+        if (odd := np.flatnonzero(ids == self.unknown)).size:
+            spelled = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in codes[odd].tolist()]
             counts[odd] = [len(x) for x in spelled]
             ids = np.repeat(ids, counts)
-            ids[np.repeat(counts == 0, counts) | (ids < 0)] = np.concatenate(spelled)
-        per = np.bincount(unit, counts, len(units)).astype(np.int64)
-        return ids, np.append(0, np.cumsum(per))
-
-    def by_heap(self, table: np.ndarray, begin: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols (start, length) of one long unit; the same merges, each found in logarithmic time."""
-        left, right, length = list(range(-1, n - 1)), list(range(1, n + 1)), [1] * n
-        rows = table[begin : begin + n]
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := right[i]) < n and (size := length[i] + length[j]) <= self.depth and (p := rows[i, size]) >= 0:
-                heapq.heappush(heap, (int(self.rank[p]), i, size))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            if not length[i] or (j := right[i]) >= n or length[i] + length[j] != size:
-                continue
-            length[i], length[j] = size, 0
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            offer(left[i])
-            offer(i)
-        keep = np.flatnonzero(length)
-        return keep + begin, np.array(length, np.int64)[keep]
+            ids[ids == self.unknown] = np.concatenate(spelled)
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit numbers. An empty text has none."""
@@ -211,8 +293,9 @@ def encode_documents(docs: DataFrame, model: str, chars: int = 4_000_000) -> Dat
     """Whole texts encoded and decoded again, one row per row of docs, with checksums of both.
 
     Null texts count as empty: no ids. round_trip is false only where the text holds U+2581 itself, which the model
-    cannot tell from a space. Texts are handled in slices of about `chars` characters; none is cut. Repeated rows give
-    repeated results; columns beside doc_id and text are not read.
+    cannot tell from a space. Texts are handled in slices of about `chars` characters; none is cut, and a very long run
+    without spaces is indexed in windows. Repeated rows give repeated results, a null doc_id is carried along; columns
+    beside doc_id and text, whatever their names, are not read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,3 +45,38 @@ def test_rows(spark):
     rows = C.encode_documents(docs, PATH, 1000).collect()
     assert len(rows) == 6 and [r.round_trip for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [True, True, True, True, False, True]
     assert C.encode_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_long_units_in_windows(monkeypatch):
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=PATH), C.Codec(PATH)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("theinandé🤗", k=k)) for k in (65, 99, 100, 101, 400)] + ["a" * 250, " " * 170]
+    monkeypatch.setattr(C, "WINDOW", 50)
+    assert [x.tolist() for x in codec.encode(texts)] == sp.encode(texts)
+
+
+def test_a_very_long_text_without_spaces():
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=PATH), C.Codec(PATH)
+    text = "".join(random.Random(4).choices("theinandsometimes", k=1_200_000))
+    assert codec.encode([text])[0].tolist() == sp.encode(text)
+
+
+def merged(text, rank):
+    s = list(text)
+    while True:
+        best = min(((rank[s[k] + s[k + 1]], k) for k in range(len(s) - 1) if s[k] + s[k + 1] in rank), default=None)
+        if best is None:
+            return s
+        s[best[1] : best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
+
+
+def test_pairs_that_stay_apart():
+    codec = C.Codec(PATH)
+    rank = {codec.texts[i]: int(codec.rank[i]) for i in codec.ids.tolist()}
+    rng = np.random.default_rng(5)
+    spaces = [i for i in codec.ids.tolist() if set(codec.texts[i]) == {C.SPACE}]
+    a = np.concatenate([rng.choice(codec.ids, 3000), np.repeat(spaces, len(spaces))])
+    b = np.concatenate([rng.choice(codec.ids, 3000), np.tile(spaces, len(spaces))])
+    for x, y, apart in zip(a.tolist(), b.tolist(), codec.stay_apart(a, b).tolist(), strict=True):
+        p, q = codec.texts[x], codec.texts[y]
+        assert apart == (merged(p + q, rank) == [p, q])
