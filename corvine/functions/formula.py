@@ -44,11 +44,19 @@ def quote(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def either(parts: list[str]) -> str:
+    return parts[0] if len(parts) == 1 else f"OR({', '.join(parts)})"
+
+
 def any_of(field: str, values: list[str], batch: int = 20) -> list[str]:
     """Formulas that match rows whose field equals one of values, whatever the case; one for each batch."""
     one = [f"LOWER({{{field}}})={quote(v.lower())}" for v in values]
-    parts = [one[i : i + batch] for i in range(0, len(one), batch)]
-    return [p[0] if len(p) == 1 else f"OR({', '.join(p)})" for p in parts]
+    return [either(one[i : i + batch]) for i in range(0, len(one), batch)]
+
+
+def found_in(fields: list[str], word: str) -> str:
+    """A formula that matches rows with the word, in lower case, in one of the fields, whatever their case."""
+    return either([f"FIND({quote(word)}, LOWER({{{f}}}))" for f in fields])
 
 
 def compile(formula: str, columns: dict[str, Column], modified: Column | None = None) -> Column:

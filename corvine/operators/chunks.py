@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvine.functions.text import SECTIONS
+from corvine.functions.text import canonical_section
 
 # Section kinds whose body is a list of entries.
 LISTS = ("experience", "education", "projects", "publications", "volunteer")
-# What a line of a new entry looks like.
-MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-DATES = re.compile(rf"\b{MONTH}?\s*\d{{4}}\s*[-–—to/]+\s*{MONTH}?\s*(?:\d{{4}}|present|current|now)\b", re.IGNORECASE)
-BARS = re.compile(r"^[^\n|]+(?:\s*\|\s*[^\n|]+){1,4}$")
+#: A range of years, the second perhaps behind a month or open.
+YEARS = r"(?i)\b[0-9]{4}\s*(?:[-–—/]|to)\s*(?:\p{L}{3,9}\.?\s+)?(?:[0-9]{4}|present|current|now)\b"
 
 
 @dataclass(frozen=True)
@@ -52,22 +50,45 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
     return F.when(n == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(starts, lambda s: F.slice(tokens, s + 1, size)))
 
 
+def pieces(text: Column) -> Column:
+    """The words of a text, each with the white space behind it, so that a slice joined is a slice of the text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+\s*"), 0)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def joined(piece_list: Column) -> Column:
+    """The stretch of text that consecutive pieces came from."""
+    return trimmed(F.array_join(piece_list, ""))
+
+
+def cut(text: Column, size: int, overlap: int = 0) -> Column:
+    """array<string>: the stretches of a text that its windows of words cover."""
+    return F.transform(windows(pieces(text), size, overlap), joined)
+
+
 def parent_child(sections: DataFrame, c: Config = Config()) -> DataFrame:
     """doc_id, ord, parent, child, text, tokens of sections (doc_id, ord, heading, body); child null marks a parent.
 
-    A section is its heading, a blank line and its text. Parents and children are token windows; later children below
-    the least size go, the first child of a parent always stays. Numbers of parents run through a document.
+    A section is its heading, a blank line and its text. Parents and children are stretches of it that token windows
+    cover; later children below the least size go, the first child of a parent always stays. Numbers of parents run
+    through a document.
     """
     from corvine.sources.parsers import materialised
 
-    whole = F.concat_ws("\n\n", "heading", F.when(F.col("body") != "", F.col("body")))
-    s = materialised(sections.select("doc_id", "ord", whole.alias("_w")), tok=words(F.col("_w"))).drop("_w")
+    s = materialised(sections.select("doc_id", "ord", whole(F.col("heading"), F.col("body")).alias("_w")), tok=pieces(F.col("_w"))).drop("_w")
     p = s.select("doc_id", "ord", F.posexplode(windows(F.col("tok"), c.parent, c.parent_overlap)).alias("k", "tok"))
     p = p.withColumn("parent", (F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "k")) - 1).cast("long"))
     ch = p.select("doc_id", "ord", "parent", F.posexplode(windows(F.col("tok"), c.child, c.child_overlap)).alias("child", "tok"))
     ch = ch.filter((F.size("tok") >= c.least) | (F.col("child") == 0))
     both = p.select("doc_id", "ord", "parent", F.lit(None).cast("long").alias("child"), "tok").unionByName(ch.withColumn("child", F.col("child").cast("long")))
-    return both.select("doc_id", "ord", "parent", "child", F.array_join("tok", " ").alias("text"), F.size("tok").cast("long").alias("tokens"))
+    return both.select("doc_id", "ord", "parent", "child", joined(F.col("tok")).alias("text"), F.size("tok").cast("long").alias("tokens"))
+
+
+def whole(heading: Column, body: Column) -> Column:
+    return F.concat_ws("\n\n", heading, F.when(body != "", body))
 
 
 def chunk_id(content: Column, parent: Column, child: Column) -> Column:
@@ -86,77 +107,86 @@ def guarded(chunks: DataFrame, most: int) -> DataFrame:
     return chunks.join(n.select("doc_id"), "doc_id", "left_anti")
 
 
-def opens(paragraph: str) -> bool:
-    """Whether a paragraph's first line starts an entry: a range of dates, or fields between bars."""
-    line = paragraph.split("\n", 1)[0].strip()
-    return bool(line) and bool(DATES.search(line) or BARS.match(line))
+def opens(unit: Column) -> Column:
+    """Whether the first line of a paragraph starts an entry: a range of years, or two to five fields between bars."""
+    line = F.trim(F.substring_index(unit, "\n", 1))
+    parts = F.split(line, r"\|")
+    return line.rlike(YEARS) | (F.size(parts).between(2, 5) & F.forall(parts, lambda x: F.trim(x) != ""))
 
 
-def entries(body: str) -> list[str]:
-    """The entries of a list section: paragraphs that open one, with those that follow.
+def non_blank(parts: Column) -> Column:
+    return F.filter(F.transform(parts, trimmed), lambda x: x != "")
 
-    A single dense paragraph is split by lines when several of them open an entry. Without any opening, every
-    paragraph is an entry; paragraphs before the first opening: the first starts one, the others join it.
-    """
-    parts = [p.strip() for p in re.split(r"\n\s*\n", (body or "").strip()) if p.strip()]
-    if len(parts) == 1:
-        lines = [x.strip() for x in parts[0].splitlines() if x.strip()]
-        if sum(map(opens, lines)) > 1:
-            parts = lines
-    if not any(map(opens, parts)):
-        return parts
-    out: list[list[str]] = []
-    for p in parts:
-        if opens(p) or not out:
-            out.append([])
-        out[-1].append(p)
-    return ["\n\n".join(x) for x in out]
 
+def runs(items: Column, starts: Column) -> Column:
+    """array<array<string>>: items cut where starts (positions from 0, the first being 0) says."""
+    return F.transform(starts, lambda at, k: F.slice(items, at + 1, F.coalesce(F.get(starts, k + 1), F.size(items)) - at))
 
-def cut_words(text: str, size: int, overlap: int = 0) -> list[str]:
-    w = text.split()
-    if len(w) <= size:
-        return [text] if w else []
-    return [" ".join(w[i : i + size]) for i in range(0, max(1, len(w) - overlap), size - overlap)]
 
+def with_entries(sections: DataFrame, body: str = "body", to: str = "entries") -> DataFrame:
+    """sections with the entries of each body, array<string>; every step stays in the row.
+
+    Units are paragraphs, or the lines of a body's only paragraph where several of them open an entry. An entry is a
+    unit that opens one with the units that follow; units ahead of all openings are one entry. Without any opening every
+    unit is an entry.
+    """
+    from corvine.sources.parsers import materialised
+
+    d = materialised(sections, _parts=non_blank(F.split(F.coalesce(F.col(body), F.lit("")), r"\n\s*\n")))
+    d = materialised(d, _lines=F.when(F.size("_parts") == 1, non_blank(F.split(F.get("_parts", F.lit(0)), "\n"))).otherwise(F.array().cast("array<string>")))
+    d = materialised(d, _units=F.when(F.size(F.filter("_lines", opens)) > 1, F.col("_lines")).otherwise(F.col("_parts")))
+    d = materialised(d, _open=F.transform("_units", opens))
+    alone = ~F.exists("_open", lambda x: x)
+    d = materialised(d, _starts=F.filter(F.transform("_open", lambda x, i: F.when(x | (i == 0) | alone, i)), lambda i: i.isNotNull()))
+    out = d.withColumn(to, F.transform(runs(F.col("_units"), F.col("_starts")), lambda x: F.array_join(x, "\n\n")))
+    return out.drop("_parts", "_lines", "_units", "_open", "_starts")
 
-def resume_rows(sections: list[tuple[str | None, str]], c: Config) -> list[tuple[int, int | None, str, str, int | None]]:
-    """(parent, child, text, section kind, entry) for a document's sections (heading, body).
 
-    List sections, and unknown ones that hold several entries, keep one parent; each entry is a child with the
-    heading in front, one below the least size joins the child before, one above the child size is cut into windows of
-    the same entry. Other sections are cut into parents and children by tokens.
+def resume(sections: DataFrame, c: Config = Config()) -> DataFrame:
+    """doc_id, parent, child, text, kind, part of sections (doc_id, ord, heading, body); kind is the section's, part the entry.
+
+    List sections, and unknown ones that hold several entries, keep one parent; each entry is a child with the heading
+    in front, one below the least size joins the child before, one above the child size is cut into windows of the same
+    entry. Other sections are cut into parents and children by tokens. Sections without words go.
     """
-    kinds = {a: k for k, names in SECTIONS.items() for a in names}
-    out: list[tuple[int, int | None, str, str, int | None]] = []
-    parent = 0
-    if not any(h for h, _ in sections):
-        sections = [(None, "\n\n".join(b for _, b in sections))]
-    for heading, body in sections:
-        name = re.sub("[^a-z0-9]+", " ", (heading or "").lower()).strip()
-        kind = kinds.get(name, "other") if name else "unknown"
-        parts = entries(body) if kind in LISTS or kind in ("unknown", "other") else []
-        whole = "\n\n".join(x for x in (heading, body) if x)
-        if not whole.split():
-            continue
-        if kind in LISTS or len(parts) > 1:
-            out.append((parent, None, whole, kind, None))
-            held: list[list] = []
-            for k, e in enumerate(parts):
-                text = f"{heading}:\n{e}" if heading else e
-                if held and len(e.split()) < c.least:
-                    held[-1][0] += "\n\n" + e
-                else:
-                    held += [[t, k] for t in cut_words(text, c.child, c.child_overlap)]
-            out += [(parent, i, t, kind, k) for i, (t, k) in enumerate(held)]
-            parent += 1
-            continue
-        for p in cut_words(whole, c.parent, c.parent_overlap):
-            out.append((parent, None, p, kind, None))
-            kids = cut_words(p, c.child, c.child_overlap)
-            out += [(parent, i, t, kind, None) for i, t in enumerate(kids) if not i or len(t.split()) >= c.least]
-            parent += 1
-    return out
+    from corvine.sources.parsers import materialised
+
+    s = sections.select("doc_id", "ord", "heading", canonical_section(F.coalesce("heading", F.lit(""))).alias("kind"), "body", whole(F.col("heading"), F.col("body")).alias("whole"))
+    s = with_entries(s.filter(F.col("whole").rlike(r"\S")))
+    lists, open_ = F.col("kind").isin(*LISTS), F.col("kind").isin("unknown", "other")
+    s = s.withColumn("entries", F.when(lists | open_, F.col("entries")).otherwise(F.array().cast("array<string>"))).withColumn("listed", lists | (F.size("entries") > 1))
+    s = materialised(s.drop("body"), heads=F.filter(F.transform("entries", lambda e, i: F.when((i == 0) | (F.size(pieces(e)) >= c.least), i)), lambda i: i.isNotNull()))
+    s = materialised(s, groups=runs(F.col("entries"), F.col("heads")))
+
+    def kids(group: Column, k: Column) -> Column:
+        first = F.concat(F.when(F.col("heading") != "", F.concat("heading", F.lit(":\n"))).otherwise(F.lit("")), group[0])
+        cuts = cut(first, c.child, c.child_overlap)
+        more = F.array_join(F.slice(group, 2, F.size(group)), "\n\n")
+        last = F.concat(F.element_at(cuts, -1), F.when(more != "", F.concat(F.lit("\n\n"), more)).otherwise(F.lit("")))
+        texts = F.concat(F.slice(cuts, 1, F.size(cuts) - 1), F.array(last))
+        return F.transform(texts, lambda t: F.struct(t.alias("text"), F.get("heads", k).cast("long").alias("part")))
+
+    none = F.lit(None).cast("long")
+    listed = F.transform(F.flatten(F.transform("groups", kids)), lambda x, i: F.struct(F.lit(0).cast("long").alias("k"), i.cast("long").alias("child"), x["text"].alias("text"), x["part"].alias("part")))
+    listed = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("k"), none.alias("child"), F.col("whole").alias("text"), none.alias("part"))), listed)
+
+    def family(parent: Column, k: Column) -> Column:
+        one = lambda child, text: F.struct(k.cast("long").alias("k"), child.alias("child"), text.alias("text"), none.alias("part"))
+        inside = F.filter(windows(parent, c.child, c.child_overlap), lambda w, i: (i == 0) | (F.size(w) >= c.least))
+        return F.concat(F.array(one(none, joined(parent))), F.transform(inside, lambda w, i: one(i.cast("long"), joined(w))))
+
+    s = materialised(s, parents=windows(pieces(F.col("whole")), c.parent, c.parent_overlap))
+    s = s.withColumn("rows", F.when(F.col("listed"), listed).otherwise(F.flatten(F.transform("parents", family))))
+    ahead = F.sum(F.when(F.col("listed"), 1).otherwise(F.size("parents"))).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
+    s = s.select("doc_id", "kind", F.coalesce(ahead, F.lit(0)).alias("ahead"), "rows").select("doc_id", "kind", "ahead", F.inline("rows"))
+    return s.select("doc_id", (F.col("ahead") + F.col("k")).cast("long").alias("parent"), "child", "text", "kind", "part")
+
+
+def cut_words(text: str, size: int, overlap: int = 0) -> list[str]:
+    """cut() of one text."""
+    w = [m.span() for m in re.finditer(r"\S+", text)]
+    starts = range(0, max(1, len(w) - overlap), size - overlap) if w else ()
+    return [text[w[i][0] : w[min(i + size, len(w)) - 1][1]] for i in starts]
 
 
 ATOMS = {"notes": re.compile(r"^(\[Notes:\]|Notes:)"), "table": re.compile(r"^\|"), "visual": re.compile(r"(?i)^(visual|insights):")}
@@ -185,42 +215,44 @@ def slide_blocks(body: str, c: Config) -> list[str]:
     return [t for i, (t, k) in enumerate(out) if not i or k == "notes" or len(t.split()) >= c.least]
 
 
-def slide_rows(sections: list[tuple[str | None, str]], c: Config) -> list[tuple[int, int | None, str, str, int | None]]:
-    """(parent, child, text, kind, slide): one parent per slide; other sections by tokens, numbered on from each other."""
-    out: list[tuple[int, int | None, str, str, int | None]] = []
-    for parent, (heading, body) in enumerate(sections):
-        m = re.match(r"(?i)slide\s+(\d+)", heading or "")
-        whole = "\n\n".join(x for x in (heading, body) if x)
-        kids = slide_blocks(body, c) if m else cut_words(whole, c.child, c.child_overlap)
-        out.append((parent, None, whole, "slide" if m else "text", int(m[1]) if m else None))
-        out += [(parent, i, t, "slide" if m else "text", int(m[1]) if m else None) for i, t in enumerate(kids or [heading or ""])]
-    return out
+def slides(sections: DataFrame, c: Config = Config()) -> DataFrame:
+    """doc_id, parent, child, text, kind, part: one parent for each section; kind slide or text, part the slide's number.
+
+    A slide's children are its blocks; packing lines depends on their order, so each body is packed by an Arrow function.
+    Other sections have windows of tokens. A section without children has its heading as one.
+    """
+
+    @F.pandas_udf("array<string>")
+    def blocks(bodies: pd.Series) -> pd.Series:
+        return bodies.fillna("").map(lambda b: slide_blocks(b, c))
 
+    number = F.regexp_extract(F.coalesce("heading", F.lit("")), r"(?i)^slide\s+([0-9]+)", 1).try_cast("long")
+    s = sections.select("doc_id", "ord", "heading", "body", whole(F.col("heading"), F.col("body")).alias("whole"), number.alias("part"))
+    s = s.withColumn("parent", (F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1).cast("long"))
+    shown = s.filter("part is not null").withColumn("kids", blocks("body"))
+    plain = s.filter("part is null").withColumn("kids", cut(F.col("whole"), c.child, c.child_overlap))
+    s = shown.unionByName(plain).withColumn("kids", F.when(F.size("kids") > 0, F.col("kids")).otherwise(F.array(F.coalesce("heading", F.lit("")))))
+    s = s.withColumn("kind", F.when(F.col("part").isNotNull(), "slide").otherwise("text"))
+    none = F.lit(None).cast("long")
+    rows = F.concat(F.array(F.struct(none.alias("child"), F.col("whole").alias("text"))), F.transform("kids", lambda t, i: F.struct(i.cast("long").alias("child"), t.alias("text"))))
+    return s.select("doc_id", "parent", F.inline(rows), "kind", "part")
 
-def summary_rows(sections: list[tuple[str | None, str]], c: Config) -> list[tuple[int, int | None, str, str, int | None]]:
-    """A summary is one child without a parent."""
-    return [(0, 0, "\n\n".join(x for s in sections for x in s if x), "summary", None)]
 
+def summary(sections: DataFrame, c: Config = Config()) -> DataFrame:
+    """A summary is one child without a parent: all sections of a document, in order."""
+    parts = F.array_sort(F.collect_list(F.struct("ord", whole(F.col("heading"), F.col("body")).alias("t"))))
+    g = sections.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
+    return g.select("doc_id", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("child"), "text", F.lit("summary").alias("kind"), F.lit(None).cast("long").alias("part"))
 
-CHUNKED = "doc_id long, parent long, child long, text string, kind string, part long"
-STRATEGIES: dict[str, Callable] = {"resume": resume_rows, "slides": slide_rows, "summary": summary_rows}
+
+STRATEGIES: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"parent_child": parent_child, "resume": resume, "slides": slides, "summary": summary}
 
 
 def chunk(sections: DataFrame, strategy: str, c: Config = Config()) -> DataFrame:
-    """Chunks of sections (doc_id, ord, heading, body) by a named strategy; order-dependent folds run once per document."""
-    if strategy == "parent_child":
-        return parent_child(sections, c)
+    """Chunks of sections (doc_id, ord, heading, body) by a named strategy."""
     if strategy not in STRATEGIES:
         raise KeyError(f"no chunking strategy {strategy!r}")
-    fold = STRATEGIES[strategy]
-    g = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "heading", "body"))).alias("s"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *r) for d, s in zip(f["doc_id"], f["s"], strict=True) for r in fold([(x["heading"], x["body"]) for x in s], c)]
-            yield pd.DataFrame(rows, columns=["doc_id", "parent", "child", "text", "kind", "part"]).astype({"parent": "Int64", "child": "Int64", "part": "Int64"})
-
-    return g.mapInPandas(run, CHUNKED)
+    return STRATEGIES[strategy](sections, c)
 
 
 def with_context(text: Column, heading: Column) -> Column:

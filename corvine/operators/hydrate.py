@@ -44,8 +44,19 @@ def summaries(hits: DataFrame, found: DataFrame, key: str, to: str) -> DataFrame
 
 
 def overlay(*maps: Column) -> Column:
-    """Maps laid over each other, later keys winning, null values dropped."""
-    return F.map_filter(F.map_concat(*maps), lambda k, v: v.isNotNull())
+    """Maps laid over each other, later keys winning; null values are dropped first, and a null map holds nothing.
+
+    A key stays in the last map that has it only, so that no key meets itself, whatever the session says of such keys.
+    """
+    own = [F.coalesce(F.map_filter(m, lambda k, v: v.isNotNull()), F.create_map().cast("map<string,string>")) for m in maps]
+    out = own[-1]
+    for m in own[-2::-1]:
+        out = F.map_concat(without_keys(m, out), out)
+    return out
+
+
+def without_keys(m: Column, other: Column) -> Column:
+    return F.map_filter(m, lambda k, v: ~F.map_contains_key(other, k))
 
 
 def lexical_score(query: str, text: pd.Series) -> pd.Series:

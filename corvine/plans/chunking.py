@@ -11,21 +11,23 @@ from corvine.plans.catalog import query
 from corvine.session import table
 from corvine.sources import parsers
 
-TOKENS = "t AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS tok FROM documents)"
+# words with the white space behind them; a window's text is the stretch of the document that it covers
+TOKENS = "t AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS tok FROM documents)"
 WINDOWS = f"{TOKENS}, s AS (SELECT doc_id, tok, unnest(range(0, greatest(len(tok) - 50, 1), 150)) AS start FROM t WHERE len(tok) > 0), w AS (SELECT doc_id, start // 150 AS pos, tok[start + 1 : start + 200] AS win FROM s)"
+STRETCH = "md5(regexp_replace(array_to_string({}, ''), '\\s+$', ''))"
 
 
-@query(f"WITH {WINDOWS} SELECT doc_id, pos::BIGINT AS pos, len(win) AS tokens, md5(array_to_string(win, ' ')) AS h FROM w")
+@query(f"WITH {WINDOWS} SELECT doc_id, pos::BIGINT AS pos, len(win) AS tokens, {STRETCH.format('win')} AS h FROM w")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = parsers.materialised(table(spark, sf_dir, "documents").select("doc_id", "text"), tok=chunks.words(F.col("text")))
+    d = parsers.materialised(table(spark, sf_dir, "documents").select("doc_id", "text"), tok=chunks.pieces(F.col("text")))
     w = d.select("doc_id", F.posexplode(chunks.windows(F.col("tok"), 200, 50)).alias("pos", "win"))
-    return w.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size("win").cast("long").alias("tokens"), F.md5(F.array_join("win", " ")).alias("h"))
+    return w.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size("win").cast("long").alias("tokens"), F.md5(chunks.joined(F.col("win"))).alias("h"))
 
 
-@query(f"WITH {TOKENS}, s AS (SELECT doc_id, tok, unnest(range(0, greatest(len(tok) - 100, 1), 700)) AS start FROM t WHERE len(tok) > 0), p AS (SELECT doc_id, start // 700 AS parent, tok[start + 1 : start + 800] AS tok FROM s), c0 AS (SELECT doc_id, parent, tok, unnest(range(0, greatest(len(tok) - 50, 1), 150)) AS start FROM p), c AS (SELECT doc_id, parent, start // 150 AS child, tok[start + 1 : start + 200] AS tok FROM c0) SELECT doc_id, parent::BIGINT AS parent, NULL::BIGINT AS child, len(tok) AS tokens FROM p UNION ALL SELECT doc_id, parent, child, len(tok) FROM c WHERE len(tok) >= 30 OR child = 0")
+@query(f"WITH {TOKENS}, s AS (SELECT doc_id, tok, unnest(range(0, greatest(len(tok) - 100, 1), 700)) AS start FROM t WHERE len(tok) > 0), p AS (SELECT doc_id, start // 700 AS parent, tok[start + 1 : start + 800] AS tok FROM s), c0 AS (SELECT doc_id, parent, tok, unnest(range(0, greatest(len(tok) - 50, 1), 150)) AS start FROM p), c AS (SELECT doc_id, parent, start // 150 AS child, tok[start + 1 : start + 200] AS tok FROM c0) SELECT doc_id, parent::BIGINT AS parent, NULL::BIGINT AS child, len(tok) AS tokens, {STRETCH.format('tok')} AS h FROM p UNION ALL SELECT doc_id, parent, child, len(tok), {STRETCH.format('tok')} FROM c WHERE len(tok) >= 30 OR child = 0")
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ord"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("body"))
-    return chunks.chunk(s, "parent_child").select("doc_id", "parent", "child", "tokens")
+    return chunks.chunk(s, "parent_child").select("doc_id", "parent", "child", "tokens", F.md5("text").alias("h"))
 
 
 @query("SELECT conv_id, turn, left(sha256(text), 16) || ':child:' || conv_id || ':' || turn AS chunk_id FROM conversations WHERE turn > 0 UNION ALL SELECT conv_id, turn, left(sha256(text), 16) || ':parent:' || conv_id FROM conversations WHERE turn = 0")

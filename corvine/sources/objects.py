@@ -69,11 +69,15 @@ def with_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def routed(files: DataFrame, tables: DataFrame, fallback: str | None = None) -> DataFrame:
-    """files with route, the table whose prefix is the longest that begins their key; tables (prefix, name) is a registry
-    of bounded size, so it is broadcast."""
-    hit = files.join(F.broadcast(tables), F.col("key").startswith(F.col("prefix")), "left")
-    best = hit.groupBy(*files.columns).agg(F.max_by("name", F.length("prefix")).alias("route"))
-    return best.withColumn("route", F.coalesce("route", F.lit(fallback))) if fallback else best
+    """files with route, the table whose prefix is the longest that begins their key, or fallback.
+
+    tables (prefix, name) is a registry of bounded size: as one array it is broadcast to every row, so files are neither
+    shuffled nor grouped and repeated rows stay. Of equal prefixes the last name counts.
+    """
+    registry = tables.agg(F.collect_list(F.struct(F.length("prefix").alias("n"), "name", "prefix")).alias("_registry"))
+    hits = F.filter("_registry", lambda t: F.col("key").startswith(t["prefix"]))
+    out = files.join(F.broadcast(registry)).withColumn("route", F.array_max(hits)["name"]).drop("_registry")
+    return out.withColumn("route", F.coalesce("route", F.lit(fallback))) if fallback else out
 
 
 def allowed(files: DataFrame, suffixes: list[str]) -> tuple[DataFrame, DataFrame]:

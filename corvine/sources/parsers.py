@@ -48,30 +48,52 @@ def materialised(df: DataFrame, **columns: Column) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, ord, heading, level, path, body: a document's sections in order; no shuffle.
 
-    Front matter loses its fences and stays in the text. A heading's path: headings above it are cut to its level less
-    one, then it is added. Sections without heading and text go; a text without headings is one section.
+    Front matter loses its fences and stays in the text. A heading's path holds, for each level above its own, the last
+    heading of that depth since a shallower one, then itself. Sections without heading and text go; a text without
+    headings is one section. Lines are cut into sections before anything is multiplied, so rows hold their own text only.
     """
     body = F.regexp_replace(F.coalesce("text", F.lit("")), FRONT, "$1\n\n")
     d = materialised(docs.select("doc_id", body.alias("_body")), lines=F.split("_body", "\r?\n"))
     d = materialised(d.drop("_body"), levels=F.transform("lines", lambda x: level_of(F.trim(x))))
     at = F.filter(F.transform("levels", lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
     d = materialised(d, starts=F.concat(F.array(F.lit(-1)), at))
-    name = lambda i: F.when(i >= 0, F.trim(F.regexp_replace(F.trim(F.get("lines", i)), r"^#{1,6}\s+", "")))
-    heads = F.transform("starts", lambda i: F.struct(i.alias("at"), F.coalesce(F.get("levels", i), F.lit(0)).alias("level"), name(i).alias("heading")))
-    d = materialised(d, heads=heads)
-    state = F.array().cast("array<string>")
-    step = lambda a, h: F.struct(
-        F.when(h["at"] < 0, a["now"]).otherwise(F.concat(F.slice(a["now"], 1, F.greatest(h["level"] - 1, F.lit(0))), F.array(h["heading"]))).alias("now"),
-        F.concat(a["out"], F.array(F.when(h["at"] < 0, a["now"]).otherwise(F.concat(F.slice(a["now"], 1, F.greatest(h["level"] - 1, F.lit(0))), F.array(h["heading"]))))).alias("out"),
-    )
-    d = materialised(d, paths=F.aggregate("heads", F.struct(state.alias("now"), F.array().cast("array<array<string>>").alias("out")), step, lambda a: a["out"]))
-    s = d.select("doc_id", "lines", "paths", "starts", F.posexplode("heads").alias("k", "h"))
-    end = F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines"))
-    text = F.array_join(F.slice("lines", F.col("h.at") + 2, F.greatest(end - F.col("h.at") - 1, F.lit(0))), "\n")
-    s = s.select("doc_id", F.col("k").alias("ord"), "h.heading", "h.level", F.get("paths", "k").alias("path"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("body"))
+    name = lambda x: F.trim(F.regexp_replace(F.trim(x), r"^#{1,6}\s+", ""))
+
+    def part(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("lines"))
+        text = F.array_join(F.slice("lines", i + 2, F.greatest(end - i - 1, F.lit(0))), "\n")
+        return F.struct(F.coalesce(F.get("levels", i), F.lit(0)).alias("level"), F.when(i >= 0, name(F.get("lines", i))).alias("heading"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("body"))
+
+    d = materialised(d, parts=F.transform("starts", part)).drop("lines", "levels", "starts")
+    d = materialised(d, paths=heading_paths(F.col("parts")))
+    both = F.zip_with("parts", "paths", lambda x, p: F.struct(x["heading"].alias("heading"), x["level"].alias("level"), p.alias("path"), x["body"].alias("body")))
+    s = d.select("doc_id", F.posexplode(both).alias("ord", "s")).select("doc_id", "ord", "s.heading", "s.level", "s.path", "s.body")
     return s.filter("heading is not null or body <> ''")
 
 
+def heading_paths(parts: Column) -> Column:
+    """array<array<string>>: the path of each part (level, heading); a part of level 0 has none.
+
+    One fold keeps the path so far, cut to its level less one before a heading is added; the paths of a stretch of parts
+    are gathered apart from those before, so that no array grows over a whole document.
+    """
+    word = "array<string>"
+    now = lambda path, x: F.when(x["level"] > 0, F.concat(F.slice(path, 1, F.greatest(x["level"] - 1, F.lit(0))), F.array(x["heading"]))).otherwise(path)
+
+    def gathered(stretch: Column, path: Column) -> Column:
+        start = F.struct(path.alias("now"), F.array().cast(f"array<{word}>").alias("out"))
+        step = lambda a, x: F.struct(now(a["now"], x).alias("now"), F.concat(a["out"], F.array(now(a["now"], x))).alias("out"))
+        return F.aggregate(stretch, start, step, lambda a: a["out"])
+
+    def whole(stretches: Column) -> Column:
+        ends = F.aggregate(stretches, F.array(F.array().cast(word)), lambda a, s: F.concat(a, F.array(F.aggregate(s, F.element_at(a, -1), now))))
+        return F.flatten(F.zip_with(stretches, F.slice(ends, 1, F.size(stretches)), gathered))
+
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    step = lambda a: F.greatest(F.ceil(F.sqrt(F.size(a))), F.lit(1)).cast("int")
+    return once(parts, lambda a: once(F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), step(a)), lambda i: F.slice(a, i, step(a))), whole))
+
+
 def tidy(s: DataFrame) -> DataFrame:
     """Sections without tables of contents; a level-1 heading said again loses it but keeps its text; gaps shrink."""
     from pyspark.sql import Window as W

@@ -1,3 +1,4 @@
+import random
 import io
 import zipfile
 
@@ -90,10 +91,56 @@ def test_slides(spark):
     assert parsers.deck(d).first().markdown == "## Slide 1: T\nb1\n[Page 1]\n\n## Slide 2\nb2\n[Notes:] n\n[Page 2]"
 
 
-def test_entries():
-    assert len(chunks.entries("pre\n\nA | B | 2019 - 2020\ntext\n\nmore\n\nC | D")) == 3
-    assert chunks.entries("A | 2001 - 2002\nB | 2003 - now") == ["A | 2001 - 2002", "B | 2003 - now"]
-    assert chunks.entries("one\n\ntwo") == ["one", "two"] and chunks.entries("") == []
+def test_entries(spark):
+    of = lambda *bodies: [list(r.entries) for r in chunks.with_entries(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")).orderBy("i").collect()]
+    got = of("pre\n\nA | B | 2019 - 2020\ntext\n\nmore\n\nC | D", "A | 2001 - 2002\nB | 2003 - now", "one\n\ntwo", "", None, "x\n\ny\n\nJan 2019 – March 2020 at Z\n\nrest", "a | b\nplain line", "a || b\n\nc")
+    assert got == [["pre", "A | B | 2019 - 2020\ntext\n\nmore", "C | D"], ["A | 2001 - 2002", "B | 2003 - now"], ["one", "two"], [], [], ["x\n\ny", "Jan 2019 – March 2020 at Z\n\nrest"], ["a | b\nplain line"], ["a || b", "c"]]
+
+
+def plain_resume(sections, c):
+    """One document's rows (parent, child, text, kind, part), section after section."""
+    out, parent = [], 0
+    for heading, kind, body, entries in sections:
+        text = "\n\n".join(x for x in (heading, body) if x)
+        if not text.split():
+            continue
+        entries = entries if kind in chunks.LISTS or kind in ("unknown", "other") else []
+        if kind in chunks.LISTS or len(entries) > 1:
+            out.append((parent, None, text, kind, None))
+            held = []
+            for k, e in enumerate(entries):
+                if held and len(e.split()) < c.least:
+                    held[-1][0] += "\n\n" + e
+                else:
+                    held += [[t, k] for t in chunks.cut_words(f"{heading}:\n{e}" if heading else e, c.child, c.child_overlap)]
+            out += [(parent, i, t, kind, k) for i, (t, k) in enumerate(held)]
+            parent += 1
+            continue
+        for p in chunks.cut_words(text, c.parent, c.parent_overlap):
+            out.append((parent, None, p, kind, None))
+            out += [(parent, i, t, kind, None) for i, t in enumerate(chunks.cut_words(p, c.child, c.child_overlap)) if not i or len(t.split()) >= c.least]
+            parent += 1
+    return out
+
+
+def test_resume_equals_a_plain_version(spark):
+    rng = random.Random(7)
+    heads = {"Experience": "experience", "Skills": "skills", "Education": "education", "Odd things": "other", None: "unknown"}
+    lines = ["A | B | 2019 - 2020", "Jan 2001 to now", "word", "  several words on one line  ", "", "", "x y z " * 12]
+    rows = []
+    for doc in range(40):
+        for ord_ in range(rng.randrange(1, 6)):
+            heading = rng.choice(list(heads))
+            rows.append((doc, ord_, heading, "\n".join(rng.choices(lines, k=rng.randrange(0, 9)))))
+    s = spark.createDataFrame(rows, "doc_id long, ord int, heading string, body string")
+    entries = {(r.doc_id, r.ord): list(r.entries) for r in chunks.with_entries(s).collect()}
+    for c in (chunks.Config(parent=20, parent_overlap=3, child=7, child_overlap=2, least=3), chunks.Config()):
+        want = []
+        for doc in range(40):
+            own = [(h, heads[h], b, entries[d, o]) for d, o, h, b in rows if d == doc]
+            want += [(doc, *r) for r in plain_resume(own, c)]
+        got = [tuple(r) for r in chunks.chunk(s, "resume", c).select("doc_id", "parent", "child", "text", "kind", "part").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_resume_chunks(spark):
