@@ -109,3 +109,8 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], di
 def hints(final: DataFrame) -> DataFrame:
     """One follow-up hint per final hit that has an entity."""
     return final.filter("pk is not null and pk <> ''").select(F.lit("lookup").alias("kind"), F.col("pk").alias("key"), "ord")
+
+
+def truncation_hints(cut: DataFrame) -> DataFrame:
+    """One hint per field of which values were cut (field, n), with how many."""
+    return cut.filter("n > 0").select(F.lit("truncated").alias("kind"), F.col("field").alias("key"), F.lit(None).cast("long").alias("ord"), F.col("n").cast("long").alias("n"))

@@ -47,26 +47,28 @@ def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.guarded(d, 24).select(F.col("doc_id").alias("source"), F.col("id").alias("doc_id"))
 
 
-def sectioned(spark: SparkSession, sf_dir: str, first_line: bool = False) -> DataFrame:
+def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents with a Markdown heading for every turn."""
     c = table(spark, sf_dir, "conversations")
-    c = c.withColumn("text", F.substring_index("text", "\n", 1)) if first_line else c
     line = F.concat(F.when(F.col("turn") % 2 == 0, "# ").otherwise("## "), F.element_at(F.array(*map(F.lit, ["Experience", "Skills", "Education", "Notes"])), (F.col("turn") % 4 + 1).cast("int")), F.lit("\n"), "text")
     g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
     return g.select("doc_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
 
 
-@query("""WITH l AS (SELECT conv_id AS doc_id, turn, ['Experience', 'Skills', 'Education', 'Notes'][(turn % 4) + 1] AS heading, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS level, trim(split_part(text, chr(10), 1)) AS body FROM conversations)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn))::BIGINT AS ord, heading, level::BIGINT AS level, body,
-CASE WHEN level = 1 THEN heading ELSE coalesce(lag(heading) OVER (PARTITION BY doc_id ORDER BY turn) || '/', '') || heading END AS path FROM l""")
-def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections and heading paths of conversations, each turn cut to its first line."""
-    s = parsers.sections(sectioned(spark, sf_dir, first_line=True))
-    return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "heading", F.col("level").cast("long").alias("level"), "body", F.array_join("path", "/").alias("path"))
+SECTIONS = rf"""t AS (SELECT conv_id, turn, ['Experience', 'Skills', 'Education', 'Notes'][(turn % 4) + 1] AS h, text FROM conversations),
+d AS (SELECT conv_id AS doc_id, string_agg((CASE WHEN turn % 2 = 0 THEN '# ' ELSE '## ' END) || h || chr(10) || text, chr(10) ORDER BY turn) AS text FROM t GROUP BY 1),
+x AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS i FROM d),
+v AS (SELECT *, trim(line) AS s FROM x),
+w AS (SELECT *, CASE WHEN regexp_matches(s, '{parsers.MARKDOWN}') THEN length(regexp_extract(s, '{parsers.MARKDOWN}', 1)) WHEN length(s) BETWEEN 4 AND 100 AND regexp_matches(s, '{parsers.CAPITALS}') THEN 1
+WHEN regexp_matches(s, '{parsers.TITLE}') AND len(string_split_regex(lower(s), '\s+')) <= 5 AND list_has_any(string_split_regex(lower(s), '\s+'), string_split('{' '.join(parsers.HEADING_WORDS)}', ' ')) THEN 1 ELSE 0 END AS level FROM v),
+g AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS ord FROM w),
+b AS (SELECT doc_id, ord, max(level) AS level, max(trim(regexp_replace(s, '^#{{1,6}}\s+', ''))) FILTER (level > 0) AS heading, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS body FROM g GROUP BY 1, 2),
+r AS (SELECT doc_id, ord, CASE WHEN level > 0 THEN [heading] ELSE []::VARCHAR[] END AS path FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) = 1
+UNION ALL SELECT b.doc_id, b.ord, list_concat(r.path[1 : b.level - 1], [b.heading]) FROM r JOIN b ON b.doc_id = r.doc_id AND b.ord = r.ord + 1)"""
 
 
-@query()
-def section_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH RECURSIVE {SECTIONS} SELECT doc_id, ord::BIGINT AS ord, heading, level::BIGINT AS level, body, array_to_string(path, '/') AS path FROM r JOIN b USING (doc_id, ord) WHERE heading IS NOT NULL OR body <> ''")
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and heading paths of conversations with whole turns; headings may stand inside a turn."""
     s = parsers.sections(sectioned(spark, sf_dir))
     return s.select("doc_id", F.col("ord").cast("long").alias("ord"), "heading", F.col("level").cast("long").alias("level"), "body", F.array_join("path", "/").alias("path"))
@@ -112,11 +114,12 @@ def match_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.match_form(F.concat("p_name", F.lit(" ＆  "), "p_type")).alias("m"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN left(text, 40) ELSE left(text, 1800) END, '\\s+', ' ', 'g')) AS summary FROM documents WHERE regexp_matches(left(text, 40), '^[A-Za-z ,.]+$')")
+@query("SELECT doc_id, trim(regexp_replace(left(CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') || ' of ' || coalesce(source, '') ELSE coalesce(text, '') END, 1800), '\\s+', ' ', 'g')) AS summary FROM documents")
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.left("text", F.lit(40)).rlike("^[A-Za-z ,.]+$"))
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x\nDocument_Summary: "), F.left("text", F.lit(40)), F.lit("\n\n"), "text")).otherwise(F.col("text"))
-    return d.select("doc_id", X.summary_of(t).alias("summary"))
+    """Every second document carries a summary ahead of its text; the others are their own."""
+    d = table(spark, sf_dir, "documents")
+    own = F.concat(F.lit("x\nDocument_Summary: "), F.coalesce("lang", F.lit("")), F.lit(" of "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return d.select("doc_id", X.summary_of(F.when(F.col("doc_id") % 2 == 0, own).otherwise(F.coalesce("text", F.lit("")))).alias("summary"))
 
 
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS cursor FROM events")
@@ -124,9 +127,9 @@ def cursor_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.cursor(F.col("ts")).alias("cursor"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md5, rtrim(translate(to_base64(encode(left(source, 9))), '+/', '-_'), '=') AS b64, regexp_replace(source || ' x', '[^A-Za-z0-9_-]+', '_', 'g') AS id FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md5, rtrim(translate(to_base64(encode(source || '?>' || text)), '+/', '-_'), '=') AS b64, regexp_replace(source || ' x', '[^A-Za-z0-9_-]+', '_', 'g') AS id FROM documents")
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md5"), X.base64url(F.encode(F.left("source", F.lit(9)), "UTF-8")).alias("b64"), X.id_part(F.concat("source", F.lit(" x"))).alias("id"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md5"), X.base64url(F.encode(F.concat("source", F.lit("?>"), "text"), "UTF-8")).alias("b64"), X.id_part(F.concat("source", F.lit(" x"))).alias("id"))
 
 
 @query("SELECT doc_id, regexp_replace('12' || chr(10) || 'a' || chr(10) || ' 7 ' || chr(10) || source, '^12' || chr(10) || 'a' || chr(10) || ' 7 ' || chr(10), 'a' || chr(10)) AS t FROM documents")
@@ -134,16 +137,16 @@ def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.drop_page_numbers(F.concat(F.lit("12\na\n 7 \n"), "source")).alias("t"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN (event_id % 50)::INT ELSE NULL END AS n FROM events WHERE event_id % 50 <> 0")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN nullif((event_id % 50)::INT, 0) ELSE NULL END AS n FROM events")
 def coerced_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 50 <> 0")
+    e = table(spark, sf_dir, "events")
     v = F.when(F.col("event_id") % 3 == 0, "all").when(F.col("event_id") % 3 == 1, (F.col("event_id") % 50).cast("string")).otherwise("-4")
     return e.select("event_id", X.positive_or_null(v).alias("n"))
 
 
-@query("SELECT doc_id, lower(replace(source, 'src', 'file_')) || '.pdf' AS name, coalesce(lang, '') || ' — ' || 'Source Name' || ' (' || source || ')' AS label FROM documents WHERE lang IS NOT NULL")
+@query("SELECT doc_id, lower(replace(source, 'src', 'file_')) || '.pdf' AS name, coalesce(lang, '') || ' — ' || 'Source Name' || ' (' || source || ')' AS label FROM documents")
 def file_names_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang is not null")
+    d = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("/dir/"), F.replace("source", F.lit("src"), F.lit("File ")), F.lit(".PDF"))
     return d.select("doc_id", X.filename(name).alias("name"), X.label(F.col("lang"), F.lit("source_name"), F.col("source")).alias("label"))
 

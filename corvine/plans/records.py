@@ -64,11 +64,11 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, CASE WHEN p AND c THEN '{rows.BOTH_TAG}' || ' ' || body WHEN p THEN '{rows.PROJECT_TAG}' || ' ' || body WHEN c THEN '{rows.CLIENT_TAG}' || ' ' || body ELSE body END AS text
-FROM (SELECT d.doc_id, left(text, 20) AS body, l.toxic = 1 AND source <> 'src0' AS p, l.quality = 0 AND source <> 'src0' AS c FROM documents d JOIN labels l USING (doc_id))""")
+FROM (SELECT d.doc_id, text AS body, l.toxic = 1 AND source <> 'src0' AS p, l.quality = 0 AND source <> 'src0' AS c FROM documents d JOIN labels l USING (doc_id))""")
 def tag_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     flag = lambda c: rows.confidential(F.array(F.when(c, " confidential ").otherwise("open")))
-    return d.select("doc_id", rows.tagged(F.left("text", F.lit(20)), flag(F.col("toxic") == 1), flag(F.col("quality") == 0), F.col("source") != "src0").alias("text"))
+    return d.select("doc_id", rows.tagged(F.col("text"), flag(F.col("toxic") == 1), flag(F.col("quality") == 0), F.col("source") != "src0").alias("text"))
 
 
 @query("SELECT DISTINCT c_custkey, c_name FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000 ORDER BY c_custkey LIMIT 50")
@@ -77,22 +77,11 @@ def enrich_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.enrich(table(spark, sf_dir, "customer"), hits, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("""WITH x AS (SELECT o_orderkey, [o_custkey % 30, 999, o_custkey % 7] AS ids FROM orders WHERE o_orderkey % 5 = 0),
-e AS (SELECT o_orderkey, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM x),
-g AS (SELECT o_orderkey, string_agg(n_name, ',' ORDER BY pos) FILTER (n_name IS NOT NULL) AS known, string_agg(id::VARCHAR, ',' ORDER BY pos) AS raw FROM e LEFT JOIN nation ON n_nationkey = id AND id >= 7 GROUP BY o_orderkey)
-SELECT o_orderkey, coalesce(known, raw) AS names FROM g""")
-def linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", F.array(F.col("o_custkey") % 30, F.lit(999).cast("long"), F.col("o_custkey") % 7).alias("ids"))
-    n = table(spark, sf_dir, "nation").filter("n_nationkey >= 7").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return rows.linked_names(o, "o_orderkey", "ids", n).select("o_orderkey", F.array_join("names", ",").alias("names"))
-
-
 @query("""WITH x AS (SELECT o_orderkey, [o_custkey % 30, 999, o_custkey % 7] AS ids FROM orders),
 e AS (SELECT o_orderkey, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM x),
 g AS (SELECT o_orderkey, string_agg(n_name, ',' ORDER BY pos) FILTER (n_name IS NOT NULL) AS known, string_agg(id::VARCHAR, ',' ORDER BY pos) AS raw FROM e LEFT JOIN nation ON n_nationkey = id AND id >= 7 GROUP BY o_orderkey)
 SELECT o_orderkey, coalesce(known, raw) AS names FROM g""")
-def linked_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """linked_names over all orders."""
+def linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_custkey") % 30, F.lit(999).cast("long"), F.col("o_custkey") % 7).alias("ids"))
     n = table(spark, sf_dir, "nation").filter("n_nationkey >= 7").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     return rows.linked_names(o, "o_orderkey", "ids", n).select("o_orderkey", F.array_join("names", ",").alias("names"))
@@ -179,18 +168,23 @@ def ref_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrate.first_per(d, [F.col("url"), F.col("lang")], [F.col("doc_id")]).select("doc_id", "lang")
 
 
-@query("SELECT 'lang:' || coalesce(lang, '') || ',n:' || n_chars || ',source:b' AS meta, doc_id FROM documents WHERE source IS NOT NULL")
+@query("SELECT coalesce('lang:' || lang || ',', '') || coalesce('n:' || n_chars || ',', '') || 'source:' || CASE WHEN doc_id % 3 > 0 THEN coalesce(source, 'a') ELSE 'a' END AS meta, doc_id FROM documents")
 def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("source is not null")
-    m = hydrate.overlay(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.lit("a")), F.create_map(F.lit("n"), F.col("n_chars").cast("string"), F.lit("gone"), F.lit(None).cast("string")), F.create_map(F.lit("source"), F.lit("b")))
+    """Later maps win but for their nulls; a null map holds nothing."""
+    d = table(spark, sf_dir, "documents")
+    last = F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("source"), F.col("source")))
+    m = hydrate.overlay(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.lit("a")), F.create_map(F.lit("n"), F.col("n_chars").cast("string"), F.lit("gone"), F.lit(None).cast("string")), last)
     pairs = F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
     return d.select("doc_id", F.array_join(pairs, ",").alias("meta"))
 
 
-@query("SELECT DISTINCT 'lookup' AS kind, pk AS key, ord FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN source END AS pk, doc_id AS ord FROM documents ORDER BY doc_id LIMIT 40) WHERE pk IS NOT NULL")
+@query("""WITH d AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN source END AS pk, text FROM documents)
+SELECT 'lookup' AS kind, pk AS key, ord, NULL::BIGINT AS n FROM d WHERE pk <> '' UNION ALL SELECT 'truncated', 'text', NULL, count(*) FROM d WHERE length(text) > 800 HAVING count(*) > 0""")
 def hint_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").orderBy("doc_id").limit(40).select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("pk"), F.col("doc_id").alias("ord"))
-    return hydrate.hints(d)
+    """A lookup for each hit with an entity, and one hint for each field that was cut, with how often."""
+    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("pk"), F.col("doc_id").alias("ord"), "text")
+    cut = hydrate.truncation_hints(rows.count_long(d, ["text"]))
+    return hydrate.hints(d).withColumn("n", F.lit(None).cast("long")).unionByName(cut)
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvine.operators import fusion, ordered, quality
 from corvine.plans.catalog import query
 from corvine.session import table
+from corvine.sources import records
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_has FROM events GROUP BY event_type")
@@ -168,32 +169,27 @@ def email_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(c, "email", "left").select("event_id", "email", "c_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(o_orderpriority, 'none') AS priority FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON o_orderkey = l_orderkey WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, coalesce(o_orderpriority, 'none') AS priority FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON o_orderkey = l_orderkey")
 def backfill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     return li.join(o, "l_orderkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("o_orderpriority", F.lit("none")).alias("priority"))
 
 
-@query("SELECT doc_id, lang, source, NULL::BIGINT AS turn FROM documents WHERE doc_id < 50 UNION ALL SELECT conv_id, NULL, role, turn FROM conversations WHERE turn = 1")
+@query("SELECT doc_id, lang, source, NULL::BIGINT AS turn, 0 AS source_ord FROM documents UNION ALL SELECT conv_id, NULL, role, turn, 1 FROM conversations")
 def union_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "documents").filter("doc_id < 50").select("doc_id", "lang", "source")
-    b = table(spark, sf_dir, "conversations").filter("turn = 1").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("source"), "turn")
-    return a.unionByName(b, allowMissingColumns=True)
-
-
-@query("SELECT doc_id, lang, source, NULL::BIGINT AS turn FROM documents UNION ALL SELECT conv_id, NULL, role, turn FROM conversations")
-def union_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """union_lists over whole tables."""
     a = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     b = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("source"), "turn")
-    return a.unionByName(b, allowMissingColumns=True)
+    return records.union_lists([a, b])
 
 
-@query("SELECT n_regionkey, list_aggregate(list_sort(list_distinct(list_concat(['A', 'B'], list(n_name)))), 'string_agg', ',') AS fields FROM nation GROUP BY 1")
+@query("""WITH x AS (SELECT n_regionkey, list_concat(['first', max(n_name)], list(n_name ORDER BY n_nationkey DESC)) AS l FROM nation GROUP BY 1)
+SELECT n_regionkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS fields FROM x""")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("x"))
-    return g.select("n_regionkey", F.array_join(F.array_sort(F.array_union(F.array(F.lit("A"), F.lit("B")), "x")), ",").alias("fields"))
+    """Fields of one list, then those of another that are new, in their order."""
+    by = F.array_sort(F.collect_list(F.struct((-F.col("n_nationkey")).alias("k"), "n_name")))
+    g = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(by, lambda x: x["n_name"]).alias("x"), F.max("n_name").alias("m"))
+    return g.select("n_regionkey", F.array_join(F.array_union(F.array(F.lit("first"), F.col("m")), "x"), ",").alias("fields"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")

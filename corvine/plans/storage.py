@@ -57,10 +57,10 @@ def sidecar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.with_sidecar(p, s).select("page_id", F.col("meta")["owner"].alias("owner"))
 
 
-@query("WITH k AS (SELECT page_id, 'raw/t/' || (page_id % 40) || '/f' || (page_id % 2) AS key FROM pages WHERE page_id < 120), r AS (SELECT DISTINCT key, replace(key, 'raw/t/' || split_part(key, '/', 3) || '/', 'raw/t/n' || (split_part(key, '/', 3)::INT % 10) || '/') AS new_key FROM k) SELECT min(key) AS key, new_key FROM r WHERE new_key <> 'raw/t/n3/f1' GROUP BY new_key")
+@query("WITH k AS (SELECT page_id, 'raw/t/' || (page_id % 40) || '/f' || (page_id % 2) AS key FROM pages), r AS (SELECT DISTINCT key, replace(key, 'raw/t/' || split_part(key, '/', 3) || '/', 'raw/t/n' || (split_part(key, '/', 3)::INT % 10) || '/') AS new_key FROM k) SELECT min(key) AS key, new_key FROM r WHERE new_key <> 'raw/t/n3/f1' GROUP BY new_key")
 def key_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renamed segments: existing targets skipped, the first of several sources wins."""
-    k = table(spark, sf_dir, "pages").filter("page_id < 120").select(F.concat(F.lit("raw/t/"), (F.col("page_id") % 40).cast("string"), F.lit("/f"), (F.col("page_id") % 2).cast("string")).alias("key")).distinct()
+    k = table(spark, sf_dir, "pages").select(F.concat(F.lit("raw/t/"), (F.col("page_id") % 40).cast("string"), F.lit("/f"), (F.col("page_id") % 2).cast("string")).alias("key")).distinct()
     renames = spark.range(40).select(F.col("id").cast("string").alias("old"), F.concat(F.lit("n"), (F.col("id") % 10).cast("string")).alias("new"))
     return objects.migrated(k, renames, spark.createDataFrame([("raw/t/n3/f1",)], "key string"))
 
@@ -115,9 +115,9 @@ def hoisted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.hoisted(c)
 
 
-@query("""SELECT '{"doc_id":' || doc_id || ',"lang":"' || lang || '","metadata":{"a":"x"}}' AS json FROM documents WHERE lang IS NOT NULL""")
+@query("""SELECT '{"doc_id":' || doc_id || coalesce(',"lang":"' || lang || '"', '') || ',"metadata":{"a":"x"}}' AS json FROM documents""")
 def response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", "lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     m = rows.redacted(F.create_map(F.lit("a"), F.lit("x"), F.lit("secret"), F.lit("y"), F.lit("key"), F.lit("f.TXT")), ["secret"], ["key"])
     return sinks.envelope(d, m)
 

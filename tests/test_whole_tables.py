@@ -36,19 +36,19 @@ def test_sections_of_whole_turns(spark, tmp_path):
         names = ["Experience", "Skills", "Education", "Notes"]
         text = "\n".join(("# " if t % 2 == 0 else "## ") + names[t % 4] + "\n" + x for (d, t), x in sorted(turns.items()) if d == c)
         want += [(c, *s) for s in sections(text)]
-    got = catalog.QUERIES["section_split_whole"](spark, str(tmp_path)).select("doc_id", "ord", "heading", "level", "body", "path").collect()
+    got = catalog.QUERIES["section_split"](spark, str(tmp_path)).select("doc_id", "ord", "heading", "level", "body", "path").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert any("second line." in r.body for r in got) and any(r.heading == "Deep" for r in got)
 
 
 def test_all_orders_get_names(spark, sf):
-    got = {r.o_orderkey for r in catalog.QUERIES["linked_names_whole"](spark, sf).collect()}
+    got = {r.o_orderkey for r in catalog.QUERIES["linked_names"](spark, sf).collect()}
     assert got == {r.o_orderkey for r in table(spark, sf, "orders").collect()}
 
 
 def test_union_of_whole_tables(spark, sf):
     n = table(spark, sf, "documents").count() + table(spark, sf, "conversations").count()
-    assert catalog.QUERIES["union_lists_whole"](spark, sf).count() == n
+    assert catalog.QUERIES["union_lists"](spark, sf).count() == n
 
 
 def test_searches_reach_later_turns(spark, tmp_path):
