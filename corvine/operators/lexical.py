@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,15 +97,98 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
+def places(terms: Column, words: list[str]) -> Column:
+    """array<array<int>>: for each word where it stands, less its own place in the phrase, so that exact hits agree."""
+    found = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(words))
+
+    def of(f: Column, k: int) -> Column:
+        return F.transform(F.filter(f, lambda x: x["t"] == words[k]), lambda x: x["i"] - k)
+
+    return F.element_at(F.transform(F.array(found), lambda f: F.array(*(of(f, k) for k in range(len(words))))), 1)
+
+
+def counts(terms: Column, words: list[str]) -> Column:
+    """array<int>: how often each word stands in an array of terms."""
+
+    def of(found: Column, word: str) -> Column:
+        return F.size(F.filter(found, lambda t: t == word))
+
+    return F.element_at(F.transform(F.array(F.filter(terms, lambda t: t.isin(words))), lambda f: F.array(*(of(f, w) for w in words))), 1)
+
+
+def phrase_hits(at: Column, slop: int) -> Column:
+    """array<double>: the weight of each match of a phrase, from places(). A match may be out of place by `slop` in all:
+
+    all words within s .. s + e for an e up to slop, with one at s; the least e counts as 1 / (1 + e).
+    """
+    within = lambda s, e: F.forall(at, lambda p: F.exists(p, lambda x: (x >= s) & (x <= s + e)))
+    weight = lambda s: F.coalesce(*(F.when(within(s, e), F.lit(1.0 / (1 + e))) for e in range(slop + 1)))
+    every = F.forall(at, lambda p: F.size(p) > 0)
+    hits = F.filter(F.transform(F.array_distinct(F.flatten(at)), weight), lambda w: w.isNotNull())
+    return F.when(every, hits).otherwise(F.array().cast("array<double>"))
+
+
 def phrase(docs: DataFrame, words: list[str], slop: int = 1) -> DataFrame:
-    """doc_id, matches: places where the words follow each other, each up to slop positions behind the one before."""
-    pos = docs.select("doc_id", F.posexplode("terms").alias("pos", "term")).filter(F.col("term").isin(words))
-    out = pos.filter(F.col("term") == words[0]).select("doc_id", F.col("pos").alias("p0"), F.col("pos").alias("last"))
-    for w in words[1:]:
-        nxt = pos.filter(F.col("term") == w).select("doc_id", F.col("pos").alias("next"))
-        out = out.join(nxt, "doc_id").filter((F.col("next") > F.col("last")) & (F.col("next") <= F.col("last") + 1 + slop))
-        out = out.groupBy("doc_id", "p0").agg(F.min("next").alias("last"))
-    return out.groupBy("doc_id").agg(F.count("*").alias("matches"))
+    """doc_id, matches: places where the words follow each other, out of place by `slop` positions in all at most."""
+    from corvine.sources.parsers import materialised
+
+    d = materialised(docs.select("doc_id", "terms"), _at=places(F.col("terms"), words))
+    d = d.select("doc_id", F.size(phrase_hits(F.col("_at"), slop)).cast("long").alias("matches"))
+    return d.filter("matches > 0")
+
+
+def query_terms(query: str) -> list[str]:
+    """The analysed terms of a query, in order. One row of literals: no job runs."""
+    return SparkSession.active().createDataFrame([(query,)], "q string").select(analyzed(F.col("q"))).first()[0]
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many tasks as there are cores where a scan gives fewer, as with a small file of one row group."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def match_query(docs: DataFrame, query: str, k: int, names: tuple[str, ...] = (), slop: int = 1, boosts: tuple[float, float, float] = (2.0, 4.0, 2.0), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best of docs (doc_id, text, and columns `names`) for one query: doc_id, score, rank.
+
+    Three clauses over analysed terms add up, and one must match: BM25 of the text, BM25 of the whole query as a sloppy
+    phrase in it, and the best BM25 among the fields `names`, each with its boost. Lengths and counts are those of rows
+    that have the field. A row is cut to its length, the counts of the query's terms and its phrase weight before anything
+    is shuffled; both the statistics and the scores read that exchange.
+    """
+    from corvine.sources.parsers import materialised
+
+    words = query_terms(query)
+    terms = list(dict.fromkeys(words))
+    fields = ("text", *names)
+    if not terms:
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("rank")).limit(0)
+    d = materialised(docs.select("doc_id", *fields), **{f"_t{i}": analyzed(F.coalesce(F.col(f), F.lit(""))) for i, f in enumerate(fields)})
+    d = materialised(d, at=places(F.col("_t0"), words))
+    d = d.select("doc_id", "at", *(x for i in range(len(fields)) for x in (F.size(f"_t{i}").alias(f"dl{i}"), counts(F.col(f"_t{i}"), terms).alias(f"tf{i}"))))
+    d = d.withColumn("pf", F.aggregate(phrase_hits(F.col("at"), slop), F.lit(0.0), lambda x, y: x + y)).drop("at").repartition("doc_id")
+    have = [F.when(F.col(f"dl{i}") > 0, F.col(f"dl{i}")) for i in range(len(fields))]
+    seen = [F.count(F.when(F.get(f"tf{i}", F.lit(j)) > 0, 1)).alias(f"df{i}_{j}") for i in range(len(fields)) for j in range(len(terms))]
+    stats = d.agg(*(F.count(h).alias(f"n{i}") for i, h in enumerate(have)), *(F.avg(h).alias(f"avg{i}") for i, h in enumerate(have)), *seen)
+
+    def idf(i: int, w: str) -> Column:
+        df = F.col(f"df{i}_{terms.index(w)}")
+        return F.log(1 + (F.col(f"n{i}") - df + 0.5) / (df + 0.5))
+
+    def part(i: int, tf: Column) -> Column:
+        return F.when(tf > 0, tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"dl{i}") / F.col(f"avg{i}")))).otherwise(0.0)
+
+    def bm25_of(i: int) -> Column:
+        return reduce(lambda x, y: x + y, (idf(i, w) * part(i, F.get(f"tf{i}", F.lit(j))) for j, w in enumerate(terms)))
+
+    whole = reduce(lambda x, y: x + y, (idf(0, w) for w in words))
+    score = boosts[0] * bm25_of(0) + boosts[1] * whole * part(0, F.col("pf"))
+    if names:
+        score = score + boosts[2] * best_fields([bm25_of(i) for i in range(1, len(fields))])
+    # every clause that matches scores above 0; a filter on counts would be pushed below the exchange and tell its uses apart
+    scored = d.crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score")).filter("score > 0").withColumn("score", F.round("score", 6))
+    top = scored.orderBy(F.desc("score"), "doc_id").limit(k)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).cast("long"))
 
 
 def best_fields(scores: list[Column]) -> Column:

@@ -33,7 +33,7 @@ fused AS (SELECT id, rrf, row_number() OVER (ORDER BY rrf DESC, r1 NULLS LAST, r
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", lexical.tokens(F.col("text")).alias("terms"))
+    return lexical.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lexical.tokens(F.col("text")).alias("terms"))
 
 
 def one_query(spark: SparkSession) -> DataFrame:
@@ -60,10 +60,62 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25(terms(spark, sf_dir), q, 10)
 
 
-@query("""WITH p AS (SELECT doc_id, t, i FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS i FROM documents))
-SELECT doc_id, count(*) AS matches FROM (SELECT DISTINCT a.doc_id, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 2 WHERE a.t = 'of' AND b.t = 'the') GROUP BY doc_id""")
+def analyzed_sql(column: str) -> str:
+    """The analyzer in SQL, from the same fixed values."""
+    text = f"lower(coalesce({column}, ''))"
+    for line in lexical.SYNONYMS.strip().splitlines():
+        first, *others = (x.strip() for x in line.split(","))
+        for other in sorted(others, key=len, reverse=True):
+            text = f"replace({text}, '{other}', '{first}')"
+    stem = " ".join(f"WHEN ends_with(t, '{x}') AND length(t) - {len(x) - len(y)} >= 3 THEN left(t, length(t) - {len(x)}) || '{y}'" for x, y in lexical.SUFFIXES)
+    return f"list_transform(list_filter(regexp_extract_all({text}, '[a-z0-9]+'), lambda t: NOT list_contains({lexical.ENGLISH_STOP}, t)), lambda t: CASE {stem} ELSE t END)"
+
+
+def phrase_sql(words: list[str], slop: int) -> str:
+    """ph (doc_id, pf, matches) from p (doc_id, t, i): places of the words less their place, starts, least spread."""
+    k = range(len(words))
+    at = ", ".join(f"a{j} AS (SELECT doc_id, list(i - {j}) AS x FROM p WHERE t = '{w}' GROUP BY 1)" for j, w in enumerate(words))
+    every = "a0 " + " ".join(f"JOIN a{j} USING (doc_id)" for j in k if j)
+    lists = ", ".join(f"a{j}.x AS x{j}" for j in k)
+    starts = " || ".join(f"x{j}" for j in k)
+    within = lambda e: " AND ".join(f"len(list_filter(x{j}, lambda v: v >= s AND v <= s + {e})) > 0" for j in k)
+    weight = " ".join(f"WHEN {within(e)} THEN {1.0 / (1 + e)}::DOUBLE" for e in range(slop + 1))
+    return f"{at}, st0 AS (SELECT doc_id, {lists} FROM {every}), st1 AS (SELECT *, unnest(list_distinct({starts})) AS s FROM st0), ph AS (SELECT doc_id, sum(w) AS pf, count(*) AS matches FROM (SELECT doc_id, CASE {weight} END AS w FROM st1) WHERE w IS NOT NULL GROUP BY 1)"
+
+
+def match_sql(words: list[str], fields: dict[str, str], slop: int = 1) -> str:
+    """sc (doc_id, score): match_query in SQL. fields: the text's expression, then those of names."""
+    one = sorted(set(words))
+    parts = [f"p AS (SELECT doc_id, t, i FROM (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {analyzed_sql(fields['text'])} AS x FROM documents)))", phrase_sql(words, slop)]
+    for n, (name, column) in enumerate(fields.items()):
+        parts.append(f"z{n} AS (SELECT doc_id, {analyzed_sql(column)} AS x FROM documents), n{n} AS (SELECT count(*) AS n, avg(len(x)) AS a FROM z{n} WHERE len(x) > 0)")
+        parts.append(f"w{n} AS (SELECT doc_id, len(x) AS dl, t, len(list_filter(x, lambda y: y = t)) AS tf FROM z{n}, (SELECT unnest({one}) AS t))")
+        parts.append(f"i{n} AS (SELECT t, ln(1 + (n - d + 0.5) / (d + 0.5)) AS idf FROM (SELECT t, count(*) FILTER (tf > 0) AS d FROM w{n} GROUP BY 1), n{n})")
+        parts.append(f"b{n} AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS b FROM w{n} JOIN i{n} USING (t), n{n} WHERE tf > 0 GROUP BY 1)")
+    whole = " + ".join(f"(SELECT idf FROM i0 WHERE t = '{w}')" for w in words)
+    parts.append(f"ps AS (SELECT doc_id, ({whole}) * pf * 2.2 / (pf + 1.2 * (0.25 + 0.75 * len(x) / a)) AS b FROM ph JOIN z0 USING (doc_id), n0)")
+    best = ", ".join(f"coalesce(b{n}.b, 0)" for n in range(1, len(fields))) or "0"
+    joins = " ".join(f"LEFT JOIN b{n} ON b{n}.doc_id = d.doc_id" for n in range(len(fields)))
+    some = " OR ".join(f"b{n}.b IS NOT NULL" for n in range(len(fields)))
+    parts.append(f"sc AS (SELECT d.doc_id, round(2 * coalesce(b0.b, 0) + 4 * coalesce(ps.b, 0) + 2 * greatest({best}), 6) AS score FROM documents d {joins} LEFT JOIN ps ON ps.doc_id = d.doc_id WHERE {some})")
+    return ", ".join(parts)
+
+
+@query("WITH p AS (SELECT doc_id, t, i FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS i FROM documents)), " + phrase_sql(["of", "the", "and"], 2) + " SELECT doc_id, matches FROM ph")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.phrase(terms(spark, sf_dir), ["of", "the"], 1)
+    """Three words in a row, out of place by two positions in all at most."""
+    return lexical.phrase(lexical.spread(table(spark, sf_dir, "documents")).select("doc_id", lexical.tokens(F.col("text")).alias("terms")), ["of", "the", "and"], 2)
+
+
+#: What LEXICAL becomes under the analyzer; a test holds it against query_terms.
+LEXICAL, LEXICAL_TERMS = "the things of onthe inthe and wasther", ["thing", "onthe", "inthe", "wasther"]
+
+
+@query("WITH " + match_sql(LEXICAL_TERMS, {"text": "text", "source": "source || ' inthe'", "lang": "CASE WHEN doc_id % 3 = 0 THEN lang || ' onthe things' END"}) + " SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 50")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match, sloppy phrase and best of two name fields over analysed terms, each with its boost."""
+    d = lexical.spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.concat("source", F.lit(" inthe")).alias("source"), F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit(" onthe things"))).alias("lang"))
+    return lexical.match_query(d, LEXICAL, 50, ("source", "lang"))
 
 
 @query("""SELECT doc_id, greatest(coalesce(s1, 0), coalesce(s2, 0))::DOUBLE AS best FROM (
