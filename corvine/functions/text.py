@@ -187,3 +187,13 @@ def first_json(c: Column) -> Column:
     """The outermost braces of a reply with chatter around them, if they hold valid JSON."""
     body = F.regexp_extract(text(c), r"(?s)(\{.*\})", 1)
     return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)
+
+
+def unquoted(tag: Column) -> Column:
+    """An entity tag without the quotes around it."""
+    return F.btrim(tag, F.lit('"'))
+
+
+def record_ids(values: Column) -> Column:
+    """Whether an array holds record ids and nothing else; false for an empty or null one."""
+    return F.coalesce((F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(v.startswith("rec"), F.lit(False))), F.lit(False))

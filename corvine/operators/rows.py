@@ -82,6 +82,16 @@ def attachments(df: DataFrame, key: str, field: str) -> DataFrame:
     return a.select(key, "pos", ident.alias("id"), F.coalesce("a.filename", ident).alias("filename"), F.col("a.url").alias("url"), F.col("a.size").try_cast("int").alias("size"))
 
 
+def without_attachments(df: DataFrame) -> DataFrame:
+    """df without its columns of attachments: arrays of structs that have a url. They are never returned."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    def attached(kind) -> bool:
+        return isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "url" in kind.elementType.names
+
+    return df.select(*(F.col(f"`{f.name}`") for f in df.schema.fields if not attached(f.dataType)))
+
+
 def allowed(name: Column, suffixes: list[str], images: bool = False) -> Column:
     """Whether a file's suffix is allowed; images need to be asked for."""
     s = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))

@@ -101,3 +101,54 @@ def complete(expected: DataFrame, listing: DataFrame) -> DataFrame:
     want = F.when(F.col("normalises"), F.col("normalised_key")).otherwise(F.col("key"))
     l = listing.select(F.col("key").alias("_k")).distinct().withColumn("_there", F.lit(True))
     return expected.withColumn("_k", want).join(l, "_k", "left").withColumn("done", F.col("_there").isNotNull()).drop("_k", "_there")
+
+
+def looked_up(keys: DataFrame, listing: DataFrame) -> DataFrame:
+    """keys (key) with exists and etag (null where there is none), from a listing (key, etag); quotes around tags go."""
+    from corvine.functions.text import unquoted
+
+    there = listing.groupBy(F.col("key").alias("_k")).agg(F.max(unquoted(F.col("etag"))).alias("etag"))
+    return keys.join(there, F.col("key") == F.col("_k"), "left").withColumn("exists", F.col("_k").isNotNull()).drop("_k")
+
+
+class Store:
+    """Single objects below a root that Spark can reach; tables of objects go through scan() and Spark's writers."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.conf, self.root = spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/")
+
+    def at(self, key: str):
+        path = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+        return path.getFileSystem(self.conf), path
+
+    def exists(self, key: str) -> bool:
+        fs, path = self.at(key)
+        return fs.exists(path)
+
+    def put(self, key: str, content: bytes) -> None:
+        """Write an object, or write it anew."""
+        fs, path = self.at(key)
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+
+    def get(self, key: str) -> bytes | None:
+        """An object's bytes, none if it doesn't exist."""
+        fs, path = self.at(key)
+        if not fs.exists(path):
+            return None
+        read = fs.open(path)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(read))
+        finally:
+            read.close()
+
+    def text(self, key: str) -> str | None:
+        b = self.get(key)
+        return None if b is None else b.decode("utf-8", "replace")
+
+    def delete(self, key: str) -> None:
+        fs, path = self.at(key)
+        fs.delete(path, False)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvine.operators import chunks, facets, hydrate, ordered
-from corvine.sources import parsers
+from corvine.sources import decks, objects, parsers
 
 RESUME = """# Profile
 Analyst of things.
@@ -209,3 +209,32 @@ def test_approximate_search_finds_most_of_the_exact(spark, sf):
         found["quantised"] += len(exact & {r.vec_id for r in vector.knn_quantised(v, q, 10).collect()})
         found["hashed"] += len(exact & {r.vec_id for r in vector.knn_hashed(v, q, 10).collect()})
     assert found["quantised"] >= 45 and found["hashed"] >= 35
+
+
+def test_slides_described_one_by_one(spark):
+    rows = [("a", 1, b"x"), ("a", 2, b"bad"), ("b", 1, b"y"), ("b", 2, b"")]
+    d = spark.createDataFrame(rows, "deck string, slide int, content binary")
+
+    def render():
+        return lambda content, number: content + str(number).encode() if content else None
+
+    def describe():
+        def tell(image):
+            if image.startswith(b"bad"):
+                raise ValueError("no")
+            return image.decode().upper()
+
+        return tell
+
+    got = {(r.deck, r.slide): (r.reply, r.error) for r in decks.described(d, render, describe, 2).collect()}
+    assert got == {("a", 1): ("X1", None), ("a", 2): (None, "ValueError: no"), ("b", 1): ("Y1", None), ("b", 2): (None, None)}
+
+
+def test_store(spark, tmp_path):
+    s = objects.Store(spark, f"file://{tmp_path}/bucket")
+    assert s.get("raw/t/1/a.txt") is None and not s.exists("raw/t/1/a.txt")
+    s.put("raw/t/1/a.txt", "é\n".encode())
+    s.put("raw/t/1/a.txt", b"new \xff")
+    assert s.exists("raw/t/1/a.txt") and s.get("raw/t/1/a.txt") == b"new \xff" and s.text("raw/t/1/a.txt") == "new \ufffd"
+    s.delete("raw/t/1/a.txt")
+    assert s.text("raw/t/1/a.txt") is None
