@@ -326,8 +326,9 @@ def redact(text: Column, spans: Column) -> Column:
 def find_personal(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more.
 
-    Null texts count as empty: no spans. Offsets are code points. Repeated rows give repeated results; columns beside
-    doc_id and text are not read; an empty table gives an empty result.
+    Null texts count as empty: no spans. Offsets are code points. Spans of one begin stand in the order of their kinds, then
+    by their end. Texts of any length and number of matches are searched whole. Repeated rows give repeated results, a
+    null doc_id is carried along; columns beside doc_id and text are not read; an empty table gives an empty result.
     """
     d = annotate(docs.select(F.col("doc_id").cast("long"), "text"), fit(docs)).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["ord"] < len(BASE))
