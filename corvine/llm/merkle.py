@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvine.llm.common import cut
+from corvine.llm.common import cut, placed, small
 from corvine.session import table
 
 FAN, HEX = 8, 64
-#: Tables of offsets and of groups are broadcast up to so many rows; beyond it they are joined by a shuffle.
-BROADCAST = 100_000
 
 
 def digest(*parts: Column) -> Column:
@@ -25,26 +22,6 @@ def leaf(columns: list[Column]) -> Column:
     return digest(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, a written table, marked for a broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
-
-
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with idx, the place among the rows of equal g by `order` from 0 without gaps, and n, the rows of that g.
-
-    One range sort over all groups; `order` must tell all rows apart but for exchangeable ones. Places come from each
-    row's number in its sorted partition and the sizes of the partitions before, so no group meets in one task.
-    """
-    mid = F.monotonically_increasing_id()
-    ordered = cut(rows.orderBy("g", *order).withColumn("_part", F.shiftright(mid, 33)).withColumn("_row", mid.bitwiseAND((1 << 33) - 1)), "ordered")
-    sizes = ordered.groupBy("g", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.sum("_n").over(W.partitionBy("g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("g", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(W.partitionBy("g")).alias("n"))
-    out = ordered.join(small(cut(offsets, "offsets")), ["g", "_part"])
-    return out.withColumn("idx", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
-
-
 def depth(n: Column) -> Column:
     """Levels above n leaves: how many times eight nodes become one until one is left."""
     return F.when(n > 1, F.length(F.conv((n - 1).cast("string"), 10, FAN))).otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe_automaton, embedding_dedup, exact_dedup, jaccard_join, line_dedup, merkle, packing, pii, piece_codec, quality, sharding, toxicity
+from corvine.llm import bpe_automaton, collocations, embedding_dedup, exact_dedup, jaccard_join, line_dedup, merkle, packing, pii, piece_codec, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_sentencepiece": piece_codec.op10_sentencepiece,
+    "op11_collocations": collocations.op11_collocations,
     "op12_bpe": bpe_automaton.op12_bpe,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -23,6 +24,8 @@ SQL = {
     "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_collocations": collocations.op11_collocations,
     "op12_bpe": bpe_automaton.op12_bpe,
+    "op11_collocations": collocations.OP11_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
