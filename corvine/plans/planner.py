@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import formula
 from corvine.operators import fusion, hydrate, lexical, rows, vector
+from corvine.sources import postings
 
 # Words that ask for experience rather than for a literal value.
 EXPERTISE = re.compile(
@@ -120,6 +121,8 @@ class Source:
     chunks: DataFrame | None = None  # doc_id, text, pk
     order: str = "id"
     required: tuple[str, ...] = ()
+    names: tuple[str, ...] = ()  # columns of chunks that name the text
+    index: str | None = None  # folder of a stored index over chunks (sources.postings), made with these names
 
 
 @dataclass
@@ -147,12 +150,15 @@ HIT = ("source", "source_type", "id", "text", "score", "rank")
 
 
 def lexical_hits(s: Source, query: str, k: int) -> DataFrame:
-    """Hits of a source's chunks by BM25 of the query without its stop words."""
+    """Hits of a source's chunks by match, phrase and names of the expanded query, from the stored index if there is one."""
     spark = s.chunks.sparkSession
     from corvine.functions import text as X
 
-    q = spark.range(1).select(F.lit(0).alias("query_id"), F.array_distinct(lexical.tokens(X.expand(F.lit(query)))).alias("terms"))
-    found = lexical.bm25(s.chunks.select("doc_id", lexical.tokens(F.col("text")).alias("terms")), q, k)
+    asked = spark.range(1).select(F.lit(0).alias("query_id"), X.expand(F.lit(query)).alias("text"))
+    if s.index:
+        found = postings.search(spark, s.index, asked, k).drop("query_id")
+    else:
+        found = lexical.match_query(s.chunks, asked.first()["text"], k, s.names)
     return found.join(s.chunks, "doc_id").select(F.lit(s.name).alias("source"), F.lit("semantic").alias("source_type"), F.col("doc_id").cast("string").alias("id"), "text", "score", "rank")
 
 
@@ -196,10 +202,19 @@ def search(registry: Registry, question: str, sources: list[str] | str = "*", to
     return fusion.numbered(top, order).select(*HIT)
 
 
-def semantic_search(s: Source, query: str, embedded: DataFrame, q: DataFrame, k: int = 10) -> DataFrame:
-    """Hybrid hits of one source: vector and lexical lists fused. embedded: vec_id, embedding; q: one row with column q."""
-    v = fusion.numbered(vector.knn(embedded, q, max(50, 5 * k)), [F.desc("score"), F.col("vec_id")]).select(F.col("vec_id").alias("id"), "rank")
-    lex = lexical_hits(s, query, max(50, 5 * k)).select(F.col("id").cast("long").alias("id"), "rank")
+MODES = ("hybrid", "knn", "bm25")
+
+
+def semantic_search(s: Source, query: str, embedded: DataFrame, q: DataFrame, k: int = 10, mode: str = "hybrid") -> DataFrame:
+    """Hits of one source by vectors, by words, or by both lists fused. embedded: vec_id, embedding; q: one row with column q."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    none = s.chunks.sparkSession.createDataFrame([], "id long, rank long")
+    v = lex = none
+    if mode != "bm25":
+        v = fusion.numbered(vector.knn(embedded, q, max(50, 5 * k)), [F.desc("score"), F.col("vec_id")]).select(F.col("vec_id").alias("id"), "rank")
+    if mode != "knn":
+        lex = lexical_hits(s, query, max(50, 5 * k)).select(F.col("id").cast("long").alias("id"), "rank")
     return fusion.rrf(v, lex, k)
 
 

@@ -120,3 +120,33 @@ def test_search(spark):
     except KeyError:
         return
     raise AssertionError
+
+
+def test_search_reads_synonyms_phrases_and_names(spark):
+    from corvine.session import scratch
+    from corvine.sources import postings
+
+    docs = [(1, "water then much of health", "x"), (2, "much of water health then", "x"), (3, "filler of much then", "water report"), (4, "nothing", "x"), (5, "machine learning", "x")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, title string")
+    path = scratch(spark, "index")
+    postings.create(spark, path, ("title",), block=2, buckets=4)
+    postings.add(docs, path)
+    ids = lambda names, index, q: [x.id for x in planner.lexical_hits(planner.Source("d", chunks=docs, names=names, index=index), q, 5).orderBy("rank").collect()]
+    for index in (None, path):
+        assert ids(("title",), index, "water health")[:2] == ["2", "1"]  # the phrase decides between equal words
+        assert "3" in ids(("title",), index, "water health")
+        assert ids(("title",), index, "ML") == ["5"]
+    assert "3" not in ids((), None, "water health")
+
+
+def test_modes_of_a_search(spark):
+    docs = spark.createDataFrame([(1, "water"), (2, "health"), (3, "water health")], "doc_id long, text string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [0.9, 0.1])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    found = {m: {r.id for r in planner.semantic_search(planner.Source("d", chunks=docs), "water", v, q, 3, m).collect()} for m in planner.MODES}
+    assert found["knn"] == {1, 4, 2} and found["bm25"] == {1, 3} and found["hybrid"] <= {1, 2, 3, 4} and 1 in found["hybrid"]
+    try:
+        planner.semantic_search(planner.Source("d", chunks=docs), "water", v, q, 3, "all")
+    except ValueError:
+        return
+    raise AssertionError
