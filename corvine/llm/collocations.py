@@ -257,9 +257,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", suppor
     holds = F.array(*(F.when((F.col("m") >= b) & (F.col("m") > b - a), F.struct(*gram(w[a:b]))) for a, b in inner))
     longer = cand.filter("m > 2").select("f", F.explode(F.filter(holds, lambda x: x.isNotNull())).alias("x")).groupBy("x").agg(F.max("f").alias("_longer")).select("x.*", "_longer")
     kept = scored.join(longer, KEY, "left").filter(F.coalesce(wide(F.col("_longer")) * 100 < wide(F.col("f")) * covered, F.lit(True)))
-    named = kept.select("*")
+    named = best_scores(kept.join(words.select(F.col("id").alias("w1"), "lang"), "w1"), top)
     for k, c in enumerate(KEY):
-        names = words.select(F.col("id").alias(c), F.col("word").alias(f"_{c}"), *([F.col("lang")] if k == 0 else []))
+        names = words.select(F.col("id").alias(c), F.col("word").alias(f"_{c}"))
         named = named.join(names, c, "inner" if k < 2 else "left")
     named = named.withColumn("phrase", F.concat_ws(" ", *(f"_{c}" for c in KEY)))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
@@ -267,6 +267,26 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", suppor
     return best.join(small(sizes), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
+def best_scores(rows: DataFrame, top: int, step: int = 2048) -> DataFrame:
+    """The rows of each lang whose score is among the `top` best, all rows of the last such score included.
+
+    Rows are counted by ranges of `step` scores, with map-side combine, then by score in the range where the last one
+    falls. Scores go up to a million, so a few hundred and then `step` counts at most meet per language.
+    """
+    rows = cut(rows.withColumn("_range", F.floor(F.col("score") / step)), "scored")
+
+    def last(counted: DataFrame, by: str, before: Column) -> DataFrame:
+        """(lang, by, _above) of the last value of `by` that has less than `top` rows above it."""
+        counts = counted.groupBy("lang", by).agg(F.count("*").alias("_n"), F.max(before).alias("_before"))
+        above = F.sum("_n").over(W.partitionBy("lang").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1))
+        counts = counts.withColumn("_above", F.coalesce(above, F.lit(0)) + F.col("_before")).filter(F.col("_above") < top)
+        return counts.groupBy("lang").agg(F.min(F.struct(by, "_above")).alias("x")).select("lang", f"x.{by}", "x._above")
+
+    ranges = small(cut(last(rows, "_range", F.lit(0)), "ranges"))
+    least = last(rows.join(ranges, ["lang", "_range"]), "score", F.col("_above")).select("lang", F.col("score").alias("_least"))
+    return rows.join(small(cut(least, "least")), "lang").filter(F.col("score") >= F.col("_least")).drop("_least", "_range")
+
+
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 

@@ -106,3 +106,12 @@ def test_phrases_of_fragments(seed):
     got = dict(zip(map(tuple, col.mined(rows, np.zeros(len(rows), bool), 2)[0].tolist()), col.mined(rows, np.zeros(len(rows), bool), 2)[1].tolist(), strict=True))
     want = Counter(tuple(words[i : i + m].tolist()) + (0,) * (4 - m) for m in (2, 3, 4) for i in range(len(words) - m + 1) if (words[i : i + m] > 0).all())
     assert got == {k: v for k, v in want.items() if v >= 2}
+
+
+def test_scores_in_ranges(spark):
+    r = random.Random(7)
+    rows = [(x, r.choice([5, 5000, r.randrange(10**6)])) for x in ["a"] * 300 + ["b"] * 3]
+    for top in (1, 7, 120, 400):
+        got = sorted(map(tuple, col.best_scores(spark.createDataFrame(rows, "lang string, score long"), top).collect()))
+        least = {x: sorted((s for y, s in rows if y == x), reverse=True)[:top][-1] for x in "ab"}
+        assert got == sorted(x for x in rows if x[1] >= least[x[0]])
