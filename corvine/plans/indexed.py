@@ -1,4 +1,4 @@
-"""Queries over stored indexes: lexical postings pruned by block maxima."""
+"""Queries over stored indexes: lexical postings pruned by block maxima, vectors and codes in cells."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine.plans.catalog import query
 from corvine.plans.search import analyzed_sql
 from corvine.session import scratch, table
-from corvine.sources import postings
+from corvine.sources import postings, vectors
 
 #: The documents' name fields and what they are in SQL.
 NAMES = {"source": "source || ' erblest'", "lang": "CASE WHEN doc_id % 3 = 0 THEN lang || ' thereb inthe' END"}
@@ -58,3 +58,42 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings.add(docs.filter("doc_id % 4 < 3"), path)
     postings.add(docs.filter("doc_id % 4 = 3"), path)
     return postings.search(spark, path, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> tuple[vectors.Index, DataFrame]:
+    """An index of all embeddings, written in two batches and measured on some, and as queries every vector whose id is divisible by 50."""
+    path, e = scratch(spark, "vectors"), table(spark, sf_dir, "embeddings")
+    dim, n = e.agg(F.max(F.size("embedding")), F.count("*")).first()
+    vectors.create(e, path, cells=max(4, min(4096, int(n**0.5))))
+    vectors.add(e.filter("vec_id % 4 < 3"), path)
+    vectors.add(e.filter("vec_id % 4 = 3"), path)
+    index = vectors.Index(spark, path)
+    some = vectors.units(e.filter("vec_id % 50 = 1").orderBy(F.xxhash64("vec_id")).limit(200), dim)
+    index.calibrate(some.select(F.col("vec_id").alias("query_id"), "vector"))
+    return index, vectors.units(e.filter("vec_id % 50 = 0"), dim).select(F.col("vec_id").alias("query_id"), "vector")
+
+
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every query by the cells of a stored index."""
+    index, queries = vector_index(spark, sf_dir)
+    return index.search(queries, 10)
+
+
+@query()
+def knn_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every query by stored codes of 16 bytes, scored again by the vectors."""
+    index, queries = vector_index(spark, sf_dir)
+    return index.search_coded(queries, 10)
+
+
+@query("SELECT form, count(*) AS queries, true AS recalled FROM embeddings, (SELECT unnest(['cells', 'codes']) AS form) WHERE vec_id % 50 = 0 AND embedding IS NOT NULL GROUP BY form")
+def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both forms of the index find nine of ten of the true ten nearest, over all queries and all vectors."""
+    index, queries = vector_index(spark, sf_dir)
+    true = index.search(queries, 10, probes=len(index.coarse)).select("query_id", "vec_id")
+    parts = []
+    for form, found in (("cells", index.search(queries, 10)), ("codes", index.search_coded(queries, 10))):
+        hit = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+        parts.append(hit.agg(F.lit(form).alias("form"), F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled")))
+    return parts[0].unionByName(parts[1]).select("form", "queries", "recalled")
