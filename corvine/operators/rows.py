@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +60,10 @@ def tagged(text: Column, project: Column, client: Column, own: Column) -> Column
 
 
 def enrich(rows: DataFrame, hits: DataFrame, key: str, hit_key: str = "pk", limit: int = 50) -> DataFrame:
-    """Rows whose normalised key is one of the hits' keys: a semi-join, limited."""
-    keys = hits.select(X.identifier(F.col(hit_key)).alias("_k")).distinct()
-    return rows.withColumn("_k", X.identifier(F.col(key))).join(keys, "_k", "left_semi").drop("_k").orderBy(key).limit(limit)
+    """Rows whose key is one of the hits' keys but for case: a semi-join, limited. Null and empty keys meet nothing."""
+    low = lambda c: F.nullif(F.lower(F.col(c).cast("string")), F.lit(""))
+    keys = hits.select(low(hit_key).alias("_k")).filter("_k IS NOT NULL").distinct()
+    return rows.withColumn("_k", low(key)).join(keys, "_k", "left_semi").drop("_k").orderBy(key).limit(limit)
 
 
 def linked_names(df: DataFrame, key: str, links: str, names: DataFrame) -> DataFrame:
@@ -99,10 +102,25 @@ def allowed(name: Column, suffixes: list[str], images: bool = False) -> Column:
     return F.when(image, F.lit(images)).otherwise(s.isin(suffixes))
 
 
-def header(fields: list[tuple[str, Column]]) -> Column:
-    """A fenced block of `Key: value` lines in order, blank values left out."""
-    lines = F.array_compact(F.array(*(F.when(F.trim(X.text(v)) != "", F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in fields)))
-    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"))
+def header(df: DataFrame, fields: list[str], extra: tuple[str, ...] = ()) -> Column:
+    """A fenced block of `Field: value` lines of df's columns in order, or nothing where all are blank.
+
+    extra fields follow, each field once; columns that df lacks are left out. Lists are joined by a comma, their empty items
+    left out; other values lose the white space around them.
+    """
+    kinds = dict(df.dtypes)
+    lines = []
+    for f in dict.fromkeys((*fields, *extra)):
+        if f not in kinds:
+            continue
+        c = F.col(f"`{f}`")
+        if kinds[f].startswith("array"):
+            text = F.array_join(F.filter(c.cast("array<string>"), lambda x: x.isNotNull() & (x != "")), ", ")
+        else:
+            text = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+        lines.append(F.when(text != "", F.concat(F.lit(f"{f}: "), text)))
+    found = F.array_compact(F.array(*lines).cast("array<string>"))
+    return F.when(F.size(found) > 0, F.concat(F.lit("---\n"), F.array_join(found, "\n"), F.lit("\n---\n\n"))).otherwise("")
 
 
 def document_link(key: Column) -> Column:
@@ -111,7 +129,13 @@ def document_link(key: Column) -> Column:
     return F.when(k.startswith("raw/") & ~k.contains("..") & ~F.lower(k).endswith(".txt"), k)
 
 
+# Phrasings that ask for a number, and those that, with a name, ask for a list.
+COUNTING = ("how many", "how much", "count ", "number of", "total number", "what is the total", "size of")
+LISTING = ("list", "all ", "give me", "show me", "every")
+
+
 def reply_shape(question: Column) -> Column:
-    """What a reply should hold, by the question's words."""
-    q = F.lower(question)
-    return F.when(q.rlike(r"\bhow many\b|\bcount\b|\bnumber of\b"), "count_only").when(q.rlike(r"\blist\b|\bnames?\b|\bemails?\b|\bonly\b"), "column_subset").otherwise("full_records")
+    """What a reply should hold, by the question's words: a number, one column, or whole records."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    some = lambda words: reduce(lambda x, y: x | y, (q.contains(w) for w in words))
+    return F.when(some(COUNTING), "count_only").when(q.contains("name") & some(LISTING), "column_subset").otherwise("full_records")

@@ -9,7 +9,7 @@ from corvine.functions import text as X
 from corvine.operators import rows
 from corvine.plans.catalog import query
 from corvine.session import table
-from corvine.sources import decks, objects
+from corvine.sources import decks, objects, parsers
 
 
 @query("SELECT doc_id, md5(text) AS etag FROM documents")
@@ -61,3 +61,33 @@ def deck_finalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = c.select(F.col("conv_id").alias("deck"), F.col("turn").alias("slide"), title.alias("title"), F.col("text").alias("body"), F.lit("").alias("tables"), F.lit(None).cast("string").alias("visual"))
     d = decks.finalised(s, 600)
     return d.select("deck", "n_slides", F.md5(F.array_join("titles", "|")).alias("titles"), F.md5("markdown").alias("markdown"), F.md5("digest").alias("digest"))
+
+
+STATS = """s AS (SELECT conv_id, turn, text, length(text) % 500 AS chars, turn % 4 AS shapes, conv_id % 5 = 0 AS tables, (conv_id + turn) % 6 = 0 AS charts, turn % 3 = 0 AS pictures, conv_id % 9 = 1 AS grouped,
+  CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE regexp_replace(text, '[a-z]{3,}', '', 'g') END AS parsed, CASE WHEN turn % 2 = 0 THEN '  ' ELSE upper(role) END AS cells, CASE WHEN conv_id % 2 = 0 THEN text ELSE ' ' END AS seen FROM conversations),
+k AS (SELECT *, CASE WHEN chars = 0 AND shapes = 0 THEN 'EMPTY' WHEN charts AND chars > 200 THEN 'MIXED' WHEN charts THEN 'DIAGRAM' WHEN grouped THEN 'FRAMEWORK' WHEN pictures AND chars < 120 THEN 'IMAGE' WHEN pictures THEN 'MIXED'
+  WHEN tables AND chars < 80 THEN 'TABLE' ELSE 'TEXT' END AS kind, charts OR grouped OR (pictures AND chars < 200) AS visual, length(trim(parsed, E' \\t\\n\\r')) + length(trim(cells, E' \\t\\n\\r')) AS got, length(trim(parsed || ' ' || seen, E' \\t\\n\\r')) AS made FROM s),
+n AS (SELECT *, (chars >= 40 AND got < greatest(20, chars // 2)) OR (shapes > 0 AND chars > 0 AND got = 0) AS missed FROM k)"""
+
+
+@query(f"""WITH {STATS} SELECT conv_id, turn, kind, visual, missed, visual OR missed AS image,
+kind IN ('FRAMEWORK', 'DIAGRAM', 'MIXED', 'IMAGE') AND (made < 40 OR (kind IN ('FRAMEWORK', 'DIAGRAM') AND trim(seen, E' \\t\\n\\r') = '')) AS again FROM n""")
+def slide_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of slides and the four gates, with turns of conversations as slides whose shapes follow from their numbers."""
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    stats = F.struct(
+        (F.length(text) % 500).alias("text_chars"), (turn % 4).alias("n_shapes"), (conv % 5 == 0).alias("has_table"),
+        ((conv + turn) % 6 == 0).alias("has_chart"), (turn % 3 == 0).alias("has_picture"), (conv % 9 == 1).alias("has_group"),
+    )
+    d = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", stats.alias("s"),
+        F.when(conv % 3 == 0, text).when(conv % 3 == 1, "").otherwise(F.regexp_replace(text, "[a-z]{3,}", "")).alias("parsed"),
+        F.array(F.when(turn % 2 == 0, "  ").otherwise(F.upper("role"))).alias("cells"),
+        F.when(conv % 2 == 0, text).otherwise(" ").alias("seen"),
+    )
+    d = d.withColumn("kind", parsers.slide_class(F.col("s")))
+    gates = (F.col("s"), F.col("parsed"), F.col("cells"))
+    return d.select(
+        "conv_id", "turn", "kind", parsers.is_visual(F.col("s")).alias("visual"), parsers.needs_image(*gates).alias("missed"),
+        parsers.attaches_image(*gates).alias("image"), parsers.needs_escalation(F.col("kind"), F.col("parsed"), F.col("seen")).alias("again"),
+    )

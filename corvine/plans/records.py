@@ -71,10 +71,16 @@ def tag_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", rows.tagged(F.col("text"), flag(F.col("toxic") == 1), flag(F.col("quality") == 0), F.col("source") != "src0").alias("text"))
 
 
-@query("SELECT DISTINCT c_custkey, c_name FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000 ORDER BY c_custkey LIMIT 50")
+@query("""SELECT DISTINCT c_custkey, c_name FROM (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS k FROM customer) JOIN orders ON o_custkey = c_custkey
+WHERE o_totalprice > 300000 AND k <> '' ORDER BY c_custkey LIMIT 50""")
 def enrich_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").cast("string").alias("pk"))
-    return rows.enrich(table(spark, sf_dir, "customer"), hits, "c_custkey").select("c_custkey", "c_name")
+    """Customers by the names that large orders carry in capitals; blank and missing names meet nothing."""
+    blank = F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_name"))
+    c = table(spark, sf_dir, "customer").withColumn("k", blank)
+    large = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    hits = large.join(c, "c_custkey").select(F.upper("k").alias("pk"))
+    own = c.select(F.col("k").alias("name"), "c_custkey", "c_name")
+    return rows.enrich(own, hits, "name", limit=2**31 - 1).orderBy("c_custkey").limit(50).select("c_custkey", "c_name")
 
 
 @query("""WITH x AS (SELECT o_orderkey, [o_custkey % 30, 999, o_custkey % 7] AS ids FROM orders),
@@ -217,14 +223,28 @@ def reference_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.references(d)
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\bhow many\\b|\\bcount\\b|\\bnumber of\\b') THEN 'count_only' WHEN regexp_matches(lower(text), '\\blist\\b|\\bnames?\\b|\\bemails?\\b|\\bonly\\b') THEN 'column_subset' ELSE 'full_records' END AS shape FROM conversations")
+def _says(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + ")"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_says(('how many', 'how much', 'count ', 'number of', 'total number', 'what is the total', 'size of'))} THEN 'count_only' WHEN {_says(('name',))} AND {_says(('list', 'all ', 'give me', 'show me', 'every'))} THEN 'column_subset' ELSE 'full_records' END AS shape FROM conversations")
 def reply_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", rows.reply_shape(F.col("text")).alias("shape"))
 
 
-@query("SELECT c_custkey, '---' || chr(10) || 'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || '---' || chr(10) AS header FROM customer")
+@query("""WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN trim(c_name) END AS a, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN c_mktsegment || ', ' || c_custkey END AS b FROM customer)
+SELECT c_custkey, CASE WHEN a IS NULL THEN '' ELSE '---' || chr(10) || 'Name: ' || a || chr(10) || CASE WHEN b IS NULL THEN '' ELSE 'Client: ' || b || chr(10) END || '---' || chr(10) || chr(10) END AS header FROM v""")
 def metadata_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", rows.header([("Name", F.col("c_name")), ("Blank", F.lit(" ")), ("Segment", F.col("c_mktsegment"))]).alias("header"))
+    """Headers with a padded name, a list with blank items and a blank field; every third customer has none of them."""
+    some = F.col("c_custkey") % 3 > 0
+    items = F.array(F.col("c_mktsegment"), F.lit(""), F.lit(None), F.col("c_custkey").cast("string"))
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(some, F.concat(F.lit(" "), "c_name", F.lit("\n "))).alias("Name"),
+        F.lit(" ").alias("Language"),
+        F.when(some & (F.col("c_custkey") % 2 == 0), items).otherwise(F.array().cast("array<string>")).alias("Client"),
+    )
+    return c.select("c_custkey", rows.header(c, ["Name", "Author", "Language"], ("Client", "Name")).alias("header"))
 
 
 @query("SELECT item_id, regexp_replace(trim(regexp_replace(' ' || regexp_replace(lower(trim(text)), '\\s+', '  ', 'g') || ' ', ' (" + "|".join(X.STOP_WORDS) + ") ', '', 'g')), ' +', ' ', 'g') AS kept FROM benchmark")

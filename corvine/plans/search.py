@@ -196,7 +196,7 @@ def facet_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SOURCES = """s0 AS (SELECT 'documents' AS source, doc_id AS id, n_chars / 100000.0::DOUBLE AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, 0 AS src FROM documents ORDER BY rank LIMIT 20),
-s1 AS (SELECT 'conversations', conv_id, 1.0::DOUBLE, row_number() OVER (ORDER BY length(text) DESC, conv_id) AS rank, 1 FROM conversations WHERE turn = 0 ORDER BY rank LIMIT 20),
+s1 AS (SELECT 'conversations', conv_id, 1.0::DOUBLE, row_number() OVER (ORDER BY n DESC, conv_id) AS rank, 1 FROM (SELECT conv_id, sum(length(text)) AS n FROM conversations GROUP BY conv_id) ORDER BY rank LIMIT 20),
 s2 AS (SELECT 'benchmark', item_id, 0.5::DOUBLE, row_number() OVER (ORDER BY item_id) AS rank, 2 FROM benchmark ORDER BY rank LIMIT 20),
 u AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
 g AS (SELECT source, id, round(sum(1.0::DOUBLE / (60 + rank) + 0.001::DOUBLE * score), 9) AS fused, min(src) AS src, min(rank) AS sr FROM u GROUP BY ALL)"""
@@ -210,7 +210,7 @@ def source_lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     d, c, b = (table(spark, sf_dir, x) for x in ("documents", "conversations", "benchmark"))
     return [
         ranked("documents", d, "doc_id", F.col("n_chars") / 100000.0, [F.desc("n_chars"), F.col("doc_id")]),
-        ranked("conversations", c.filter("turn = 0"), "conv_id", F.lit(1.0), [F.desc(F.length("text")), F.col("conv_id")]),
+        ranked("conversations", c.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")), "conv_id", F.lit(1.0), [F.desc("n"), F.col("conv_id")]),
         ranked("benchmark", b, "item_id", F.lit(0.5), [F.col("item_id")]),
     ]
 

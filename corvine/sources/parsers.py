@@ -244,23 +244,58 @@ def reply_slides(replies: DataFrame) -> DataFrame:
     return p.groupBy("id", "slide").agg(F.max_by("body", "pos").alias("body")).select("id", "slide", reply_fields(F.col("body")).alias("fields"))
 
 
-def slide_class(n_text: Column, n_tables: Column, n_charts: Column, n_images: Column, words: Column) -> Column:
-    """The kind of a slide by its shapes."""
+# Classes of slides that a text parser can't read, and the bars of the gates, in characters.
+VISUAL = ("FRAMEWORK", "DIAGRAM", "MIXED", "IMAGE")
+CHART_TEXT, PICTURE_TEXT, TABLE_TEXT, DECORATED, JUDGED, LEAST_PARSED, LEAST_PRODUCED = 200, 120, 80, 200, 40, 20, 40
+
+
+def _shapes(stats: Column) -> tuple[Column, ...]:
+    """text_chars, n_shapes, and whether there is a table, chart, picture, group; missing counts as none."""
+    number = lambda f: F.coalesce(stats[f].cast("int"), F.lit(0))
+    flag = lambda f: F.coalesce(stats[f], F.lit(False))
+    return number("text_chars"), number("n_shapes"), flag("has_table"), flag("has_chart"), flag("has_picture"), flag("has_group")
+
+
+def slide_class(stats: Column) -> Column:
+    """The class of a slide by its shapes: stats is a struct of text_chars, n_shapes, has_table, has_chart, has_picture, has_group."""
+    chars, shapes, tables, charts, pictures, groups = _shapes(stats)
     return (
-        F.when((n_tables > 0) & (n_charts > 0), "mixed")
-        .when(n_charts > 0, "chart")
-        .when(n_tables > 0, "table")
-        .when((n_images > 0) & (words < 20), "image")
-        .when(n_images > 0, "mixed")
-        .when((n_text > 0) & (words < 8), "divider")
-        .when(n_text > 0, "text")
-        .otherwise("empty")
+        F.when((chars == 0) & (shapes == 0), "EMPTY")
+        .when(charts, F.when(chars > CHART_TEXT, "MIXED").otherwise("DIAGRAM"))
+        .when(groups, "FRAMEWORK")
+        .when(pictures, F.when(chars < PICTURE_TEXT, "IMAGE").otherwise("MIXED"))
+        .when(tables & (chars < TABLE_TEXT), "TABLE")
+        .otherwise("TEXT")
     )
 
 
-def needs_image(kind: Column, words: Column) -> Column:
-    """Whether a slide has to be looked at: visual kinds, and thin ones."""
-    return kind.isin("chart", "image", "mixed") | ((words < 15) & (kind != "divider"))
+def is_visual(stats: Column) -> Column:
+    """Whether a slide holds what no text parser reads: charts, groups, and pictures where there is little text."""
+    chars, _, _, charts, pictures, groups = _shapes(stats)
+    return charts | groups | (pictures & (chars < DECORATED))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
+def needs_image(stats: Column, text: Column, tables: Column) -> Column:
+    """Whether the parser has missed text: under half of what the shapes report, or nothing at all. tables: an array of texts."""
+    chars, shapes, *_ = _shapes(stats)
+    parsed = F.length(_stripped(text)) + F.aggregate(F.coalesce(tables, F.array().cast("array<string>")), F.lit(0), lambda n, t: n + F.length(_stripped(t)))
+    thin = (chars >= JUDGED) & (parsed < F.greatest(F.lit(LEAST_PARSED), F.floor(chars / 2)))
+    return thin | ((shapes > 0) & (chars > 0) & (parsed == 0))
+
+
+def attaches_image(stats: Column, text: Column, tables: Column) -> Column:
+    """Whether a slide's image goes to the model: it is visual, or the parser has missed text."""
+    return is_visual(stats) | needs_image(stats, text, tables)
+
+
+def needs_escalation(kind: Column, text: Column, visuals: Column) -> Column:
+    """Whether what a local model made of a visual slide is too thin, or lacks the visual part of a framework or diagram."""
+    produced = F.length(_stripped(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(visuals, F.lit("")))))
+    return kind.isin(*VISUAL) & ((produced < LEAST_PRODUCED) | (kind.isin("FRAMEWORK", "DIAGRAM") & (_stripped(visuals) == "")))
 
 
 def reading_order(shapes: DataFrame, gap: int = 457_000) -> DataFrame:

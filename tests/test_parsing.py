@@ -85,8 +85,6 @@ def test_replies(spark):
 def test_slides(spark):
     s = spark.createDataFrame([(1, "a", 0, 5), (1, "b", 10, 1), (1, "c", 1_000_000, 0), (1, "d", 450_000, 2)], "slide int, id string, left int, top int")
     assert [r.id for r in parsers.reading_order(s).orderBy("place").collect()] == ["b", "d", "a", "c"]
-    k = spark.createDataFrame([(1, 0, 1, 0, 50), (1, 0, 0, 0, 3), (0, 0, 0, 1, 2), (0, 0, 0, 0, 0)], "a int, b int, c int, d int, w int")
-    assert [r.k for r in k.select(parsers.slide_class(*map(F.col, "abcdw")).alias("k")).collect()] == ["chart", "divider", "image", "empty"]
     d = spark.createDataFrame([("k", 2, None, "b2", "n"), ("k", 1, "T", "b1", None)], "deck string, slide int, title string, body string, notes string")
     assert parsers.deck(d).first().markdown == "## Slide 1: T\nb1\n[Page 1]\n\n## Slide 2\nb2\n[Notes:] n\n[Page 2]"
 
@@ -238,3 +236,68 @@ def test_store(spark, tmp_path):
     assert s.exists("raw/t/1/a.txt") and s.get("raw/t/1/a.txt") == b"new \xff" and s.text("raw/t/1/a.txt") == "new \ufffd"
     s.delete("raw/t/1/a.txt")
     assert s.text("raw/t/1/a.txt") is None
+
+
+STATS = "s struct<text_chars:int,n_shapes:int,has_table:boolean,has_chart:boolean,has_picture:boolean,has_group:boolean>"
+
+
+def stats(chars=0, shapes=0, table=None, chart=None, picture=None, group=None):
+    return (chars, shapes, table, chart, picture, group)
+
+
+def test_slide_classes(spark):
+    want = [
+        (stats(400, 3), "TEXT"), (stats(30, 2, chart=True), "DIAGRAM"), (stats(500, 5, chart=True), "MIXED"), (stats(60, 8, group=True), "FRAMEWORK"),
+        (stats(10, 1, picture=True), "IMAGE"), (stats(120, 1, picture=True), "MIXED"), (stats(20, 1, table=True), "TABLE"), (stats(80, 1, table=True), "TEXT"), (stats(), "EMPTY"),
+        (stats(200, 1, chart=True), "DIAGRAM"), ((None,) * 6, "EMPTY"),
+    ]
+    d = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(want)], f"i int, {STATS}")
+    assert [r.k for r in d.select("i", parsers.slide_class(F.col("s")).alias("k")).orderBy("i").collect()] == [k for _, k in want]
+
+
+def test_slide_gates(spark):
+    one = lambda schema, row, c: spark.createDataFrame([row], schema).select(c.alias("x")).first().x
+    visual = lambda **s: one(STATS, (stats(**s),), parsers.is_visual(F.col("s")))
+    assert visual(group=True) and visual(chart=True, chars=5000) and visual(picture=True, chars=20)
+    assert not visual(picture=True, chars=800) and not visual(chars=9) and not visual(picture=True, chars=200)
+    schema = f"{STATS}, t string, c array<string>"
+    missed = lambda s, t, c: one(schema, (s, t, c), parsers.needs_image(F.col("s"), F.col("t"), F.col("c")))
+    assert missed(stats(200, 3), "tiny", []) and not missed(stats(200, 3), "x" * 150, []) and not missed(stats(), "", [])
+    assert not missed(stats(200, 3), " x ", ["y" * 99, None]) and missed(stats(200, 3), " x ", ["y" * 98]) and missed(stats(9, 1), None, None) and not missed(stats(9, 0), None, None)
+    again = lambda k, t, v: one("k string, t string, v string", (k, t, v), parsers.needs_escalation(F.col("k"), F.col("t"), F.col("v")))
+    assert not again("TEXT", "", "") and again("DIAGRAM", "", "") and again("FRAMEWORK", "a few words here only", "") and again("FRAMEWORK", "x" * 99, " ")
+    assert not again("DIAGRAM", "", "CHART: Revenue by region, X-axis: region, Y-axis: USD m") and not again("IMAGE", "x" * 40, None) and again("IMAGE", "x" * 39, None)
+    both = lambda s, t: one(schema, (s, t, []), parsers.attaches_image(F.col("s"), F.col("t"), F.col("c")))
+    assert both(stats(200, 3), "tiny") and both(stats(0, 1, group=True), "") and not both(stats(200, 3), "x" * 150)
+
+
+def test_headers_of_metadata(spark):
+    from corvine.operators import rows
+
+    d = spark.createDataFrame([(1, " Ann ", ["a", "", None, "b"], 0), (2, None, [], None), (3, "  ", ["", None], None)], "k int, Name string, Client array<string>, Year int")
+    got = {r.k: r.h for r in d.select("k", rows.header(d, ["Name", "Author", "Client"], ("Year", "Name")).alias("h")).collect()}
+    assert got == {1: "---\nName: Ann\nClient: a, b\nYear: 0\n---\n\n", 2: "", 3: ""}
+
+
+def test_shapes_of_replies(spark):
+    from corvine.operators import rows
+
+    want = {"how much is it": "count_only", "The size of that": "count_only", "list the offices": "full_records", "emails only": "full_records", "list all names": "column_subset", "names": "full_records", "Show me the NAME": "column_subset", None: "full_records"}
+    d = spark.createDataFrame([(q,) for q in want], "q string")
+    assert {r.q: r.s for r in d.select("q", rows.reply_shape(F.col("q")).alias("s")).collect()} == want
+
+
+def test_enriching_drops_blank_keys(spark):
+    from corvine.operators import rows
+
+    d = spark.createDataFrame([(None, 1), ("", 2), ("A b", 3), ("a_b", 4), ("C", 5)], "k string, i int")
+    hits = spark.createDataFrame([(None,), ("",), ("a B",), ("c",), ("C",)], "pk string")
+    assert [r.i for r in rows.enrich(d, hits, "k").collect()] == [3, 5]
+
+
+def test_singular_fields_are_found():
+    from corvine.plans import planner
+
+    assert planner.classify("who speaks French?", ["Email", "Language"]).formula == planner.classify("who speaks French?", ["Email", "language"]).formula.replace("{language}", "{Language}")
+    assert "{Hobby}" in planner.classify("who is interested in chess?", ["Email", "Hobby"]).formula
+    assert planner.classify("who knows chess?", ["Email", "Hobby"]) is None
