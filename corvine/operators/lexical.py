@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,27 @@ sme, small medium enterprise, small and medium enterprise
 
 # Words the analyzer leaves out.
 ENGLISH_STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-# Suffixes of the light stemmer and what replaces them, the first that fits.
-SUFFIXES = [("sses", "ss"), ("ies", "y"), ("ss", "ss"), ("us", "us"), ("s", ""), ("ational", "ate"), ("ization", "ize"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", "")]
+# The measure-based English stemmer. Shapes of a stem: a vowel group and consonants behind it, twice, a vowel,
+# and one short syllable that ends in a consonant but w, x or y.
+# A leading y is a consonant, one behind a consonant a vowel.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_HEAD = f"^(?:{_C}{_V}|[aeiou]+)"
+ONCE, TWICE, VOWEL = f"{_HEAD}{_C}", f"{_HEAD}{_C}{_V}{_C}", f"^(?:{_C}[aeiouy]|[aeiou])"
+JUST_ONCE, SHORT = f"{_HEAD}{_C}(?:{_V})?$", f"^{_C}[aeiouy][^aeiouwxy]$"
+# Each step: suffix, what replaces it, and the shapes its stem must have. The first suffix that fits decides.
+PLURALS = [("sses", "ss", ()), ("ies", "i", ()), ("ss", "ss", ()), ("s", "", ())]
+PAST = [("eed", "ee", (ONCE,)), ("ed", "\0", (VOWEL,)), ("ing", "\0", (VOWEL,))]  # \0 marks stems that MENDED looks at
+MENDED = [("at\0", "ate", ()), ("bl\0", "ble", ()), ("iz\0", "ize", ())]
+FINAL_Y = [("y", "i", (VOWEL,))]
+DOUBLE = """ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous, ization ize, ation ate,
+ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log"""
+ENDINGS = "icate ic, ative, alize al, iciti ic, ical ic, ful, ness"
+LAST = "al, ance, ence, er, ic, able, ible, ant, ement, ment, ent, ion, ou, ism, ate, iti, ous, ive, ize"
+STEPS = [
+    [(s, r, (ONCE,)) for s, r in (x.split() for x in DOUBLE.split(","))],
+    [(x.split()[0], "".join(x.split()[1:]), (ONCE,)) for x in ENDINGS.split(",")],
+    sorted(((s.strip(), "", (TWICE, "[st]$") if s.strip() == "ion" else (TWICE,)) for s in LAST.split(",")), key=lambda x: -len(x[0])),
+]
 
 
 def tokens(c: Column) -> Column:
@@ -45,30 +65,71 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def fold_synonyms(c: Column) -> Column:
-    """Lower-case text with every synonym of a group written as the group's first term."""
-    out = F.lower(c)
+def synonyms() -> list[tuple[str, str]]:
+    """(phrase, what it counts as), both as words between marks: each word has a blank before and behind it. Long ones first."""
+    marked = lambda x: "".join(f" {w} " for w in re.findall("[a-z0-9]+", x))
+    out = []
     for line in SYNONYMS.strip().splitlines():
         first, *others = (x.strip() for x in line.split(","))
-        for other in sorted(others, key=len, reverse=True):
-            out = F.replace(out, F.lit(other), F.lit(first))
-    return out
+        out += [(marked(x), marked(first)) for x in others]
+    return sorted(dict.fromkeys(out), key=lambda x: (-x[0].count("  "), x))
 
 
-def stem(t: Column) -> Column:
-    """A light suffix stemmer in column expressions; a stem keeps three characters at least."""
+def folded(words: Column) -> Column:
+    """Arrays of words with every synonym of a group, told by whole words, as the group's first term.
+
+    What stands between the words of the text does not count, and nothing matches inside a word. No phrase of the table ends
+    with the words that another begins with, so taking long ones first is the leftmost longest match.
+    """
+    out = F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
+    for phrase_, first in synonyms():
+        out = F.replace(out, F.lit(phrase_), F.lit(first))
+    return F.filter(F.split(out, " +"), lambda w: w != "")
+
+
+def _step(t: Column, rules: list) -> Column:
     out = None
-    for suffix, other in SUFFIXES:
-        fits = t.endswith(suffix) & (F.length(t) - len(suffix) + len(other) >= 3)
-        cut = F.concat(F.call_function("left", t, F.length(t) - len(suffix)), F.lit(other))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+    for suffix, other, shapes in rules:
+        stem_ = F.call_function("left", t, F.length(t) - len(suffix))
+        made = F.concat(stem_, F.lit(other))
+        made = reduce(lambda ok, s: F.when(stem_.rlike(s), ok).otherwise(t), shapes, made)
+        out = F.when(t.endswith(suffix), made) if out is None else out.when(t.endswith(suffix), made)
     return out.otherwise(t)
 
 
+def _mend(t: Column) -> Column:
+    """A stem that lost -ed or -ing (it ends in the mark): -e comes back, or a doubled consonant becomes one."""
+    bare = F.call_function("left", t, F.length(t) - 1)
+    end = F.call_function("right", bare, F.lit(1))
+    doubled = (end == F.substring(bare, -2, 1)) & (F.length(bare) > 1) & ~end.isin(*"aeioulsz")
+    short = bare.rlike(JUST_ONCE) & bare.rlike(SHORT)
+    one = F.when(doubled, F.call_function("left", bare, F.length(bare) - 1)).when(short, F.concat(bare, F.lit("e"))).otherwise(bare)
+    out = None
+    for suffix, other, _ in MENDED:
+        made = F.concat(F.call_function("left", t, F.length(t) - len(suffix)), F.lit(other))
+        out = F.when(t.endswith(suffix), made) if out is None else out.when(t.endswith(suffix), made)
+    return F.when(t.endswith("\0"), out.otherwise(one)).otherwise(t)
+
+
+def _close(t: Column) -> Column:
+    """The last step: a final -e goes behind long stems, and -ll becomes -l."""
+    bare = F.call_function("left", t, F.length(t) - 1)
+    silent = t.endswith("e") & (bare.rlike(TWICE) | (bare.rlike(JUST_ONCE) & ~bare.rlike(SHORT)))
+    t = F.when(silent, bare).otherwise(t)
+    return F.when(t.endswith("ll") & t.rlike(TWICE), F.call_function("left", t, F.length(t) - 1)).otherwise(t)
+
+
+def stemmed(words: Column) -> Column:
+    """Arrays of lower-case words, each reduced to its stem by the measure-based steps; words of two letters stay."""
+    steps = [lambda t: _step(t, PLURALS), lambda t: _step(t, PAST), _mend, lambda t: _step(t, FINAL_Y), *((lambda t, r=r: _step(t, r)) for r in STEPS), _close]
+    each = lambda step: lambda t: F.when((F.length(t) > 2) | t.endswith("\0"), step(t)).otherwise(t)
+    return reduce(lambda done, step: F.transform(done, each(step)), steps, words)
+
+
 def analyzed(c: Column) -> Column:
-    """Analysis of a text: synonyms folded, words, stop words out, stems."""
+    """Analysis of a text: words, synonyms folded, stop words out, stems."""
     stop = F.array(*map(F.lit, ENGLISH_STOP))
-    return F.transform(F.filter(tokens(fold_synonyms(c)), lambda t: ~F.array_contains(stop, t)), stem)
+    return stemmed(F.filter(folded(tokens(c)), lambda t: ~F.array_contains(stop, t)))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -85,6 +85,19 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upserted(o, new, "o_orderkey", "seq").drop("seq")
 
 
+@query(f"WITH {NEW}, u AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM l) UNION ALL SELECT * FROM l) SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 2 THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM u WHERE o_orderkey % 7 <> 1")
+def upsert_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in a bucketed table, then an upsert, a delete and an update, each of which writes the buckets of its keys."""
+    o, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), scratch(spark, "orders")
+    sinks.write(o, path, "o_orderkey")
+    new = o.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    new = new.filter("o_orderkey % 6 <> 0").union(o.filter("o_orderkey % 6 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 3))
+    sinks.upsert(spark, path, new.union(o.filter("o_orderkey % 10 = 1").select(-F.col("o_orderkey"), F.lit(1.0), F.lit("N"))), "o_orderkey")
+    sinks.delete(spark, path, o.filter("o_orderkey % 7 = 1").select("o_orderkey"), "o_orderkey")
+    sinks.update(spark, path, o.filter("o_orderkey % 9 = 2").select("o_orderkey", F.lit(0.0).alias("o_totalprice")), "o_orderkey", ["o_totalprice"])
+    return sinks.read(spark, path)
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
