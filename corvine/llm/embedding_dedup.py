@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import NO_ID, components, cut, lean
+from corvine.llm.common import components, cut, lean
 from corvine.llm.pairs import LINKS, comparable, deal, forest
 from corvine.session import table
 
@@ -181,17 +181,19 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.95,
     of one label are one representative with a size. Codebooks have sqrt(n / PER_CELL) centres a half for n different
     vectors, so cells stay as small whatever n is; they are fitted to `sample` vectors or PER_CENTRE to a centre, if that
     is more, in the order of a hash. All vectors are indexed, each in its home cell, and each visits as many cells as
-    `recall` needs. Cells of any size are dealt as pairs of blocks. A null vec_id is a node shared by all such rows; rows
-    with one vec_id share a node. Other columns are not read. An empty table gives an empty result.
+    `recall` needs. Cells of any size are dealt as pairs of blocks. Different vectors are nodes of their own whatever their
+    vec_ids, so null and repeated ids join nothing; component_id is the smallest id of a component, null only where none
+    of its rows has one: then the rows of one of its vectors are kept. Other columns are not read. An empty table gives
+    an empty result.
     """
     number = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
-    v = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("fit", F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     v = v.withColumn("f1", F.xxhash64("embedding")).withColumn("f2", F.xxhash64(F.lit("second"), "embedding"))
     good = v.filter("fit")
-    reps = good.groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
-    reps = cut(reps.withColumn("dim", F.size("embedding")), "vectors")
+    reps = good.groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    reps = cut(reps.withColumn("dim", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     lengths = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
     grids, spark = {}, vectors.sparkSession
     wanted = {dim: (int(max(4, (n / PER_CELL) ** 0.5)), n) for dim, n in lengths.items() if dim > 1}
@@ -212,12 +214,15 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.95,
     found = cut(dealt.drop("label", "w").groupBy("task", "lo", "hi").applyInArrow(verify(cosine), LINKS), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.filter("rep <> root"), "rep", "root").select(F.col("id").alias("rep"), F.col("label").alias("root"))
-    classes = reps.select("label", "f1", "f2", "rep", "size").join(links, "rep", "left").join(roots, "rep", "left")
-    classes = classes.select("label", "f1", "f2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
-    known = good.select("vec_id", "label", "f1", "f2").join(classes, ["label", "f1", "f2"]).select("vec_id", "root", "links")
-    out = known.union(v.filter("not fit").select("vec_id", F.col("vec_id").alias("root"), F.lit(0).cast("long").alias("links")))
-    back = lambda c: F.when(c != NO_ID, c)
-    return out.select(back(F.col("vec_id")).alias("vec_id"), F.col("links").alias("n_links"), back(F.col("root")).alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept"))
+    named = roots.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("component"))
+    roots = roots.join(named, "root")
+    classes = reps.select("label", "f1", "f2", "rep", "first", "size").join(links, "rep", "left").join(roots, "rep", "left")
+    component = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component"))
+    main = component.isNotNull() | F.col("root").isNull() | (F.col("root") == F.col("rep"))
+    classes = classes.select("label", "f1", "f2", component.alias("component_id"), main.alias("main"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    known = good.select("vec_id", "label", "f1", "f2").join(classes, ["label", "f1", "f2"]).select("vec_id", "n_links", "component_id", "main")
+    alone = v.filter("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("main"))
+    return known.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id")) & F.col("main")).alias("kept"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,14 @@ def test_multi_sequence_order():
     d = E.distances(x[:, :4], g.books[0])[:, :, None] + E.distances(x[:, 4:], g.books[1])[:, None, :]
     want = np.sort(d.reshape(50, -1), 1)[:, :9]
     assert np.allclose(np.take_along_axis(d.reshape(50, -1), g.traverse(x, 9), 1), want)
+
+
+def test_null_and_repeated_ids_join_nothing(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    off = lambda v: [a + 0.1 * b for a, b in zip(v, [0.3, 0.5, 0.7], strict=True)]
+    rows = [(5, x), (None, off(x)), (9, y), (None, off(y)), (None, z), (None, off(z)), (7, [-1.0, 0.0, 0.0]), (7, [0.0, -1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_dedup(df, recall=1.0).collect()]
+    count = lambda *r: got.count(r)
+    assert count(5, 1, 5, True) == count(9, 1, 9, True) == count(None, 1, 5, False) == count(None, 1, 9, False) == 1
+    assert count(None, 1, None, True) == count(None, 1, None, False) == 1 and count(7, 0, 7, True) == 2
