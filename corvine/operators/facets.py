@@ -17,16 +17,46 @@ def vocabulary(df: DataFrame, fields: list[str], most: int = 1000) -> DataFrame:
     return n.withColumn("r", F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), "value"))).filter(F.col("r") <= most).drop("r")
 
 
+#: A text as runs of letters and digits, and single other characters between them.
+ATOM = "([a-z0-9]+|[^a-z0-9])"
+
+
+def atoms(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(ATOM), F.lit(1))
+
+
+def stretches(text: Column, lengths: list[int]) -> tuple[Column, Column]:
+    """The atoms of a text (to be named _a), and all its stretches, the text being in match_form, that have as many atoms as one of lengths and stand on word boundaries.
+
+    A stretch begins and ends with whole atoms, so a letter or digit never goes on before or behind one that begins or
+    ends with a letter or digit; where it begins or ends with another character, no letter or digit may stand there.
+    """
+    a = atoms(text)
+    word = lambda i: F.coalesce(F.get("_a", i), F.lit("")).rlike("[a-z0-9]")
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size("_a") >= n, F.sequence(F.lit(0), F.size("_a") - n)).otherwise(F.array().cast("array<int>"))
+        open_ = F.filter(starts, lambda i: ~(word(i - 1) & ~word(i)) & ~(word(i + n) & ~word(i + n - 1)))
+        return F.transform(open_, lambda i: F.array_join(F.slice("_a", i + 1, n), ""))
+
+    return a, F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+
+
 def plan(queries: DataFrame, vocab: DataFrame, aliases: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """query_id, facet, value: values of the vocabulary, or of aliases, whose words stand in the query.
 
-    The vocabulary is bounded by vocabulary(), so it is broadcast to the queries.
+    Queries become their stretches of as many atoms as values have, and these meet the values by an equi-join: no query
+    is compared with a value that it does not hold. What comes to the driver is how many atoms values have.
     """
-    q = queries.select("query_id", X.match_form(F.col("query")).alias("q"))
     v = vocab.select("facet", "value", X.match_form(F.col("value")).alias("v"))
     for term, (facet, value) in (aliases or {}).items():
-        v = v.union(q.sparkSession.range(1).select(F.lit(facet), F.lit(value), X.match_form(F.lit(term))))
-    return q.join(F.broadcast(v), X.word_present(F.col("v"), F.col("q"))).select("query_id", "facet", "value").distinct()
+        v = v.union(queries.sparkSession.range(1).select(F.lit(facet), F.lit(value), X.match_form(F.lit(term))))
+    v = v.filter("v <> ''")
+    lengths = sorted(r[0] for r in v.select(F.size(atoms(F.col("v")))).distinct().collect())
+    own, found = stretches(F.col("q"), lengths)
+    q = queries.select("query_id", X.match_form(F.col("query")).alias("q")).withColumn("_a", own)
+    q = q.select("query_id", F.explode(found if lengths else F.array().cast("array<string>")).alias("v"))
+    return q.join(v, "v").select("query_id", "facet", "value").distinct()
 
 
 def condition(df: DataFrame, wanted: dict[str, object]) -> Column:

@@ -27,11 +27,11 @@ def parse_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys(spark, sf_dir).select("page_id", objects.parsed_key(F.col("key")).alias("p")).select("page_id", "p.*")
 
 
-@query(f"WITH {KEYS} SELECT page_id, CASE WHEN key LIKE 'raw/t1.x/%' THEN 'one_dotted' WHEN key LIKE 'raw/t1%' THEN 'one' WHEN key LIKE 'raw/%' THEN 'rest' END AS route FROM k")
+@query(f"WITH {KEYS} SELECT page_id, CASE WHEN key LIKE 'raw/t1.x/%' THEN 'one_dotted' WHEN key LIKE 'raw/t1%' THEN 'one' WHEN key LIKE 'raw/t2/2%' THEN 'twos' ELSE 'default' END AS route FROM k")
 def prefix_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest of several prefixes decides."""
-    tables = spark.createDataFrame([("raw/", "rest"), ("raw/t1", "one"), ("raw/t1.x/", "one_dotted")], "prefix string, name string")
-    return objects.routed(keys(spark, sf_dir), tables).select("page_id", "route")
+    """The longest of several prefixes decides; keys without one go to the fallback."""
+    tables = spark.createDataFrame([("raw/t2/2", "twos"), ("raw/t1", "one"), ("raw/t1.x/", "one_dotted")], "prefix string, name string")
+    return objects.routed(keys(spark, sf_dir), tables, "default").select("page_id", "route")
 
 
 @query("WITH f AS (SELECT page_id, 'raw/t/' || (page_id // 3) || '/c/f' || page_id || CASE WHEN page_id % 6 = 1 THEN '__normalized.txt' ELSE '.pdf' END AS key, page_id // 3 AS dir FROM pages) SELECT page_id FROM f WHERE key LIKE '%__normalized.txt' OR dir NOT IN (SELECT dir FROM f WHERE key LIKE '%__normalized.txt')")

@@ -71,12 +71,16 @@ def with_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
 def routed(files: DataFrame, tables: DataFrame, fallback: str | None = None) -> DataFrame:
     """files with route, the table whose prefix is the longest that begins their key, or fallback.
 
-    tables (prefix, name) is a registry of bounded size: as one array it is broadcast to every row, so files are neither
-    shuffled nor grouped and repeated rows stay. Of equal prefixes the last name counts.
+    tables: prefix, name. A key is looked up by its own prefixes of the lengths that the registry has, in one hash join, and
+    the longest that is there wins. Of equal prefixes the last name counts. Repeated rows stay; a null key has no table.
     """
-    registry = tables.agg(F.collect_list(F.struct(F.length("prefix").alias("n"), "name", "prefix")).alias("_registry"))
-    hits = F.filter("_registry", lambda t: F.col("key").startswith(t["prefix"]))
-    out = files.join(F.broadcast(registry)).withColumn("route", F.array_max(hits)["name"]).drop("_registry")
+    registry = tables.filter("prefix IS NOT NULL").groupBy("prefix").agg(F.max("name").alias("_name"))
+    lengths = [r[0] for r in registry.select(F.length("prefix")).distinct().collect()]  # as many as a key has characters at most
+    own = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("key"))
+    keys = files.select("key").filter("key IS NOT NULL").distinct().withColumn("_n", F.explode(own)).withColumn("prefix", F.expr("left(key, _n)"))
+    best = keys.join(registry, "prefix").groupBy("key").agg(F.max(F.struct("_n", "_name"))["_name"].alias("route"))
+    out = files.join(best, "key", "left")
+    out = out.select(*files.columns, "route")
     return out.withColumn("route", F.coalesce("route", F.lit(fallback))) if fallback else out
 
 

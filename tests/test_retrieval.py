@@ -214,3 +214,34 @@ def test_modes_of_a_search(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_facet_planning_is_word_presence(spark):
+    """The equi-join finds what a comparison of all queries with all values finds, without one."""
+    import random
+
+    from corvine.functions import text as X
+
+    r = random.Random(6)
+    part = lambda n: "".join(r.choice(["ab", "b", "1", " ", "-", "(", ".", "é", "&", " & ", "A"]) for _ in range(r.randrange(1, n)))
+    q = spark.createDataFrame([(i, part(14)) for i in range(120)] + [(900, None), (901, "")], "query_id int, query string")
+    v = spark.createDataFrame([("f", part(4)) for _ in range(80)] + [("f", ""), ("f", None)], "facet string, value string").distinct()
+    got = facets.plan(q, v)
+    both = q.crossJoin(v).filter(X.word_present(X.match_form(F.col("value")), X.match_form(F.col("query"))))
+    want = sorted(map(tuple, both.select("query_id", "facet", "value").distinct().collect()))
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert facets.plan(q, v.limit(0)).collect() == []
+
+
+def test_routing_by_prefixes(spark):
+    from corvine.sources import objects
+
+    keys = ["raw/a/1", "raw/a/1", "raw/ab", "x", None, ""]
+    f = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, key string")
+    t = spark.createDataFrame([("raw/", "r"), ("raw/a/", "a1"), ("raw/a/", "a2"), ("raw/a/1/long", "l"), (None, "n")], "prefix string, name string")
+    of = lambda tables, *more: [r.route for r in objects.routed(f, tables, *more).orderBy("i").collect()]
+    assert of(t) == ["a2", "a2", "r", None, None, None] and of(t, "d") == ["a2", "a2", "r", "d", "d", "d"]
+    assert of(t.union(spark.createDataFrame([("", "all")], "p string, n string"))) == ["a2", "a2", "r", "all", None, "all"]
+    assert of(t.limit(0)) == [None] * 6
+    assert "_registry" not in objects.routed(f, t)._jdf.queryExecution().toString()
