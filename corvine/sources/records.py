@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 
@@ -53,10 +53,12 @@ def schema_digest(df: DataFrame, fields: int = 60, choices: int = 30) -> DataFra
 
 
 class PagedRecords(DataSource):
-    """A row store behind a paging function, as a batch source: spark.read.format("paged_records").
+    """A row store behind functions of a module, as a batch and a streaming source: format("paged_records").
 
-    The module and function that return a page (function(table, offset, size) -> list of dicts) are options, so any
-    service fits; offsets are dealt to partitions.
+    Options name the module and its functions, so any service fits. spark.read: function(table, offset, size) -> list of
+    dicts; with the option total, offsets are dealt to partitions, else one reads page after page until a short one.
+    spark.readStream: latest(table) -> the newest cursor, or None, and changes(table, after, upto, offset, size) -> dicts
+    whose cursor lies behind `after` (None: from the start) and not behind `upto`, in one order; cursors are texts.
     """
 
     @classmethod
@@ -69,21 +71,68 @@ class PagedRecords(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PagedReader(schema, self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return ChangesReader(schema, self.options)
+
+
+def _function(options: dict, name: str):
+    import importlib
+
+    return getattr(importlib.import_module(options["module"]), options.get(name, name))
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, dict(options)
+        self.size = int(self.options.get("page", 100))
 
     def partitions(self) -> list[InputPartition]:
-        size, total = int(self.options.get("page", 100)), int(self.options["total"])
-        return [InputPartition(i) for i in range(0, total, size)]
+        if "total" not in self.options:
+            return [InputPartition(None)]
+        return [InputPartition(i) for i in range(0, int(self.options["total"]), self.size)]
 
     def read(self, partition: InputPartition):
-        import importlib
+        f, at = _function(self.options, "function"), partition.value or 0
+        while True:
+            rows = f(self.options["table"], at, self.size)
+            for r in rows:
+                yield tuple(r.get(c) for c in self.schema.names)
+            at += self.size
+            if partition.value is not None or len(rows) < self.size:
+                return
+
+
+class ChangesReader(DataSourceStreamReader):
+    """Changed records as a stream whose offset is the cursor.
+
+    A batch is what lies between two cursors that the checkpoint holds, and both go to the service, so a batch that is run again
+    after a failure reads the same rows, and the next one goes on behind them. Where the service has no newer
+    cursor, there is no batch.
+    """
+
+    def __init__(self, schema: StructType, options: dict):
+        self.schema, self.options = schema, dict(options)
+        self.size = int(self.options.get("page", 100))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"cursor": self.options.get("since")}
 
-        f = getattr(importlib.import_module(self.options["module"]), self.options["function"])
-        for r in f(self.options["table"], partition.value, int(self.options.get("page", 100))):
-            yield tuple(r.get(c) for c in self.schema.names)
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"cursor": _function(self.options, "latest")(self.options["table"]) or self.options.get("since")}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [] if start == end else [InputPartition((start["cursor"], end["cursor"]))]
+
+    def read(self, partition: InputPartition):
+        after, upto = partition.value
+        f, at = _function(self.options, "changes"), 0
+        while True:
+            rows = f(self.options["table"], after, upto, at, self.size)
+            for r in rows:
+                yield tuple(r.get(c) for c in self.schema.names)
+            at += self.size
+            if len(rows) < self.size:
+                return
 
 
 def union_lists(lists: list[DataFrame]) -> DataFrame:

@@ -38,6 +38,27 @@ def upsert_batches(stream: DataFrame, target: str, key: str, seq: str, checkpoin
     return q
 
 
+def messages_of(rows: DataFrame, target: str, key: str) -> DataFrame:
+    """A queue's messages (id, body) for changed records: the body names target and record, equal ones have one id."""
+    body = F.to_json(F.struct(F.lit(target).alias("target"), F.col(key).cast("string").alias("record_id")))
+    return rows.filter(F.col(key).isNotNull()).select(body.alias("body")).distinct().select(F.sha2("body", 256).alias("id"), "body")
+
+
+def poll(changes: DataFrame, target: str, key: str, queue: str, checkpoint: str):
+    """Put a message into the queue folder for each record of a stream of changes, for what is there now.
+
+    A batch's messages are a folder of its number, written whole or not at all, so one that runs again after a failure
+    replaces what it had written: no message is lost and none is there twice. stream_of(queue) takes them up.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        messages_of(batch, target, key).write.mode("overwrite").parquet(f"{queue}/poll={number}")
+
+    q = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 LEDGER = "target string, record_id string, status string, attempts int, deleted boolean"
 
 
