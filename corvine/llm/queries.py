@@ -24,8 +24,6 @@ SQL = {
     "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
-    "op11_collocations": collocations.op11_collocations,
-    "op12_bpe": bpe_automaton.op12_bpe,
     "op11_collocations": collocations.OP11_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
