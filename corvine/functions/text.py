@@ -68,8 +68,11 @@ def strip_dots(c: Column) -> Column:
     return F.regexp_replace(c, r"^[._]+|[._]+$", "")
 
 
-def slug(c: Column, fallback: str, fold: bool = False, spaces: bool = True) -> Column:
-    """Lower case; white space and other characters become underscores; dots and underscores at the ends go."""
+def slug(c: Column, fallback: str, fold: bool = True, spaces: bool = True) -> Column:
+    """Lower case; white space and other characters become underscores; dots and underscores at the ends go.
+
+    Letters with accents become the letter and an underscore; without fold, which needs no Python, an underscore alone.
+    """
     s = F.lower(F.trim(text(c)))
     s = unicode_normal(s, "NFKD") if fold else s
     s = F.regexp_replace(s, r"\s+", "_") if spaces else s
@@ -77,7 +80,7 @@ def slug(c: Column, fallback: str, fold: bool = False, spaces: bool = True) -> C
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
-def identifier(c: Column, fallback: str = "unknown_identifier", fold: bool = False) -> Column:
+def identifier(c: Column, fallback: str = "unknown_identifier", fold: bool = True) -> Column:
     """A path segment of an identifier: as slug, but @ and + stay, 200 characters at most."""
     s = F.lower(F.trim(text(c)))
     s = unicode_normal(s, "NFKD") if fold else s

@@ -241,6 +241,6 @@ def flush_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facet_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets of a record: slugged keys, blanks left out."""
     d = table(spark, sf_dir, "documents")
-    m = F.create_map(X.slug(F.lit("Language "), "x"), F.col("lang"), F.lit("empty_field"), F.lit(" "))
+    m = F.create_map(X.slug(F.lit("Language "), "x", fold=False), F.col("lang"), F.lit("empty_field"), F.lit(" "))
     m = F.map_filter(m, lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != "")
     return d.select("doc_id", m["language"].alias("language"))

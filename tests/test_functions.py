@@ -13,6 +13,8 @@ def one(spark, c):
 def test_slugs_masks_and_names(spark):
     assert one(spark, X.slug(F.lit("  Cafe & Bar. "), "u")) == "cafe___bar"
     assert one(spark, X.slug(F.lit("Café Ünter"), "u", fold=True)) == "cafe__u_nter"
+    assert one(spark, X.slug(F.lit("Café Été"), "u")) == "cafe__e_te" and one(spark, X.slug(F.lit("Café"), "u", fold=False)) == "caf"
+    assert one(spark, X.identifier(F.lit("José@x.org"))) == "jose_@x.org"
     assert one(spark, X.slug(F.lit(" .. "), "unknown_table")) == "unknown_table"
     assert one(spark, X.identifier(F.lit("A+B@x.org "))) == "a+b@x.org"
     assert [one(spark, X.mask(F.lit(v))) for v in ("", "ab", "abc")] == ["(empty)", "…", "ab…"]
