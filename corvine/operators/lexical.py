@@ -126,10 +126,18 @@ def stemmed(words: Column) -> Column:
     return reduce(lambda done, step: F.transform(done, each(step)), steps, words)
 
 
-def analyzed(c: Column) -> Column:
-    """Analysis of a text: words, synonyms folded, stop words out, stems."""
+def analyzed(c: Column, only: list[str] | None = None) -> Column:
+    """Analysis of a text: words, synonyms folded, stop words out, stems.
+
+    only: terms that are asked for. Words that can't become one of them stand as empty texts in their places, unstemmed: a
+    stem begins with the first two letters of its word, or is the first.
+    """
     stop = F.array(*map(F.lit, ENGLISH_STOP))
-    return stemmed(F.filter(folded(tokens(c)), lambda t: ~F.array_contains(stop, t)))
+    words = F.filter(folded(tokens(c)), lambda t: ~F.array_contains(stop, t))
+    if only is not None:
+        heads = sorted({t[:2] for t in only})
+        words = F.transform(words, lambda t: F.when(F.left(t, F.lit(2)).isin(heads) | F.left(t, F.lit(1)).isin(heads), t).otherwise(""))
+    return stemmed(words)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -224,7 +232,7 @@ def match_query(docs: DataFrame, query: str, k: int, names: tuple[str, ...] = ()
     fields = ("text", *names)
     if not terms:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("rank")).limit(0)
-    d = materialised(docs.select("doc_id", *fields), **{f"_t{i}": analyzed(F.coalesce(F.col(f), F.lit(""))) for i, f in enumerate(fields)})
+    d = materialised(docs.select("doc_id", *fields), **{f"_t{i}": analyzed(F.coalesce(F.col(f), F.lit("")), terms) for i, f in enumerate(fields)})
     d = materialised(d, at=places(F.col("_t0"), words))
     d = d.select("doc_id", "at", *(x for i in range(len(fields)) for x in (F.size(f"_t{i}").alias(f"dl{i}"), counts(F.col(f"_t{i}"), terms).alias(f"tf{i}"))))
     d = d.withColumn("pf", F.aggregate(phrase_hits(F.col("at"), slop), F.lit(0.0), lambda x, y: x + y)).drop("at").repartition("doc_id")
