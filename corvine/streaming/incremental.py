@@ -1,4 +1,4 @@
-"""Incremental processing: cursors, an idempotent upsert per micro-batch, and an attempt ledger with keyed state."""
+"""Incremental processing: cursors, an idempotent upsert per micro-batch, and the attempt ledger as one fold (as state: worker.py)."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvine.sources import sinks
+from corvine.streaming.worker import MOST_ATTEMPTS, ledger
 
-#: Attempts after which a job is given up.
-MOST_ATTEMPTS = 5
+__all__ = ["consume", "flush_batches", "ledger", "ledger_batch", "messages_of", "next_cursor", "poll", "stream_of", "upsert_batches"]
 
 
 def next_cursor(rows: DataFrame, ts: str) -> DataFrame:
@@ -59,38 +58,6 @@ def poll(changes: DataFrame, target: str, key: str, queue: str, checkpoint: str)
     return q
 
 
-LEDGER = "target string, record_id string, status string, attempts int, deleted boolean"
-
-
-def outcome(attempts: int, result: str) -> tuple[str, int, bool]:
-    """(status, attempts, row deleted) after a delivery: ok deletes, failures count, the last makes the job dead."""
-    if result == "ok":
-        return "done", attempts + 1, True
-    if result == "bad_message":
-        return "dead", attempts, False
-    return ("dead" if attempts + 1 >= MOST_ATTEMPTS else "failed"), attempts + 1, False
-
-
-def ledger(deliveries: DataFrame) -> DataFrame:
-    """A stream of deliveries (target, record_id, result, seq) as ledger rows; state is kept per job and freed on success."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("seq")
-        status, gone = "failed", False
-        for result in rows["result"]:
-            status, attempts, gone = outcome(attempts, result)
-            attempts = 0 if gone else attempts
-        if gone:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((attempts,))
-        yield pd.DataFrame([(*key, status, attempts, gone)], columns=["target", "record_id", "status", "attempts", "deleted"])
-
-    return deliveries.groupBy("target", "record_id").applyInPandasWithState(update, LEDGER, "attempts int", "update", GroupStateTimeout.NoTimeout)
-
-
 def ledger_batch(deliveries: DataFrame) -> DataFrame:
     """The ledger after all deliveries, as one fold over each job's results in order."""
     g = deliveries.groupBy("target", "record_id").agg(F.array_sort(F.collect_list(F.struct("seq", "result"))).alias("x"))
@@ -105,22 +72,29 @@ def ledger_batch(deliveries: DataFrame) -> DataFrame:
     return g.select("target", "record_id", F.aggregate("x", start, step).alias("s")).select("target", "record_id", "s.*")
 
 
-def consume(messages: DataFrame, handle: Callable[[str], str]) -> DataFrame:
-    """messages (body) with a result and whether the message is removed from its queue: all but those to try again."""
+def consume(messages: DataFrame, handle: Callable[[str], str | list[str]]) -> DataFrame:
+    """messages (body) with a result, the keys written, and whether the message is removed: all but those to try again.
+
+    handle gives a result, or the keys that its record step wrote, which is ok; none means that nothing had changed.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
+            out, keys = [], []
             for body in f["body"]:
+                wrote: list[str] = []
                 try:
-                    out.append(handle(body))
+                    got = handle(body)
+                    wrote = got if isinstance(got, list) else []
+                    out.append("ok" if isinstance(got, list) else got)
                 except ValueError:
                     out.append("bad_message")
                 except Exception:  # noqa: BLE001  a record that fails is tried again
                     out.append("retry")
-            yield pd.DataFrame({"body": f["body"], "result": out, "removed": [r != "retry" for r in out]})
+                keys.append(wrote)
+            yield pd.DataFrame({"body": f["body"], "result": out, "keys": keys, "removed": [r != "retry" for r in out]})
 
-    return messages.select("body").mapInPandas(run, "body string, result string, removed boolean")
+    return messages.select("body").mapInPandas(run, "body string, result string, keys array<string>, removed boolean")
 
 
 def flush_batches(sizes: DataFrame, doc: str, n: str, least: int = 500) -> DataFrame:

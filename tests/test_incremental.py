@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from corvine.sources import objects, records, sinks
 from corvine.streaming import incremental as I
+from corvine.streaming import worker
 
 
 def test_snapshots(spark, tmp_path):
@@ -52,6 +53,56 @@ def test_consumer(spark):
     assert got == {"a": ("ok", True), "bad": ("bad_message", True), "down": ("retry", False)}
 
 
+def test_keys_written_feed_the_indexer(spark):
+    def handle(body):
+        if body == "down":
+            raise OSError
+        return [] if body == "same" else [f"{body}/1", "shared"]
+
+    m = spark.createDataFrame([("a",), ("b",), ("same",), ("down",)], "body string")
+    got = I.consume(m, handle)
+    assert {r.key for r in worker.written(got).collect()} == {"a/1", "b/1", "shared"}
+    end = worker.settled(got, spark.createDataFrame([("b/1",), ("b/1",), ("elsewhere",)], "key string"))
+    assert sorted((r.body, r.result, r.removed) for r in end.collect()) == [("a", "ok", True), ("b", "retry", False), ("down", "retry", False), ("same", "ok", True)]
+
+
+def work(body):
+    """ok at the third delivery of a job, told by a file; bad messages and hopeless ones by name."""
+    import os
+
+    kind, name = body.split(":")
+    if kind == "bad":
+        raise ValueError(body)
+    if kind == "never":
+        raise OSError(body)
+    n = len(os.listdir(name))
+    open(f"{name}/{n}", "w").close()
+    return "ok" if n == 2 else "retry"
+
+
+def test_failed_jobs_come_again_and_dead_ones_expire(spark, tmp_path):
+    import time
+
+    (tmp_path / "tries").mkdir()
+    rows = [("t", "a", f"third:{tmp_path}/tries", 1), ("t", "b", "bad:", 2), ("t", "c", "never:", 3), (None, None, "never:", 4)]
+    d = spark.createDataFrame(rows, "target string, record_id string, body string, seq long")
+    d.coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    w = worker.worked(I.stream_of(spark, f"{tmp_path}/in", d.schema), work, again=200, keep=800)
+    q = w.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="300 milliseconds").start()
+    try:
+        began = time.time()
+        while time.time() - began < 90 and sum(r[2] == "expired" for r in seen) < 3:
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    of = lambda k: [r[2:] for r in seen if r[1] == k]
+    assert of("a") == [("failed", 1, False), ("failed", 2, False), ("done", 0, True)]
+    assert of("b") == [("dead", 0, False), ("expired", 0, True)]
+    tried = [*(("failed", i, False) for i in range(1, 5)), ("dead", 5, False), ("expired", 5, True)]
+    assert of("c") == tried and of(None) == tried
+
+
 def test_flush_closes_on_whole_documents(spark):
     d = spark.createDataFrame([(0, i, 3) for i in range(7)], "part int, doc int, n long")
     got = {r.doc: r.batch for r in I.flush_batches(d, "doc", "n", 5).collect()}
