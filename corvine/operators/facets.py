@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +63,31 @@ def plan(queries: DataFrame, vocab: DataFrame, aliases: dict[str, tuple[str, str
     return q.join(v, "v").select("query_id", "facet", "value").distinct()
 
 
+def extracted(df: DataFrame, columns: list[str]) -> Column:
+    """map<string, array<string>> of a row's non-empty columns by the slug of their names.
+
+    Elements of lists are cleaned one by one, never cut at commas, and blank ones go; a single value is a list of one.
+    """
+    kinds = dict(df.dtypes)
+
+    def pair(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        many = v.cast("array<string>") if kinds[c].startswith("array") else F.array(v.cast("string"))
+        # elements pass the normal form as one text: a NUL composes with nothing
+        clean = F.transform(F.split(X.facet_value(F.array_join(many, "\0")), "\0"), lambda x: F.trim(x))
+        name = X.slug(F.lit(unicodedata.normalize("NFKD", c.lower())), "column", fold=False)
+        return F.struct(name.alias("key"), F.filter(clean, lambda x: x != "").alias("value"))
+
+    return F.map_from_entries(F.filter(F.array(*map(pair, columns)), lambda p: F.size(p["value"]) > 0))
+
+
+def first_per_key(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """key and fields of each key's first row that has any of them; rows without a key have no say. sinks.update applies them."""
+    has = [F.coalesce(F.trim(F.col(f).cast("string")) != "", F.lit(False)) for f in fields]
+    some = rows.filter((F.trim(F.col(key).cast("string")) != "") & reduce(or_, has))
+    return some.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_f")).select(key, "_f.*")
+
+
 def condition(df: DataFrame, wanted: dict[str, object]) -> Column:
     """Equality for one value, membership for several, all of them; unknown fields and nulls are left out."""
     out = F.lit(True)

@@ -90,13 +90,45 @@ def allowed(files: DataFrame, suffixes: list[str]) -> tuple[DataFrame, DataFrame
     return files.filter(ok), files.filter(~ok)
 
 
+#: What ends the name of a file's text form.
+NORMALISED = "__normalized.txt"
+
+
+def remapped(key: Column, old: Column, new: Column) -> Column:
+    """A key of the segment old (its third) with new in its place, also in the name of that segment's text form; null for other keys."""
+    head = F.regexp_extract(key, "^[^/]+/[^/]+/", 0)
+    under = F.concat(head, old, F.lit("/"))
+    rest = F.substring(key, F.length(under) + 1, F.length(key))
+    was, now = F.concat(old, F.lit(NORMALISED)), F.concat(new, F.lit(NORMALISED))
+    named = (rest == was) | F.endswith(rest, F.concat(F.lit("/"), was))
+    return F.when((head != "") & F.startswith(key, under), F.concat(head, new, F.lit("/"), F.when(named, F.replace(rest, was, now)).otherwise(rest)))
+
+
+def sidecars_migrated(sidecars: DataFrame, renames: DataFrame) -> DataFrame:
+    """key, new_key, text of sidecars (key, text) below renamed segments (old, new, name): their JSON names the new place.
+
+    identifier becomes the record's name, original_s3_key moves along if it lies below the segment, and both segments
+    are noted; all other fields stay as they are, whatever their type. Texts that are no JSON object stay.
+    """
+    s = sidecars.withColumn("old", F.split_part("key", F.lit("/"), F.lit(3))).join(renames, "old")
+    m = F.from_json("text", "map<string,variant>")
+    text = lambda c: c.cast("variant")
+    place = F.col("_m")["original_s3_key"]
+    moved = remapped(F.try_variant_get(place, "$", "string"), F.col("old"), F.col("new"))
+    own = F.create_map(F.lit("identifier"), text(F.col("name")), F.lit("migrated_from_s3_segment"), text(F.col("old")), F.lit("migrated_to_s3_segment"), text(F.col("new")))
+    rest = F.map_filter("_m", lambda k, v: ~k.isin("identifier", "migrated_from_s3_segment", "migrated_to_s3_segment") & ~((k == "original_s3_key") & moved.isNotNull()))
+    key = F.when(moved.isNotNull(), F.create_map(F.lit("original_s3_key"), text(moved))).otherwise(F.create_map().cast("map<string,variant>"))
+    s = s.withColumn("_m", m).withColumn("text", F.coalesce(F.to_json(F.map_concat(rest, key, own)), F.col("text")))
+    return s.select("key", remapped(F.col("key"), F.col("old"), F.col("new")).alias("new_key"), "text").filter("new_key is not null")
+
+
 def migrated(keys: DataFrame, renames: DataFrame, existing: DataFrame) -> DataFrame:
     """key, new_key for keys whose third segment is renamed (old, new): targets that exist are skipped, of two with one target the first key stays."""
     from corvine.operators.hydrate import first_per
 
     k = keys.select("key", F.split_part("key", F.lit("/"), F.lit(3)).alias("old")).join(renames, "old")
-    new = F.regexp_replace("key", "^([^/]+/[^/]+/)[^/]+(?=/)", F.concat(F.lit("$1"), F.col("new")))
-    k = k.select("key", new.alias("new_key")).join(existing.select(F.col("key").alias("new_key")), "new_key", "left_anti")
+    k = k.select("key", remapped(F.col("key"), F.col("old"), F.col("new")).alias("new_key")).filter("new_key <> key")
+    k = k.join(existing.select(F.col("key").alias("new_key")), "new_key", "left_anti")
     return first_per(k, [F.col("new_key")], [F.col("key")]).select("key", "new_key")
 
 

@@ -12,7 +12,7 @@ import json
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -182,6 +182,30 @@ def copied(source: DataFrame, target: DataFrame, key: str, most: int | None = No
     return new.orderBy(key).limit(most) if most else new
 
 
+def copy(source: DataFrame, path: str, key: str, slices: int = 4) -> list[int]:
+    """Create-only copy into a table, slice by slice; returns the rows created in each.
+
+    A slice is a share of the buckets: only its keys are read, and it is committed on its own, so a copy that failed
+    goes on where it stopped, and running it again is the delta pass over rows that came meanwhile. Rows that are there
+    stay as they are; of source rows with one key one counts (one_per); rows without a key are not copied.
+    """
+    spark, made = source.sparkSession, []
+    for i in range(slices):
+        s = _keyed(spark, path, key)
+        mine = [b for b in range(s.buckets) if b % slices == i]
+        part = source.filter(F.col(key).isNotNull() & (bucket(F.col(key), s.buckets) % slices == i))
+        added = _add(copied(one_per(part, key), s.read(spark, mine), key).select(*s.schema.names), path, s)
+        _commit(spark, path, replace(s, folders=s.folders | {b: (*s.folders.get(b, ()), f) for b, f in added.items()}))
+        made.append(spark.read.schema(s.schema).parquet(*added.values()).count() if added else 0)  # the files' own counts
+    return made
+
+
+def counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df, and what will hold the counters of its rows once they have been written: no pass of their own."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(k) for k, c in counters.items())), seen
+
+
 def hoisted(chunks: DataFrame) -> DataFrame:
     """Index documents of chunks: provenance and facets at the top level, the chunk's role before the document's."""
     out = chunks.select(*(c for c in chunks.columns if c != "source"), "source.*")

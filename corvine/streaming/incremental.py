@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.operators import quality
 from corvine.sources import sinks
 from corvine.streaming.worker import MOST_ATTEMPTS, ledger
 
-__all__ = ["consume", "flush_batches", "ledger", "ledger_batch", "messages_of", "next_cursor", "poll", "stream_of", "upsert_batches"]
+__all__ = ["consume", "flush_batches", "ledger", "ledger_batch", "messages_of", "next_cursor", "poll", "stream_of", "summaries_refreshed", "upsert_batches"]
 
 
 def next_cursor(rows: DataFrame, ts: str) -> DataFrame:
@@ -97,6 +98,19 @@ def consume(messages: DataFrame, handle: Callable[[str], str | list[str]]) -> Da
     return messages.select("body").mapInPandas(run, "body string, result string, keys array<string>, removed boolean")
 
 
+def summaries_refreshed(parts: DataFrame, changed: DataFrame, path: str, record: str, order: str, text: str, summarise=None) -> list[int]:
+    """Make the summaries of changed records (record) anew from all their parts, in a bucketed table; others are not read.
+
+    Of parts of one record and order one counts. Records left without any text keep the summary that they had. Returns
+    the buckets written.
+    """
+    p = parts.select(record, order, text).filter(F.col(record).isNotNull()).join(changed.select(record).distinct(), record, "left_semi")
+    p = p.groupBy(record, order).agg(F.max(text).alias(text))
+    new = quality.record_summary(p, record, order, text, summarise)
+    sinks.ensure(parts.sparkSession, path, new.schema, record)
+    return sinks.upsert(parts.sparkSession, path, new, record)
+
+
 def flush_batches(sizes: DataFrame, doc: str, n: str, least: int = 500) -> DataFrame:
     """doc, batch: whole documents in order, a batch being closed as soon as it holds `least` rows.
 
