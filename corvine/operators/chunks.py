@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,54 +181,63 @@ def resume(sections: DataFrame, c: Config = Config()) -> DataFrame:
     return s.select("doc_id", (F.col("ahead") + F.col("k")).cast("long").alias("parent"), "child", "text", "kind", "part")
 
 
-def cut_words(text: str, size: int, overlap: int = 0) -> list[str]:
-    """cut() of one text."""
-    w = [m.span() for m in re.finditer(r"\S+", text)]
-    starts = range(0, max(1, len(w) - overlap), size - overlap) if w else ()
-    return [text[w[i][0] : w[min(i + size, len(w)) - 1][1]] for i in starts]
+ATOMS = {"notes": r"^(\[Notes:\]|Notes:)", "table": r"^\|", "visual": r"(?i)^(visual|insights):"}
 
+#: Lines that are folded at once: what a fold has made is copied per line within them, and once per so many lines.
+STEP = 256
 
-ATOMS = {"notes": re.compile(r"^(\[Notes:\]|Notes:)"), "table": re.compile(r"^\|"), "visual": re.compile(r"(?i)^(visual|insights):")}
 
+def breaks(lines: Column, most: int) -> Column:
+    """array<boolean>: whether each of lines (struct<kind, size>) begins a block, told from the lines before it by a fold.
+
+    A table line goes on with a table, another line with a visual, and with other lines while they have `most` words.
+    """
+    state = lambda last, room, out: F.struct(last.alias("last"), room.alias("room"), out.alias("out"))
+
+    def line(s: Column, x: Column) -> Column:
+        kind, room = x["kind"], s["room"] + x["size"]
+        joins = ((kind == "table") & (s["last"] == "table")) | ((kind == "plain") & ((s["last"] == "visual") | ((s["last"] == "plain") & (room <= most))))
+        return state(F.when(joins, s["last"]).otherwise(kind), F.when(joins, room).otherwise(x["size"]), F.concat(s["out"], F.array(~joins)))
+
+    def some(s: Column, part: Column) -> Column:
+        got = F.aggregate(part, state(s["last"], s["room"], F.array().cast("array<boolean>")), line)
+        return F.transform(F.array(got), lambda g: state(g["last"], g["room"], F.concat(s["out"], F.array(g["out"]))))[0]
+
+    n = F.size(lines)
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(lines, i + 1, STEP)))
+    start = state(F.lit(""), F.lit(0), F.array().cast("array<array<boolean>>"))
+    return F.flatten(F.coalesce(F.aggregate(parts, start, some, lambda s: s["out"]), F.array().cast("array<array<boolean>>")))
 
-def slide_blocks(body: str, c: Config) -> list[str]:
-    """Blocks of a slide: a note line, a run of table lines, a visual's description whole; other lines packed in order.
+
+def with_blocks(sections: DataFrame, c: Config, body: str = "body", to: str = "kids") -> DataFrame:
+    """sections with the blocks of each body, array<string>: a note line, a run of table lines, a visual's description whole; other lines packed in order.
 
     A block above the child size is cut into windows; one below the least size goes unless it is the first or notes.
+    Every step stays in the row; an empty body has no blocks.
     """
-    blocks: list[list[str]] = []
-    kinds: list[str] = []
-    room = 0
-    for line in (x.strip() for x in body.split("\n") if x.strip()):
-        kind = next((k for k, p in ATOMS.items() if p.match(line)), "plain")
-        last = kinds[-1] if kinds else ""
-        size = len(line.split())
-        joins = kind == last == "table" or kind == "plain" and last == "visual" or kind == last == "plain" and room + size <= c.child
-        if not joins:
-            blocks.append([])
-            kinds.append(kind)
-            room = 0
-        blocks[-1].append(line)
-        room += size
-    out = [(t, k) for b, k in zip(blocks, kinds, strict=True) for t in cut_words("\n".join(b), c.child)]
-    return [t for i, (t, k) in enumerate(out) if not i or k == "notes" or len(t.split()) >= c.least]
+    from corvine.sources.parsers import materialised
+
+    kind = lambda x: reduce(lambda other, k: F.when(x.rlike(ATOMS[k]), k).otherwise(other), reversed(ATOMS), F.lit("plain"))
+    d = materialised(sections, _lines=non_blank(F.split(F.coalesce(F.col(body), F.lit("")), "\n")))
+    d = materialised(d, _kinds=F.transform("_lines", lambda x: F.struct(kind(x).alias("kind"), F.size(pieces(x)).alias("size"))))
+    d = materialised(d, _flags=breaks(F.col("_kinds"), c.child))
+    d = materialised(d, _starts=F.filter(F.transform("_flags", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
+    d = materialised(d, _runs=runs(F.col("_lines"), F.col("_starts")))
+    cuts = F.transform("_runs", lambda x, k: F.transform(cut(F.array_join(x, "\n"), c.child), lambda t: F.struct(t.alias("text"), F.get("_kinds", F.get("_starts", k))["kind"].alias("kind"))))
+    d = materialised(d, _cuts=F.flatten(cuts))
+    kept = F.filter("_cuts", lambda x, i: (i == 0) | (x["kind"] == "notes") | (F.size(pieces(x["text"])) >= c.least))
+    return d.withColumn(to, F.transform(kept, lambda x: x["text"])).drop("_lines", "_kinds", "_flags", "_starts", "_runs", "_cuts")
 
 
 def slides(sections: DataFrame, c: Config = Config()) -> DataFrame:
     """doc_id, parent, child, text, kind, part: one parent for each section; kind slide or text, part the slide's number.
 
-    A slide's children are its blocks; packing lines depends on their order, so each body is packed by an Arrow function.
-    Other sections have windows of tokens. A section without children has its heading as one.
+    A slide's children are its blocks. Other sections have windows of tokens. A section without children has its heading as one.
     """
-
-    @F.pandas_udf("array<string>")
-    def blocks(bodies: pd.Series) -> pd.Series:
-        return bodies.fillna("").map(lambda b: slide_blocks(b, c))
-
     number = F.regexp_extract(F.coalesce("heading", F.lit("")), r"(?i)^slide\s+([0-9]+)", 1).try_cast("long")
     s = sections.select("doc_id", "ord", "heading", "body", whole(F.col("heading"), F.col("body")).alias("whole"), number.alias("part"))
     s = s.withColumn("parent", (F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1).cast("long"))
-    shown = s.filter("part is not null").withColumn("kids", blocks("body"))
+    shown = with_blocks(s.filter("part is not null"), c)
     plain = s.filter("part is null").withColumn("kids", cut(F.col("whole"), c.child, c.child_overlap))
     s = shown.unionByName(plain).withColumn("kids", F.when(F.size("kids") > 0, F.col("kids")).otherwise(F.array(F.coalesce("heading", F.lit("")))))
     s = s.withColumn("kind", F.when(F.col("part").isNotNull(), "slide").otherwise("text"))

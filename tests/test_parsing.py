@@ -1,5 +1,6 @@
-import random
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -148,11 +149,49 @@ def test_resume_chunks(spark):
     assert c[3].text.startswith("Experience:\nSenior Analyst") and [r.part for r in c[3:5]] == [0, 1]
 
 
-def test_slide_chunks():
+def cut_words(text: str, size: int, overlap: int = 0) -> list[str]:
+    """cut() of one text."""
+    w = [m.span() for m in re.finditer(r"\S+", text)]
+    starts = range(0, max(1, len(w) - overlap), size - overlap) if w else ()
+    return [text[w[i][0] : w[min(i + size, len(w)) - 1][1]] for i in starts]
+
+
+ATOMS = {"notes": re.compile(r"^(\[Notes:\]|Notes:)"), "table": re.compile(r"^\|"), "visual": re.compile(r"(?i)^(visual|insights):")}
+
+
+def slide_blocks(body: str, c) -> list[str]:
+    """The plain version of with_blocks()."""
+    blocks: list[list[str]] = []
+    kinds: list[str] = []
+    room = 0
+    for line in (x.strip() for x in body.split("\n") if x.strip()):
+        kind = next((k for k, p in ATOMS.items() if p.match(line)), "plain")
+        last = kinds[-1] if kinds else ""
+        size = len(line.split())
+        joins = kind == last == "table" or kind == "plain" and last == "visual" or kind == last == "plain" and room + size <= c.child
+        if not joins:
+            blocks.append([])
+            kinds.append(kind)
+            room = 0
+        blocks[-1].append(line)
+        room += size
+    out = [(t, k) for b, k in zip(blocks, kinds, strict=True) for t in cut_words("\n".join(b), c.child)]
+    return [t for i, (t, k) in enumerate(out) if not i or k == "notes" or len(t.split()) >= c.least]
+
+
+def test_slide_chunks(spark):
+    import random
+
     c = chunks.Config(child=20, child_overlap=0, least=2)
     body = "intro line here\n| a | b |\n| 1 | 2 |\nVISUAL: a bar chart\nrises fast\n[Notes:] say this\n" + "word " * 30
-    blocks = chunks.slide_blocks(body, c)
+    blocks = slide_blocks(body, c)
     assert blocks[:4] == ["intro line here", "| a | b |\n| 1 | 2 |", "VISUAL: a bar chart\nrises fast", "[Notes:] say this"] and len(blocks) == 6
+    r = random.Random(5)
+    line = lambda: r.choice(["", "  ", "one", "a b c d e f g", "| x | y", "Notes: n", "notes: not", "Visual: v w", "insights: i", " spaced\tout  line ", "w " * 25])
+    bodies = [None, "", "\n \n", body, *("\n".join(line() for _ in range(r.randrange(40))) for _ in range(60)), "\n".join(line() for _ in range(3000))]
+    d = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    got = {x.id: x.kids for x in chunks.with_blocks(d, c).collect()}
+    assert got == {i: slide_blocks(b or "", c) for i, b in enumerate(bodies)}
 
 
 def test_windows_and_config(spark):
