@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Buckets of a new table, and files a bucket has from one write at most.
-BUCKETS, FILES = 32, 8
+#: Buckets of a new table.
+BUCKETS = 32
 MANIFEST = "bucket int, folder string, key string, buckets int, schema string"
 
 
@@ -82,9 +82,9 @@ def _add(df: DataFrame, path: str, s: State) -> dict[int, str]:
     """Write df as new data folders, one for each of its buckets."""
     spark, at = df.sparkSession, f"{path}/data/{uuid.uuid4().hex}"
     b = bucket(F.col(s.key), s.buckets) if s.key else F.lit(0)
-    split = F.pmod(F.xxhash64(F.lit("file"), F.col(s.key).cast("string")), F.lit(FILES)) if s.key else F.lit(0)
     d = df.withColumn("_bucket", b)
-    (d.repartition("_bucket", split) if s.key else d).write.partitionBy("_bucket").parquet(at)
+    # rows of a bucket come together, but a bucket larger than a task should have, say of a hot key, is divided
+    (d.hint("rebalance", F.col("_bucket")) if s.key else d).write.partitionBy("_bucket").parquet(at)
     fs, p = _fs(spark, at)
     names = [x.getPath().getName() for x in fs.listStatus(p)]
     return {int(n.split("=")[1]): f"{at}/{n}" for n in names if n.startswith("_bucket=")}
