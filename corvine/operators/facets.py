@@ -67,6 +67,7 @@ def extracted(df: DataFrame, columns: list[str]) -> Column:
     """map<string, array<string>> of a row's non-empty columns by the slug of their names.
 
     Elements of lists are cleaned one by one, never cut at commas, and blank ones go; a single value is a list of one.
+    Of columns whose names have one slug the last that is not empty counts.
     """
     kinds = dict(df.dtypes)
 
@@ -78,7 +79,9 @@ def extracted(df: DataFrame, columns: list[str]) -> Column:
         name = X.slug(F.lit(unicodedata.normalize("NFKD", c.lower())), "column", fold=False)
         return F.struct(name.alias("key"), F.filter(clean, lambda x: x != "").alias("value"))
 
-    return F.map_from_entries(F.filter(F.array(*map(pair, columns)), lambda p: F.size(p["value"]) > 0))
+    full = F.filter(F.array(*map(pair, columns)), lambda p: F.size(p["value"]) > 0)
+    none = F.create_map().cast("map<string, array<string>>")
+    return F.aggregate(full, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
 
 
 def first_per_key(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:

@@ -59,6 +59,8 @@ def test_facets_of_records_and_keys(spark):
     d = spark.createDataFrame([(["Spain,Latin America", " ", None, "Cities \uff06 X "], "v", None), ([], " ", "x")], "`Practice Area` array<string>, a string, `b.c` string")
     got = [r.f for r in d.select(facets.extracted(d, d.columns).alias("f")).collect()]
     assert got[0] == {"practice_area": ["Spain,Latin America", "Cities & X"], "a": ["v"]} and len(got[1]) == 1
+    twice = spark.createDataFrame([("1", "2"), ("1", " ")], "`A b` string, `a  B` string")
+    assert [r.f for r in twice.select(facets.extracted(twice, twice.columns).alias("f")).collect()] == [{"a_b": ["2"]}, {"a_b": ["1"]}]
     r = spark.createDataFrame([("k", 2, "late", 1), ("k", 1, None, None), ("k", 3, "x", 2), ("m", 1, " ", None), (" ", 1, "x", 1), (None, 1, "x", 1)], "k string, o int, f string, g int")
     assert [tuple(x) for x in facets.first_per_key(r, "k", "o", ["f", "g"]).collect()] == [("k", "late", 1)]
 
