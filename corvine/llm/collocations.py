@@ -21,6 +21,10 @@ CHUNKS = "chunk long, lang string, words array<string>, counts array<int>, ids a
 FRAGMENTS = "pivot int, part int, partial boolean, fragments array<int>"
 MINED = "w1 int, w2 int, w3 int, w4 int, f long, partial boolean"
 KEY = ["w1", "w2", "w3", "w4"]
+#: Occurrences in a part of a pivot, at most, and chunks that a task gets on average: both are held in memory.
+PART, TASK_CHUNKS = 200_000, 8
+#: Chunks are long rows, and a scan holds as many as a row group has: it ends as soon as it has this size.
+FEW_ROWS = {"parquet.block.size": 8_000_000, "parquet.page.size.row.check.min": 1}
 
 
 def chunked(docs: DataFrame, most: int = 8_000_000) -> DataFrame:
@@ -170,7 +174,7 @@ def mined(rows: np.ndarray, partial: np.ndarray, support: int = SUPPORT) -> tupl
     return np.concatenate(words), np.concatenate(counts), np.concatenate(flags)
 
 
-def mine(dealt: DataFrame, support: int, most: int = 1_000_000) -> DataFrame:
+def mine(dealt: DataFrame, support: int, most: int = 400_000) -> DataFrame:
     """Phrases of fragments that are dealt by (pivot, part) and sorted by pivot in each partition: whole pivots together,
     about `most` fragments at a time."""
     schema = pa.schema([*((k, pa.int32()) for k in KEY), ("f", pa.int64()), ("partial", pa.bool_())])
@@ -214,7 +218,7 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", support: in
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    chunks = cut(chunked(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), body)), "chunks")
+    chunks = cut(chunked(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), body)), "chunks", **FEW_ROWS)
     sizes = cut(chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     own = chunks.select("chunk", "lang", F.explode(F.transform("words", lambda w, k: F.struct((k + 1).alias("k"), w.alias("word"), F.get("counts", k).alias("c")))).alias("x")).select("chunk", "lang", "x.*")
     totals = own.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= support)
@@ -224,11 +228,14 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", support: in
         raise ValueError("more frequent words than numbers")
     n = sizes.agg(F.sum("n")).first()[0] or 0
     # a part of a pivot has a thousandth of all occurrences, but so many that mining is worth it and so few that they fit
-    each = min(1_000_000, max(20_000, n // 1000))
-    known = own.join(words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("k", "id", "f")).alias("known"))
-    dealt = fragments(chunks.join(known, "chunk"), each).repartition("pivot", "part").sortWithinPartitions("pivot")
+    each = min(PART, max(20_000, n // 1000))
+    # lists are built on the heap, some 10 MB a chunk: tasks get few chunks, whatever the session's size of a partition is
+    tasks = max(spark.sparkContext.defaultParallelism, -(-chunks.count() // TASK_CHUNKS))
+    known = own.join(words, ["lang", "word"]).repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("k", "id", "f")).alias("known"))
+    dealt = fragments(chunks.repartition(tasks, "chunk").join(known, "chunk"), each).repartition("pivot", "part").sortWithinPartitions("pivot")
     found = cut(mine(dealt, support), "mined")
-    merged = found.filter("partial").groupBy(*KEY).agg(F.sum("f").alias("f")).filter(F.col("f") >= support)
+    # counts of one phrase come from different tasks, so combining before the shuffle would hold much and save little
+    merged = found.filter("partial").repartition(*KEY).groupBy(*KEY).agg(F.sum("f").alias("f")).filter(F.col("f") >= support)
     grams = cut(found.filter(~F.col("partial")).select(*KEY, "f").unionByName(merged), "grams")
     return words, grams, sizes
 

@@ -115,3 +115,17 @@ def test_scores_in_ranges(spark):
         got = sorted(map(tuple, col.best_scores(spark.createDataFrame(rows, "lang string, score long"), top).collect()))
         least = {x: sorted((s for y, s in rows if y == x), reverse=True)[:top][-1] for x in "ab"}
         assert got == sorted(x for x in rows if x[1] >= least[x[0]])
+
+
+def test_scans_of_chunks_hold_few_rows(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    written = {}
+    monkeypatch.setattr(col, "cut", lambda df, name, f=col.cut, **how: written.setdefault(name, f(df, name, **how)))
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(map(str, rng.integers(0, 90_000, 170_000)))) for _ in range(20)]
+    col.phrases(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written["chunks"].inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 2
+    assert max(g.num_rows for g in groups) == 1
