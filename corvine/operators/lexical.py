@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,18 +130,93 @@ def stemmed(words: Column) -> Column:
     return reduce(lambda done, step: F.transform(done, each(step)), steps, words)
 
 
+def stems(words: list[str]) -> list[str]:
+    """stemmed() for the distinct words of a batch, by the same rules."""
+
+    def step(rules: list, t: str) -> str:
+        for suffix, other, shapes in rules:
+            if t.endswith(suffix):
+                bare = t[: len(t) - len(suffix)]
+                return bare + other if all(re.search(x, bare) for x in shapes) else t
+        return t
+
+    def mend(t: str) -> str:
+        if not t.endswith("\0"):
+            return t
+        if (done := step(MENDED, t)) != t:
+            return done
+        bare = t[:-1]
+        if len(bare) > 1 and bare[-1] == bare[-2] and bare[-1] not in "aeioulsz":
+            return bare[:-1]
+        return bare + "e" if re.search(JUST_ONCE, bare) and re.search(SHORT, bare) else bare
+
+    def close(t: str) -> str:
+        bare = t[:-1]
+        if t.endswith("e") and (re.search(TWICE, bare) or (re.search(JUST_ONCE, bare) and not re.search(SHORT, bare))):
+            t = bare
+        return t[:-1] if t.endswith("ll") and re.search(TWICE, t) else t
+
+    steps = [*(lambda t, r=r: step(r, t) for r in (PLURALS, PAST)), mend, *(lambda t, r=r: step(r, t) for r in (FINAL_Y, *STEPS)), close]
+    return [reduce(lambda t, f: f(t) if len(t) > 2 or t.endswith("\0") else t, steps, w) for w in words]
+
+
+#: Stems that a worker remembers; beyond, all are forgotten.
+REMEMBERED = 500_000
+
+
+@cache
+def _analysis(only: tuple[str, ...] | None) -> Callable[[Column], Column]:
+    """An Arrow function from arrays of words to arrays of terms: every distinct word of a batch is looked at once."""
+    known: dict[str, str | None] = {}
+    groups, heads, stop = synonyms(), {x.split()[0] for x, _ in synonyms()}, set(ENGLISH_STOP)
+    wanted = None if only is None else set(only)
+
+    def fold(words: list[str]) -> list[str]:
+        text = "".join(f" {w} " for w in words)
+        for phrase_, first in groups:
+            text = text.replace(phrase_, first)
+        return text.split()
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        found = np.flatnonzero(pc.is_in(flat, pa.array(sorted(heads), flat.type)).to_numpy(zero_copy_only=False))
+        if len(found):  # rows with a word that begins a synonym
+            pieces, at = [], 0
+            for i in np.unique(np.searchsorted(ends, found, "right")):
+                begin = int(ends[i] - sizes[i])
+                new = fold(flat.slice(begin, int(sizes[i])).to_pylist())
+                pieces += [flat.slice(at, begin - at), pa.array(new, flat.type)]
+                at, sizes[i] = int(ends[i]), len(new)
+            flat = pa.concat_arrays([*pieces, flat.slice(at)])
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in words if w not in known]
+        known.update(zip(new, (None if w in stop else s for w, s in zip(new, stems(new), strict=True)), strict=True))
+        terms = [known[w] for w in words]
+        keep = np.array([t is not None for t in terms], bool)
+        if wanted is not None:
+            terms = [t if t in wanted else "" for t in terms]
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        kept = keep[which] if len(words) else np.zeros(0, bool)
+        offsets = np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(sizes))]
+        out = pa.array(["" if t is None else t for t in terms], flat.type).take(pa.array(which[kept]))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), out, mask=lists.is_null() if lists.null_count else None)
+
+    return run
+
+
 def analyzed(c: Column, only: list[str] | None = None) -> Column:
     """Analysis of a text: words, synonyms folded, stop words out, stems.
 
-    only: terms that are asked for. Words that can't become one of them stand as empty texts in their places, unstemmed: a
-    stem begins with the first two letters of its word, or is the first.
+    Spark has no stemmer, and the expressions of stemmed() work on every occurrence of a word; so arrays of words pass
+    an Arrow function that stems each word once. only: terms that are asked for; all others stand as empty texts in
+    their places.
     """
-    stop = F.array(*map(F.lit, ENGLISH_STOP))
-    words = F.filter(folded(tokens(c)), lambda t: ~F.array_contains(stop, t))
-    if only is not None:
-        heads = sorted({t[:2] for t in only})
-        words = F.transform(words, lambda t: F.when(F.left(t, F.lit(2)).isin(heads) | F.left(t, F.lit(1)).isin(heads), t).otherwise(""))
-    return stemmed(words)
+    return _analysis(None if only is None else tuple(only))(tokens(c))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -207,8 +286,9 @@ def phrase(docs: DataFrame, words: list[str], slop: int = 1) -> DataFrame:
 
 
 def query_terms(query: str) -> list[str]:
-    """The analysed terms of a query, in order. One row of literals: no job runs."""
-    return SparkSession.active().createDataFrame([(query,)], "q string").select(analyzed(F.col("q"))).first()[0]
+    """The analysed terms of a query, in order. One row of literals and expressions alone: no job runs."""
+    words = F.filter(folded(tokens(F.col("q"))), lambda t: ~t.isin(ENGLISH_STOP))
+    return SparkSession.active().createDataFrame([(query,)], "q string").select(stemmed(words)).first()[0]
 
 
 def spread(docs: DataFrame) -> DataFrame:

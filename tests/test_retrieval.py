@@ -158,6 +158,33 @@ def test_stems(spark):
     assert all(g[:2] == w[:2] or g == w[:1] for w, g in zip(words, got, strict=True))
 
 
+def test_analysis_stems_a_word_once(spark):
+    import time
+
+    def took(words):
+        d = spark.createDataFrame([(1, words), (2, None), (3, "The VALUE for money of stories"), (4, "the")], "k int, t string").cache()
+        d.count()
+        began = time.perf_counter()
+        got = {r.k: r.x for r in d.select("k", lexical.analyzed(F.col("t")).alias("x")).collect()}
+        assert (got[2], got[3], got[4]) == (None, ["vfm", "stori"], [])
+        return got[1], time.perf_counter() - began
+
+    assert took("relational monitoring and evaluation")[0] == ["relat", "m", "e"]
+    many, seconds = took("nationalization of stories " * 300_000)
+    assert many == ["nation", "stori"] * 300_000
+    assert seconds < 10  # expressions over every occurrence took some 30 s
+    only = spark.range(1).select(lexical.analyzed(F.lit("water stories of projects"), ["stori"]).alias("x")).first().x
+    assert only == ["", "stori", ""]
+
+
+def test_stems_by_words_are_those_by_expressions(spark):
+    import random
+
+    r = random.Random(9)
+    words = ["".join(r.choice("aeiouybcdlmnrstz") for _ in range(r.randrange(1, 7))) + r.choice(["", "s", "eed", "ed", "ing", "ational", "ization", "ion", "ll", "e", "y", "ement"]) for _ in range(3000)]
+    assert lexical.stems(words) == spark.createDataFrame([(words,)], "w array<string>").select(lexical.stemmed(F.col("w")).alias("x")).first().x
+
+
 def test_record_summaries(spark):
     d = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one"), ("b", 1, "only"), ("c", 1, " ")], "r string, o int, t string")
     assert {r.r: r.summary for r in quality.record_summary(d, "r", "o", "t").collect()} == {"a": "one\n\ntwo", "b": "only"}
