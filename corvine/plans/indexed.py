@@ -91,7 +91,7 @@ def knn_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether both forms of the index find nine of ten of the true ten nearest, over all queries and all vectors."""
     index, queries = vector_index(spark, sf_dir)
-    true = index.search(queries, 10, probes=len(index.coarse)).select("query_id", "vec_id")
+    true = index.search_all(queries, 10).select("query_id", "vec_id")
     parts = []
     for form, found in (("cells", index.search(queries, 10)), ("codes", index.search_coded(queries, 10))):
         hit = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")

@@ -30,6 +30,8 @@ from corvine.sources.postings import batches
 SAMPLE = 65_536
 #: Rows of one side of a block of comparisons.
 BLOCK = 4096
+#: Rows of vectors in a block where every query meets all vectors, and numbers in a working array.
+WHOLE, CELLS = 32_768, 2_000_000
 UNIT = "vec_id long, label int, vector array<float>"
 
 
@@ -50,9 +52,31 @@ def units(vectors: DataFrame, dim: int) -> DataFrame:
     return v.filter((F.col("_n") > 0) & (F.col("_n") < float("inf"))).select("vec_id", "label", F.transform("_e", lambda x: (x / F.col("_n")).cast("float")).alias("vector"))
 
 
+def slabs(rows: int, width: int) -> Iterator[slice]:
+    """Slices of rows, so that an array of `width` numbers for each row of one has CELLS at most."""
+    each = max(1, CELLS // max(1, width))
+    return (slice(i, min(rows, i + each)) for i in range(0, rows, each))
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The closest centre of each row; of equal ones the first."""
-    return np.argmin((centres * centres).sum(1)[None, :] - 2 * x @ centres.T, 1)
+    norms = (centres * centres).sum(1)[None, :]
+    return np.concatenate([np.argmin(norms - 2 * x[part] @ centres.T, 1) for part in slabs(len(x), len(centres))] or [np.empty(0, np.int64)])
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, place) of the k highest scores of each row, the highest first, of equal ones the smallest id."""
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        row, column = np.nonzero(scores >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    by = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[by], column[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return row[keep], column[keep], place[keep]
 
 
 def lloyd(sample: DataFrame, parts: int, count: int, steps: int = 8) -> np.ndarray:
@@ -132,7 +156,7 @@ def add(vectors: DataFrame, path: str) -> int:
             if b.num_rows:
                 x = _matrix(b.column(2))
                 code = encoded(x, fine)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in code], pa.binary()), pa.array(np.argmax(x @ coarse.T, 1).astype(np.int32))], names=["vec_id", "label", "vector", "code", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in code], pa.binary()), pa.array(np.concatenate([np.argmax(x[part] @ coarse.T, 1) for part in slabs(len(x), len(coarse))]).astype(np.int32))], names=["vec_id", "label", "vector", "code", "cell"])
 
     at = scratch(spark, "placed")
     units(vectors, coarse.shape[1]).mapInArrow(place, f"{UNIT}, code binary, cell int").write.parquet(at)
@@ -157,26 +181,27 @@ def visits(queries: DataFrame, coarse: np.ndarray, probes: int) -> DataFrame:
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks:
-            if b.num_rows:
-                order = np.argsort(-(_matrix(b.column(1)) @ coarse.T), 1, kind="stable")[:, :probes]
-                rows = np.repeat(np.arange(b.num_rows), order.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(order.shape[1], dtype=np.int32), b.num_rows))], names=["query_id", "vector", "cell", "visit"])
+            x, own = _matrix(b.column(1)), np.arange(len(coarse))
+            for part in slabs(b.num_rows, max(len(coarse), probes * coarse.shape[1])):
+                row, cell, place = best_of(x[part] @ coarse.T, own, probes)
+                at = pa.array(row + part.start)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell.astype(np.int32)), pa.array(place.astype(np.int32))], names=["query_id", "vector", "cell", "visit"])
 
     return queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<float>")).mapInArrow(run, "query_id long, vector array<float>, cell int, visit int")
 
 
-def _met(rows: DataFrame, value: str, asked: DataFrame, sizes: dict[int, int], score: Callable[[np.ndarray, pa.Table], np.ndarray], k: int) -> DataFrame:
+def _met(rows: DataFrame, value: str, asked: DataFrame, sizes: dict[int, int], scorer: Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]], k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, cell, vec_id, score): the k best of rows (cell, vec_id, value) for each query in each block of its cells.
 
-    Both sides of a cell are cut into blocks of BLOCK by hashes, and a call compares two blocks; so a cell that
-    holds many of the rows or meets many queries is many calls of bounded size.
+    Both sides of a cell are cut into blocks by hashes, of `block` rows and BLOCK queries, and a call compares two, a slab
+    of scores at a time; so a cell that holds many of the rows or meets many queries is many calls of bounded size.
     """
     spark = rows.sparkSession
     at = scratch(spark, "asked")
     asked.write.parquet(at)
     asked = spark.read.parquet(at)
     many = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    dealt = [(c, 1 + sizes.get(c, 0) // BLOCK, 1 + n // BLOCK) for c, n in many.items()]
+    dealt = [(c, 1 + sizes.get(c, 0) // block, 1 + n // BLOCK) for c, n in many.items()]
     blocks = F.broadcast(spark.createDataFrame(dealt, "cell int, _v int, _q int"))  # a row for each cell
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(blocks, "cell").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("_v")).cast("int")).withColumn("qb", every("_q"))
@@ -185,35 +210,42 @@ def _met(rows: DataFrame, value: str, asked: DataFrame, sizes: dict[int, int], s
     def best(v: pa.Table, q: pa.Table) -> pa.Table:
         if not v.num_rows or not q.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "cell": pa.array([], pa.int32()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        s = score(_matrix(q["vector"]), v)
+        x, score = _matrix(q["vector"]), scorer(v)
         ids, asks = v["vec_id"].to_numpy(), q["query_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(asks)), order.shape[1])
-        at = order.ravel()
-        return pa.table({"query_id": asks[rows], "cell": pa.array(np.full(len(at), v["cell"][0].as_py(), np.int32)), "vec_id": ids[at], "score": s[rows, at]})
+        found = []
+        for part in slabs(len(asks), len(ids)):
+            s = score(x[part])
+            row, at, _ = best_of(s, ids, k)
+            found.append((asks[part][row], ids[at], s[row, at]))
+        query_id, vec_id, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": query_id, "cell": pa.array(np.full(len(vec_id), v["cell"][0].as_py(), np.int32)), "vec_id": vec_id, "score": scores})
 
     keys = ("cell", "vb", "qb")
     grouped = left.select(*keys, "vec_id", value).groupBy(*keys).cogroup(right.select(*keys, "query_id", "vector").groupBy(*keys))
     return grouped.applyInArrow(best, "query_id long, cell int, vec_id long, score double")
 
 
-def _exact(q: np.ndarray, v: pa.Table) -> np.ndarray:
+def _exact(v: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
     x = _matrix(v["vector"])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)  # stored as floats
-    return (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T
+    return lambda q: (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T
 
 
-def _looked_up(codebooks: np.ndarray) -> Callable[[np.ndarray, pa.Table], np.ndarray]:
+def _looked_up(codebooks: np.ndarray) -> Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]:
     """Scores from codes: a table of each query's products with all centres of a part, added up over the parts."""
 
-    def score(q: np.ndarray, v: pa.Table) -> np.ndarray:
+    def scorer(v: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
         code = np.frombuffer(b"".join(v["code"].to_pylist()), np.uint8).reshape(v.num_rows, -1)
-        out = np.zeros((len(q), v.num_rows))
-        for p, (part, centres) in enumerate(zip(np.split(q, len(codebooks), axis=1), codebooks, strict=True)):
-            out += (part @ centres.T)[:, code[:, p]]
-        return out
 
-    return score
+        def score(q: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(q), v.num_rows))
+            for p, (part, centres) in enumerate(zip(np.split(q, len(codebooks), axis=1), codebooks, strict=True)):
+                out += (part @ centres.T)[:, code[:, p]]
+            return out
+
+        return score
+
+    return scorer
 
 
 def ranked(found: DataFrame, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -241,6 +273,17 @@ class Index:
         found = _met(rows, "vector", asked, self.sizes, _exact, k)
         return ranked(found.withColumn("score", F.round("score", 6)), k)
 
+    def search_all(self, queries: DataFrame, k: int) -> DataFrame:
+        """The k nearest of all vectors, as search() over all cells finds them: the work is every query times every vector.
+
+        Cells play no part. Queries are copied for each WHOLE vectors and vectors for each BLOCK queries, which is what is
+        shuffled; a call compares two such blocks.
+        """
+        asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<float>"), F.lit(0).alias("cell"))
+        rows = _cells(self.spark, self.path, "vectors").select(F.lit(0).alias("cell"), "vec_id", "vector")
+        found = _met(rows, "vector", asked, {0: sum(self.sizes.values())}, _exact, k, WHOLE)
+        return ranked(found.withColumn("score", F.round("score", 6)), k)
+
     def search_coded(self, queries: DataFrame, k: int, probes: int | None = None, factor: int | None = None) -> DataFrame:
         """As search(), but from codes: the k * factor best by looked-up products are scored again by their vectors.
 

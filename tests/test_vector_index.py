@@ -102,3 +102,18 @@ def test_blocks_of_large_cells(spark, table, index, monkeypatch):
     want = found(index.search(asked(table, 0), 10))
     monkeypatch.setattr(vectors, "BLOCK", 5)
     assert found(index.search(asked(table, 0), 10)) == want
+
+
+def test_working_arrays_are_bounded(spark, table, index, monkeypatch):
+    want = truth()
+    got = found(index.search_all(asked(table, 0), 10))
+    assert recall(got, want) == 1.0 and all(abs(a[1] - b[1]) < 2e-5 for q in want for a, b in zip(got[q], want[q], strict=True))
+    rng = np.random.default_rng(4)
+    scores, ids = rng.integers(0, 5, (50, 40)).astype(float), rng.permutation(40)
+    row, column, place = vectors.best_of(scores, ids, 7)
+    plain = [sorted(range(40), key=lambda c: (-scores[r, c], ids[c]))[:7] for r in range(50)]
+    assert column.reshape(50, 7).tolist() == plain and row.tolist() == [r for r in range(50) for _ in range(7)] and place.tolist() == list(range(7)) * 50
+    x, centres = rng.normal(size=(30, 4)), rng.normal(size=(9, 4))
+    whole = vectors.nearest(x, centres)
+    monkeypatch.setattr(vectors, "CELLS", 20)
+    assert [s.stop - s.start for s in vectors.slabs(7, 9)] == [2, 2, 2, 1] and vectors.nearest(x, centres).tolist() == whole.tolist()
