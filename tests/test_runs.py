@@ -42,3 +42,15 @@ def test_running_sums_over_partitions(spark):
     d = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("x"))
     got = runs.running(d, [F.col("x")], one=F.lit(1), total=F.col("x")).orderBy("x").collect()
     assert [(r.one, r.total) for r in got] == [(i + 1, i * (i + 1) // 2) for i in range(500)]
+
+
+@pytest.mark.parametrize("close", [False, True])
+def test_ways_through_many_blocks(spark, close, monkeypatch):
+    monkeypatch.setattr(runs, "BLOCK", 7)
+    followed = []
+    monkeypatch.setattr(runs, "written", lambda df, name, f=runs.written: followed.append((name, out := f(df, name))) or out)
+    r = random.Random(5)
+    sizes = [r.choice([0, 1, 2, 3, 9, 30, None]) for _ in range(150)]
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "k int, n int").repartition(5)
+    assert [x.bin for x in runs.packed(d, ["k"], "n", 10, close).orderBy("k").collect()] == plain(sizes, 10, close)
+    assert max(t.count() for name, t in followed if name == "jumps") < 75  # the rounds join entries of blocks, not items
