@@ -219,13 +219,19 @@ def analyzed(c: Column, only: list[str] | None = None) -> Column:
     return _analysis(None if only is None else tuple(only))(tokens(c))
 
 
+#: Documents in a task that adds up scores, and terms of all queries up to which they are broadcast.
+TASK_DOCS, BROADCAST = 2000, 100_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best docs of each query: query_id, doc_id, score, rank.
 
     docs: doc_id, terms (array). queries: query_id, terms (distinct). Postings are cut to the queries' terms before
     anything is shuffled. An empty term for every document carries its length, so term frequencies, document
     frequencies and length statistics all read one and the same exchange: every text is analysed once. All keys are
-    non-null, or the joins would infer filters that tell the three uses apart. Ranks per query are limited before the
+    non-null, or the joins would infer filters that tell the three uses apart. Terms of queries come to the documents, so
+    a common term is not one group, and a task adds up scores of some TASK_DOCS documents whatever their number (but for more
+    than BROADCAST terms of queries, which are joined by a shuffle). Ranks per query are limited before the
     shuffle by the window's group limit.
     """
     term = F.coalesce("t", F.lit("")).alias("term")
@@ -233,11 +239,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     wanted = q.select("term").union(q.sparkSession.range(1).select(F.lit(""))).distinct()
     one = docs.select("doc_id", F.size("terms").alias("dl"), F.explode_outer(F.concat("terms", F.array(F.lit("")))).alias("t"))
     tf = one.select("doc_id", "dl", term).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = tf.repartition(1 + docs.count() // TASK_DOCS, "doc_id")
     once = F.least("tf", F.lit(1))
     df = tf.groupBy("term").agg(F.sum(once).alias("df"))
     own = F.col("term") == ""
     stats = tf.agg(F.sum(F.when(own, once)).alias("n_docs"), F.avg(F.when(own, F.col("dl"))).alias("avgdl"))
-    hits = tf.join(df.join(q, "term"), "term").crossJoin(F.broadcast(stats))
+    weights = df.join(q, "term")
+    if q.limit(BROADCAST + 1).count() <= BROADCAST:
+        weights = F.broadcast(weights)
+    hits = tf.join(weights, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -273,3 +273,15 @@ def test_routing_by_prefixes(spark):
     assert of(t.union(spark.createDataFrame([("", "all")], "p string, n string"))) == ["a2", "a2", "r", "all", None, "all"]
     assert of(t.limit(0)) == [None] * 6
     assert "_registry" not in objects.routed(f, t)._jdf.queryExecution().toString()
+
+
+def test_scores_are_added_up_where_the_documents_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["the"] * (1 + i % 3) + [f"w{i % 7}"]) for i in range(60)], "doc_id long, terms array<string>")
+    q = spark.createDataFrame([(k, ["the", f"w{k}"]) for k in range(5)], "query_id long, terms array<string>")
+    want = lexical.bm25(docs, q, 4).collect()
+    monkeypatch.setattr(lexical, "TASK_DOCS", 10)
+    few = lexical.bm25(docs, q, 4)
+    assert sorted(few.collect()) == sorted(want) and len(want) == 20
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line]
+    assert dealt and not any("doc_id" in x for x in dealt)  # sums of a query and a document need no shuffle of their own
